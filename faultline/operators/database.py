@@ -183,12 +183,18 @@ def pressure_counts(
     sessions: DataFrame, locks: DataFrame, seconds: float = rules.LONG_ACTIVE_SECONDS,
     by: list[str] = SNAPSHOT,
 ) -> DataFrame:
-    """Long-running sessions and waiting locks per snapshot."""
-    slow = sessions.groupBy(*by).agg(
-        F.count_if(is_long_active(seconds)).alias("slow_queries_over_threshold")
+    """Long-running sessions and waiting locks per snapshot, in one grouping."""
+    zero = F.lit(0)
+    slow = sessions.select(*by, is_long_active(seconds).cast("int").alias("s"), zero.alias("w"))
+    waiting = locks.select(*by, zero.alias("s"), (~F.col("granted")).cast("int").alias("w"))
+    return (
+        slow.unionByName(waiting)
+        .groupBy(*by)
+        .agg(
+            F.coalesce(F.sum("s"), zero).alias("slow_queries_over_threshold"),
+            F.coalesce(F.sum("w"), zero).alias("waiting_locks"),
+        )
     )
-    waiting = locks.groupBy(*by).agg(F.count_if(~F.col("granted")).alias("waiting_locks"))
-    return slow.join(waiting, by, "left").na.fill(0, ["waiting_locks"])
 
 
 # --------------------------------------------------------------------- counters

@@ -35,7 +35,11 @@ def _decoded_path(path: Column) -> Column:
 
 def read_task_logs(spark: SparkSession, root: str) -> DataFrame:
     """One row per line, with the identity of the log taken from its path."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(root)
+    return identified_lines(spark.read.option("recursiveFileLookup", "true").text(root))
+
+
+def identified_lines(rows: DataFrame) -> DataFrame:
+    """The same for text rows that a file source, batch or stream, has read."""
     meta = rows.select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file_path"),
