@@ -121,7 +121,7 @@ def trailing_frame(
         reaches_next, F.array(slice_no, slice_no + 1)
     ).otherwise(F.array(slice_no))
     copied = numbered.withColumn("__home", slice_no).withColumn(
-        "__slice", F.explode(slices)
+        "__slice", F.explode_outer(slices)
     )
     window = (
         Window.partitionBy(*keys, "__slice")
@@ -183,7 +183,7 @@ def sliced_join(
     )
     right = lookup.join(hot, keys, "left").withColumn(
         "__slice",
-        F.explode(
+        F.explode_outer(
             F.sequence(
                 F.lit(0).cast("bigint"), F.coalesce("__slices", F.lit(1)).cast("bigint") - 1
             )

@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that count as white space when a text is stripped, line feed excluded.
-_BLANK = (
-    r"\t\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+# Characters that count as white space when a text is stripped, line feed included.
+BLANKS = (
+    "\n\t\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 _LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
@@ -27,22 +29,31 @@ def as_text(value: Column) -> Column:
 
 
 def strip(value: Column) -> Column:
-    """Remove Unicode white space, line feeds included, from both ends."""
-    return F.regexp_replace(value, rf"\A[\n{_BLANK}]+|[\n{_BLANK}]+\z", "")
+    """Remove Unicode white space, line feeds included, from both ends.
+
+    Trimming looks at the ends only, where a pattern would be tried everywhere.
+    """
+    return F.trim(value, F.lit(BLANKS))
 
 
 def rstrip(value: Column) -> Column:
-    return F.regexp_replace(value, rf"[\n{_BLANK}]+\z", "")
+    return F.rtrim(value, F.lit(BLANKS))
 
 
 def clean_text(value: Column) -> Column:
     """Canonical cell text: one kind of line end, single spaces, stripped lines,
-    at most one blank line in a row, stripped ends."""
-    text = F.regexp_replace(as_text(value), r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, rf"(?md)^[{_BLANK}]+|[{_BLANK}]+$", "")
+    at most one blank line in a row, stripped ends.
+
+    Patterns run only on cells that hold something to replace.
+    """
+    raw = as_text(value)
+    text = F.when(raw.contains("\r"), F.regexp_replace(raw, r"\r\n?", "\n")).otherwise(raw)
+    spaced = raw.contains("  ") | raw.contains("\t")
+    text = F.when(spaced, F.regexp_replace(text, r"[ \t]+", " ")).otherwise(text)
+    text = F.array_join(F.transform(F.split(text, "\n"), strip), "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return strip(text)
+    # the lines are stripped by now, so only line feeds can be left at the ends
+    return F.trim(text, F.lit("\n"))
 
 
 def lines(value: Column) -> Column:

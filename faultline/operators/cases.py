@@ -215,12 +215,12 @@ def document_columns(columns: list[str]) -> list[str]:
     return sorted(shown, key=rank)
 
 
-def case_document(columns: list[str]) -> Column:
+def case_document(columns: list[str], cleaned: dict[str, str]) -> Column:
     """The whole case as ``Label: value`` lines; long or multi-line values below
-    their label; empty values left out."""
-    parts = [F.concat(F.lit("Incident ID: "), clean_text(F.col("incident_id")), F.lit("\n"))]
+    their label; empty values left out.  ``cleaned`` names the cleaned columns."""
+    parts = [F.concat(F.lit("Incident ID: "), F.col(cleaned["incident_id"]), F.lit("\n"))]
     for name in document_columns(columns):
-        value = clean_text(F.col(name))
+        value = F.col(cleaned[name])
         label = column_label(name)
         long = value.contains("\n") | (F.length(value) > rules.DOCUMENT_INLINE_CHARS)
         block = F.concat(F.lit(f"{label}:\n"), value, F.lit("\n"))
@@ -232,8 +232,12 @@ def case_document(columns: list[str]) -> Column:
 def case_store(df: DataFrame) -> DataFrame:
     """Parent rows: the document, its length, contract columns first."""
     columns = [c for c in df.columns if c not in (POSITION, COPIES)]
-    documented = df.withColumn("case_document", case_document(columns)).withColumn(
-        "comment_length", F.length("case_document")
+    shown = list(dict.fromkeys(["incident_id", *document_columns(columns)]))
+    cleaned = {c: f"__clean_{c}" for c in shown}
+    documented = (
+        df.withColumns({cleaned[c]: clean_text(F.col(c)) for c in shown})
+        .withColumn("case_document", case_document(columns, cleaned))
+        .withColumn("comment_length", F.length("case_document"))
     )
     first = [c for c in rules.CASE_FIRST_COLUMNS if c in documented.columns]
     rest = [c for c in columns if c not in first]
@@ -268,19 +272,25 @@ def ingest_stats(
 # ---------------------------------------------------------------------- reading
 def expand_case(cases: DataFrame) -> DataFrame:
     """Cases as read back: nulls become ``""`` where text, JSON columns are parsed,
-    text that is no JSON object gives an empty map."""
+    text that is no JSON gives an empty map or list.  A merged case has several raw
+    rows, so ``raw_fields`` is a list of maps."""
     empty = F.create_map().cast("map<string,string>")
     texts = {
         name: F.coalesce(F.col(name), F.lit(""))
         for name, kind in cases.dtypes
         if kind == "string"
     }
+    raw = F.col("raw_fields_json")
+    listed = F.when(raw.startswith("["), raw).otherwise(F.concat(F.lit("["), raw, F.lit("]")))
+    names, rows = F.array().cast("array<string>"), F.array().cast("array<map<string,string>>")
     parsed = {
-        target: F.coalesce(F.from_json(F.col(source), kind), fallback)
-        for source, target, kind, fallback in [
-            ("raw_fields_json", "raw_fields", "array<map<string,string>>", F.array(empty)),
-            ("source_schema_json", "source_schema", "array<string>", F.array().cast("array<string>")),
-            ("source_column_mapping_json", "source_column_mapping", "map<string,string>", empty),
+        target: F.coalesce(F.from_json(text, kind), fallback)
+        for source, text, target, kind, fallback in [
+            ("raw_fields_json", listed, "raw_fields", "array<map<string,string>>", rows),
+            ("source_schema_json", F.col("source_schema_json"), "source_schema",
+             "array<string>", names),
+            ("source_column_mapping_json", F.col("source_column_mapping_json"),
+             "source_column_mapping", "map<string,string>", empty),
         ]
         if source in cases.columns
     }

@@ -11,31 +11,6 @@ from faultline.operators.cases import COPIES, snake_name
 from faultline.sources.incidents import POSITION
 
 
-def chunk_text(
-    text: Column, size: int = rules.CHUNK_CHARS, overlap: int = rules.CHUNK_OVERLAP
-) -> Column:
-    """Array of chunks of ``size`` characters that start ``size - overlap`` apart.
-
-    Texts up to one chunk stay as they are.  The text is cut into step-long tiles in
-    one pass and each chunk is put together from its tiles, so the work grows with
-    the text length and not with its square.
-    """
-    if size <= overlap:
-        raise ValueError("the chunk size must be greater than the overlap")
-    step = size - overlap
-    tiles = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
-    span = -(-size // step)
-    pieces = F.transform(
-        tiles,
-        lambda tile, i: strip(
-            F.substring(F.array_join(F.slice(tiles, i + 1, span), ""), 1, size)
-        ),
-    )
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(
-        F.filter(pieces, lambda piece: piece != "")
-    )
-
-
 def chunk_documents(
     cases: DataFrame,
     size: int = rules.CHUNK_CHARS,
@@ -45,17 +20,39 @@ def chunk_documents(
 ) -> DataFrame:
     """One row per chunk: id, index, total and text; other columns are kept.
 
-    There is no shuffle: a chunk row is made where its case row lies.
+    Chunks have ``size`` characters and start ``size - overlap`` apart; they are
+    stripped and empty ones are left out.  A text up to one chunk stays as it is.
+
+    The text is cut into step-long tiles in one pass and each chunk is put together
+    from its tiles, so the work grows with the text length and not with its square.
+    Text and tiles are columns of their own, as lambdas compute what is inlined into
+    them once per element.  There is no shuffle.  No chunk list is ever empty, so the
+    outer form of the explode adds no rows; the inner form would have Spark compute
+    all chunks a second time to filter empty lists before the explode.
     """
-    pieces = cases.withColumn(
-        "__chunks", chunk_text(clean_text(F.col(document)), size, overlap)
-    )
+    if size <= overlap:
+        raise ValueError("the chunk size must be greater than the overlap")
+    step = size - overlap
+    span = -(-size // step)
     rest = [c for c in cases.columns if c not in (document, key)]
-    spread = pieces.select(
+    tiled = cases.withColumn("__text", clean_text(F.col(document))).withColumn(
+        "__tiles", F.regexp_extract_all(F.col("__text"), F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+    )
+
+    def chunk(_, i: Column) -> Column:
+        tiles = F.slice(F.col("__tiles"), i + 1, span)
+        return strip(F.substring(F.array_join(tiles, ""), 1, size))
+
+    pieces = F.filter(F.transform("__tiles", chunk), lambda piece: piece != "")
+    whole = F.length("__text") <= size
+    cut = tiled.withColumn(
+        "__chunks", F.when(whole, F.array("__text")).otherwise(pieces)
+    )
+    spread = cut.select(
         key,
         *rest,
         F.size("__chunks").alias("total_chunks"),
-        F.posexplode("__chunks").alias("chunk_index", "chunk_text"),
+        F.posexplode_outer("__chunks").alias("chunk_index", "chunk_text"),
     )
     return spread.select(
         F.concat_ws("_", key, F.lit("chunk"), "chunk_index").alias("chunk_id"),
@@ -83,30 +80,32 @@ def metadata_columns(columns: list[str], override: str = "") -> list[str]:
     return chosen[: rules.METADATA_MAX_COLUMNS]
 
 
-def chunk_metadata(chunks: DataFrame, chosen: list[str]) -> DataFrame:
-    """Adds ``metadata``; fixed entries win, empty and over-long values are left out."""
-    fixed = {
-        "incident_id": clean_text(F.col("incident_id")),
-        "incident_number": clean_text(F.col("incident_number")),
-        "plim_incident_id": clean_text(F.col("plim_incident_id")),
-        "chunk_index": F.col("chunk_index").cast("string"),
-        "total_chunks": F.col("total_chunks").cast("string"),
-        "source_dataset": F.col("source_dataset"),
-        "schema_signature": clean_text(F.col("schema_signature")),
-    }
-    free = [c for c in chosen if c not in fixed]
-    steady = F.map_from_arrays(
-        F.array(*[F.lit(c) for c in fixed]), F.array(*fixed.values())
+_FIXED = ["incident_id", "incident_number", "plim_incident_id", "chunk_index",
+          "total_chunks", "source_dataset", "schema_signature"]
+
+
+def case_metadata(cases: DataFrame, chosen: list[str]) -> DataFrame:
+    """Adds ``case_metadata``: the chosen columns of a case that are neither empty
+    nor over-long and that no fixed entry overrides."""
+    free = [c for c in chosen if c not in _FIXED]
+    cleaned = cases.withColumn(
+        "__values", F.array(*[clean_text(F.col(c)) for c in free]).cast("array<string>")
     )
-    if not free:
-        return chunks.withColumn("metadata", steady)
-    values = F.map_from_arrays(
-        F.array(*[F.lit(c) for c in free]), F.array(*[clean_text(F.col(c)) for c in free])
+    entries = F.map_from_arrays(
+        F.array(*[F.lit(c) for c in free]).cast("array<string>"), F.col("__values")
     )
     short = F.map_filter(
-        values, lambda _, v: (v != "") & (F.length(v) <= rules.METADATA_MAX_CHARS)
+        entries, lambda _, v: (v != "") & (F.length(v) <= rules.METADATA_MAX_CHARS)
     )
-    return chunks.withColumn("metadata", F.map_concat(steady, short))
+    return cleaned.withColumn("case_metadata", short).drop("__values")
+
+
+def chunk_metadata(chunks: DataFrame) -> DataFrame:
+    """Adds ``metadata``: the fixed entries of a chunk and its ``case_metadata``."""
+    steady = F.map_from_arrays(
+        F.array(*[F.lit(c) for c in _FIXED]), F.array(*[F.col(c).cast("string") for c in _FIXED])
+    )
+    return chunks.withColumn("metadata", F.map_concat(steady, "case_metadata"))
 
 
 def chunk_rows(
@@ -115,10 +114,15 @@ def chunk_rows(
     overlap: int = rules.CHUNK_OVERLAP,
     override: str = "",
 ) -> DataFrame:
-    """Chunk store rows of a case store."""
+    """Chunk store rows of a case store.
+
+    The free metadata of a case is made once, before its text is cut.
+    """
     chosen = metadata_columns(cases.columns, override)
-    pieces = chunk_documents(cases, size, overlap)
-    return chunk_metadata(pieces, chosen).select(
+    kept = ["incident_id", "incident_number", "plim_incident_id", "source_dataset",
+            "schema_signature", "case_document"]
+    slim = case_metadata(cases, chosen).select(*kept, "case_metadata")
+    return chunk_metadata(chunk_documents(slim, size, overlap)).select(
         "chunk_id",
         "incident_id",
         "chunk_index",

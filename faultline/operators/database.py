@@ -126,7 +126,7 @@ def lock_waits(
             *keys, F.col("pid").alias("blocked_pid"), F.col("mode").alias("blocked_mode")
         ),
         "blocked",
-    ).withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    ).withColumn("__slice", F.explode_outer(F.sequence(F.lit(0), F.lit(slices - 1))))
     holders = with_session(
         locks.where("granted").select(*keys, F.col("pid").alias("blocking_pid")), "blocking"
     ).select(

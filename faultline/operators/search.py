@@ -136,7 +136,7 @@ def _tiled(wanted, stored, k, metric, tile_rows, tile_queries, schema, best, mea
     chunk_tiles = max(1, -(-stored.count() // tile_rows))
 
     def all_tiles(count):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        return F.explode_outer(F.sequence(F.lit(0), F.lit(count - 1)))
 
     left = stored.withColumn(
         "chunk_tile", F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_tiles)).cast("int")

@@ -35,19 +35,26 @@ def _decoded_path(path: Column) -> Column:
 
 def read_task_logs(spark: SparkSession, root: str) -> DataFrame:
     """One row per line, with the identity of the log taken from its path."""
-    return identified_lines(spark.read.option("recursiveFileLookup", "true").text(root))
+    return identified_lines(
+        with_file_facts(spark.read.option("recursiveFileLookup", "true").text(root))
+    )
 
 
-def identified_lines(rows: DataFrame) -> DataFrame:
-    """The same for text rows that a file source, batch or stream, has read."""
-    meta = rows.select(
+def with_file_facts(rows: DataFrame) -> DataFrame:
+    """Text rows of a file source, batch or stream, with what is known of the file."""
+    return rows.select(
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_modification_time").alias("modified"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line_pos"),
-    ).withColumn("path", _decoded_path(F.col("file_path")))
-    return meta.select(
+    )
+
+
+def identified_lines(rows: DataFrame) -> DataFrame:
+    """Lines with their position and the identity of their log."""
+    numbered = rows.withColumn("line_pos", F.monotonically_increasing_id())
+    located = numbered.withColumn("path", _decoded_path(F.col("file_path")))
+    return located.select(
         "path",
         *[value.alias(name) for name, value in log_identity(F.col("path")).items()],
         "modified",

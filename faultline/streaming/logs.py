@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from faultline import rules
 from faultline.plans.log_export import events_of
-from faultline.sources.task_logs import identified_lines
+from faultline.sources.task_logs import identified_lines, with_file_facts
 
 
 def stream_log_events(
@@ -23,11 +23,11 @@ def stream_log_events(
     ).format("text").load(root)
 
     def convert(batch: DataFrame, number: int) -> None:
-        events = events_of(batch).select(*rules.LOG_EVENT_COLUMNS)
+        events = events_of(identified_lines(batch)).select(*rules.LOG_EVENT_COLUMNS)
         events.write.mode("overwrite").parquet(f"{target}/batch_id={number}")
 
     return (
-        identified_lines(files)
+        with_file_facts(files)
         .writeStream.foreachBatch(convert)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)

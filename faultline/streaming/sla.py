@@ -20,7 +20,8 @@ def stream_sla(progress: DataFrame, key: str = "run_id", idle_minutes: int = 144
     ``progress`` has ``chunk_no, chunk_rows, elapsed_seconds, total_rows,
     sla_threshold``, in chunk order within a run.  The state of a run is the rows
     loaded and whether it has been reported; it is dropped when the run has been
-    silent for ``idle_minutes``.
+    silent for ``idle_minutes``.  What a group holds at once is its part of one
+    micro-batch, which ``maxFilesPerTrigger`` of the source bounds.
     """
     kind = dict(progress.dtypes)[key]
 
