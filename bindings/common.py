@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.session import shared_folder
+from faultline.session import shared_folder, tune
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,7 +29,12 @@ class Registry:
 
         def add(function):
             name = function.__name__
-            self.queries[name] = function
+
+            @functools.wraps(function)
+            def tuned(spark, folder):
+                return function(tune(spark), folder)
+
+            self.queries[name] = tuned
             self.operators[name] = operators.split()
             if sql is not None:
                 self.sql[name] = sql

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FLOAT = r"(?i)^[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$"
+_PLAIN = r"^[-+.0-9eE]+$"
+_GROUPED = r"(?i)^[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$"
 _INFINITE = r"(?i)^\+?inf(inity)?$"
 
 
 def to_double(value: Column) -> Column:
-    """Number in a text, null when it is none; "nan" is none as well."""
+    """Number in a text, null when it is none; "nan" is none as well.
+
+    Plain numbers take one cheap test; the rare forms with digit groups and
+    infinity are looked at only when that fails.
+    """
     text = F.trim(value.cast("string"))
-    plain = F.when(
-        text.rlike(_FLOAT), F.regexp_replace(text, "_", "").try_cast("double")
+    return (
+        F.when(text.rlike(_PLAIN), text.try_cast("double"))
+        .when(text.rlike(_GROUPED), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
+        .when(text.rlike(_INFINITE), F.lit(float("inf")))
     )
-    return F.when(text.rlike(_INFINITE), F.lit(float("inf"))).otherwise(plain)
 
 
 def positive(value: Column) -> Column:

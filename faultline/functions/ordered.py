@@ -154,6 +154,7 @@ def sliced_join(
     spread: Column,
     how: str = "left",
     slice_rows: int = 2_000_000,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join in which one key may hold a large share of the fact rows.
 
@@ -161,13 +162,12 @@ def sliced_join(
     ``spread`` (any deterministic value that differs between rows); the lookup rows
     of those keys alone are repeated once per slice.  There can be at most
     ``fact rows / slice_rows`` such keys, which bounds the broadcast list.  Rows
-    with a null key match nothing and are spread freely.
+    with a null key match nothing and are spread freely.  ``counts`` (the keys and
+    ``__rows``) saves the counting pass where the caller has the counts already.
     """
-    counted = (
-        facts.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > slice_rows)
-    )
+    if counts is None:
+        counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    counted = counts.where(F.col("__rows") > slice_rows)
     hot = F.broadcast(
         counted.select(*keys, F.ceil(F.col("__rows") / slice_rows).alias("__slices"))
     )

@@ -55,17 +55,31 @@ def volume_band(
     """Performance cases of a volume near the current run's; all of them for a run
     that has none near.
 
-    ``runs`` holds ``by`` and ``current_volume``.  Whether a run has a case in its
-    band is an aggregate per run, so no window ever holds all cases of a run.
+    ``runs`` holds ``by`` and ``current_volume``, one row per run.  Whether a run has
+    a case in its band is found on the distinct volumes of its cases, so no window
+    and no task ever holds all cases of a run, and the cases are joined once.
     """
-    marked = sliced_join(perf_cases(cases), runs.select(by, "current_volume"), [by], spread,
-                         "inner", slice_rows).withColumn(
-        "volume_matched",
-        F.coalesce(in_band(F.col("record_volume"), F.col("current_volume"), tolerance), F.lit(False)),
+    perf = perf_cases(cases)
+
+    def near(volume: str) -> Column:
+        current = F.col("current_volume")
+        return F.coalesce(in_band(F.col(volume), current, tolerance), F.lit(False))
+
+    volumes = perf.groupBy(by, "record_volume").agg(F.count(F.lit(1)).alias("__n"))
+    graded = (
+        volumes.join(runs.select(by, "current_volume"), by)
+        .groupBy(by)
+        .agg(
+            F.max("current_volume").alias("current_volume"),
+            F.max(near("record_volume")).alias("__any"),
+            F.sum("__n").alias("__rows"),
+        )
     )
-    matched = marked.groupBy(by).agg(F.max("volume_matched").alias("__any"))
-    both = sliced_join(marked, matched, [by], spread, "inner", slice_rows)
-    return both.where(F.col("volume_matched") | ~F.col("__any")).drop("__any")
+    joined = sliced_join(
+        perf, graded.drop("__rows"), [by], spread, "inner", slice_rows,
+        graded.select(by, "__rows"),
+    ).withColumn("volume_matched", near("record_volume"))
+    return joined.where(F.col("volume_matched") | ~F.col("__any")).drop("__any")
 
 
 def _mean(value: Column, keep: Column) -> Column:

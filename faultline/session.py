@@ -15,6 +15,8 @@ SETTINGS = {
     # run, dag and task ids must stay strings when they come from directory names
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites for error messages cost several round trips per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -29,6 +31,14 @@ def build_session(
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Applies the settings to a session that somebody else has built."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder that every executor sees, for checkpoints and staged tables.
 

@@ -21,16 +21,19 @@ def path_part(path: Column, name: str, pattern: str = "[^/]+") -> Column:
 
 
 def log_identity(path: Column) -> dict[str, Column]:
+    """Ids of a log; escapes that Spark writes into folder names are undone."""
     return {
-        "dag_id": path_part(path, "dag_id"),
-        "run_id": path_part(path, "run_id"),
-        "task_id": path_part(path, "task_id"),
+        "dag_id": _unescaped(path_part(path, "dag_id")),
+        "run_id": _unescaped(path_part(path, "run_id")),
+        "task_id": _unescaped(path_part(path, "task_id")),
         "attempt": path_part(path, "attempt", r"\d+"),
     }
 
 
-def _decoded_path(path: Column) -> Column:
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+def _unescaped(text: Column) -> Column:
+    """Percent escapes as characters; a plus stays, bad escapes stay."""
+    safe = F.replace(text, F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(safe), text)
 
 
 def read_task_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -53,7 +56,7 @@ def with_file_facts(rows: DataFrame) -> DataFrame:
 def identified_lines(rows: DataFrame) -> DataFrame:
     """Lines with their position and the identity of their log."""
     numbered = rows.withColumn("line_pos", F.monotonically_increasing_id())
-    located = numbered.withColumn("path", _decoded_path(F.col("file_path")))
+    located = numbered.withColumn("path", _unescaped(F.col("file_path")))
     return located.select(
         "path",
         *[value.alias(name) for name, value in log_identity(F.col("path")).items()],
