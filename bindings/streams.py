@@ -1,3 +1,93 @@
-from bindings.common import Registry
+"""Streaming forms, run to the end of the shared tables and compared with batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bindings import health, loads, logs
+from bindings.common import Registry, fresh_folder, table
+from faultline import rules
+from faultline.streaming.load import loaded, stream_load
+from faultline.streaming.logs import stream_log_events
+from faultline.streaming.sla import stream_sla, stream_trend, stream_triggers
 
 REGISTRY = Registry()
+query = REGISTRY.query
+ONCE = {"availableNow": True}
+
+
+def source(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A shared table as a file stream; the pattern matches its one file."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}*.parquet")
+
+
+def run_out(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream until its source is used up and reads what it wrote."""
+    spark = stream.sparkSession
+    path = fresh_folder(spark, name)
+    stream.writeStream.format("parquet").option("path", f"{path}/rows").option(
+        "checkpointLocation", f"{path}/checkpoint"
+    ).trigger(**ONCE).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+@query(
+    "STR-02",
+    f"with {loads.CHUNKS_SQL} select run_id, total_rows::bigint as total_rows, rows_inserted, pct_complete, "
+    "elapsed_seconds, rows_per_second, eta_seconds, sla_threshold::bigint as sla_threshold, "
+    "elapsed_seconds as sla_breached_at from breaches",
+)
+def streamed_breaches(spark, folder):
+    orders = source(spark, folder, "orders")
+    elapsed = F.datediff("o_orderdate", F.lit("1995-01-01"))
+    chunks = orders.select(
+        F.col("o_custkey").alias("run_id"),
+        (elapsed.cast("bigint") * 1_000_000_000 + F.col("o_orderkey")).alias("chunk_no"),
+        F.floor("o_totalprice").cast("bigint").alias("chunk_rows"),
+        elapsed.cast("double").alias("elapsed_seconds"),
+        F.lit(2_000_000).cast("bigint").alias("total_rows"),
+        F.lit(1500).cast("bigint").alias("sla_threshold"),
+    )
+    return run_out(stream_sla(chunks), "breaches")
+
+
+@query(
+    "STR-04",
+    f"with {health.TREND_SQL} select host, sample_no, trend, delta_percent from trends",
+)
+def streamed_trend(spark, folder):
+    events = source(spark, folder, "events")
+    samples = events.select(
+        F.col("user_id").alias("host"),
+        F.col("event_id").alias("sample_no"),
+        (F.col("value") / 5).alias("ram_used_percent"),
+    )
+    return run_out(stream_trend(samples), "trend")
+
+
+@query("STR-05", "select distinct user_id from events where event_type = 'error'")
+def streamed_triggers(spark, folder):
+    errors = source(spark, folder, "events").where(F.col("event_type") == "error")
+    return run_out(stream_triggers(errors, ["user_id"], "ts", "60 days"), "triggers").select("user_id")
+
+
+@query("STR-01 SNK-04", loads.REGISTRY.sql["first_per_key"])
+def streamed_load(spark, folder):
+    path = fresh_folder(spark, "stream-load")
+    names = [c.strip() for c in loads.LINE_ORDER.split(",")]
+    rows = source(spark, folder, "lineitem").select(
+        "l_orderkey", *names, F.struct(*names).alias("place")
+    )
+    stream_load(rows, f"{path}/rows", f"{path}/checkpoint", "l_orderkey", "place", ONCE).awaitTermination()
+    return loaded(spark, f"{path}/rows", rows.schema).drop("place")
+
+
+@query("STR-03", logs.REGISTRY.sql["exported_log_events"])
+def streamed_log_events(spark, folder):
+    root, path = logs.written_logs(spark, folder), fresh_folder(spark, "stream-logs")
+    stream_log_events(spark, root, f"{path}/rows", f"{path}/checkpoint", ONCE).awaitTermination()
+    return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows").select(
+        *rules.LOG_EVENT_COLUMNS
+    )

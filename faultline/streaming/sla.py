@@ -8,22 +8,46 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from faultline import rules
 
+DAY_MS = 86_400_000
+
+
+def _timed(rows: DataFrame, event_time: str | None, delay: str) -> tuple[DataFrame, str]:
+    """Watermark and event time in milliseconds, and the kind of state timeout.
+
+    Without an event time the state is kept for good; that suits a bounded run.
+    """
+    if event_time is None:
+        timed = rows.withColumn("__ms", F.lit(0).cast("bigint"))
+        return timed, GroupStateTimeout.NoTimeout
+    timed = rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    timed = timed.withColumn("__ms", F.unix_millis(event_time)).withWatermark(event_time, delay)
+    return timed, GroupStateTimeout.EventTimeTimeout
+
+
 BREACH = (
     "total_rows long, rows_inserted long, pct_complete double, elapsed_seconds double, "
     "rows_per_second double, eta_seconds double, sla_threshold long, sla_breached_at double"
 )
 
 
-def stream_sla(progress: DataFrame, key: str = "run_id", idle_minutes: int = 1440) -> DataFrame:
+def stream_sla(
+    progress: DataFrame,
+    key: str = "run_id",
+    event_time: str | None = None,
+    delay: str = "1 hour",
+    idle_ms: int = DAY_MS,
+) -> DataFrame:
     """One row per run, at the first chunk that starts after the SLA has passed.
 
     ``progress`` has ``chunk_no, chunk_rows, elapsed_seconds, total_rows,
     sla_threshold``, in chunk order within a run.  The state of a run is the rows
-    loaded and whether it has been reported; it is dropped when the run has been
-    silent for ``idle_minutes``.  What a group holds at once is its part of one
+    loaded and whether it has been reported; with an ``event_time`` it is dropped
+    once the watermark is ``idle_ms`` past the last chunk of the run.  What a group holds at once is its part of one
     micro-batch, which ``maxFilesPerTrigger`` of the source bounds.
     """
     kind = dict(progress.dtypes)[key]
+    timed, timeout = _timed(progress, event_time, delay)
+    expires = event_time is not None
 
     def watch(group, batches, state):
         import pandas as pd
@@ -57,14 +81,16 @@ def stream_sla(progress: DataFrame, key: str = "run_id", idle_minutes: int = 144
             )
             reported = True
         state.update((inserted + int(chunks["chunk_rows"].sum()), reported))
-        state.setTimeoutDuration(idle_minutes * 60_000)
+        if expires:
+            latest = max(int(chunks["__ms"].max()), state.getCurrentWatermarkMs())
+            state.setTimeoutTimestamp(latest + idle_ms)
 
-    return progress.groupBy(key).applyInPandasWithState(
+    return timed.groupBy(key).applyInPandasWithState(
         watch,
         f"{key} {kind}, {BREACH}",
         "rows_inserted long, reported boolean",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        timeout,
     )
 
 
@@ -75,10 +101,14 @@ def stream_trend(
     value: str = "ram_used_percent",
     n: int = rules.TREND_SAMPLES,
     band: float = rules.TREND_BAND,
-    idle_minutes: int = 1440,
+    event_time: str | None = None,
+    delay: str = "1 hour",
+    idle_ms: int = DAY_MS,
 ) -> DataFrame:
     """Memory trend at each sample; the state of a host is its last ``n - 1`` values."""
     kinds = dict(samples.dtypes)
+    timed, timeout = _timed(samples, event_time, delay)
+    expires = event_time is not None
 
     def follow(group, batches, state):
         import numpy as np
@@ -104,14 +134,16 @@ def stream_trend(
             }
         )
         state.update((series[-(n - 1):].tolist(),))
-        state.setTimeoutDuration(idle_minutes * 60_000)
+        if expires:
+            latest = max(int(rows["__ms"].max()), state.getCurrentWatermarkMs())
+            state.setTimeoutTimestamp(latest + idle_ms)
 
-    return samples.groupBy(key).applyInPandasWithState(
+    return timed.groupBy(key).applyInPandasWithState(
         follow,
         f"{key} {kinds[key]}, {order} {kinds[order]}, trend string, delta_percent double",
         "recent array<double>",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        timeout,
     )
 
 
