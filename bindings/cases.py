@@ -176,7 +176,9 @@ def merged_sql() -> str:
 
 
 def stages(spark: SparkSession, folder: str) -> Prepared:
-    return prepare(incident_rows(spark, folder), "shared_documents")
+    """The stages of an ingest, with the distinct rows written to the shared folder."""
+    staged = fresh_folder(spark, "distinct-rows")
+    return prepare(incident_rows(spark, folder), "shared_documents", staged=staged)
 
 
 @query("AGG-04", f"select 'ticket_id' as id_column, count(*) as rows, "

@@ -245,7 +245,29 @@ BAND_SQL = f"""{LINES_SQL}, {RUNS_SQL},
 
 
 def incidents(spark: SparkSession, folder: str) -> DataFrame:
-    return b.to_incident(line_cases(spark, folder))
+    """The same order lines as typed incident records."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, folder, "lineitem").join(
+        orders, F.col("l_orderkey") == F.col("o_orderkey")
+    )
+
+    def hundredths(column: str):
+        return F.floor(F.col(column) * 100 + 0.5).cast("double")
+
+    return lines.select(
+        F.col("o_custkey").alias("query_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("case_rank"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("incident_id"),
+        F.col("l_quantity").cast("bigint").alias("record_volume"),
+        F.when(F.col("l_linestatus") == "F", F.floor("l_extendedprice").cast("double"))
+        .otherwise(0.0).alias("rows_per_second"),
+        F.when(F.col("l_returnflag") == "R", 0.0).otherwise(hundredths("l_tax")).alias("elapsed_seconds"),
+        hundredths("l_discount").alias("fix_reduced_time_by_pct"),
+        F.lit(0.0).alias("estimated_improvement_pct"),
+        F.when(F.col("l_returnflag") == "N", "").otherwise(F.col("l_returnflag")).alias("insert_method"),
+        F.col("l_quantity").cast("bigint").alias("batch_size"),
+        F.concat_ws(" ", F.lit("fix"), "l_suppkey", "l_partkey").alias("fix_applied"),
+    )
 
 
 def banded(spark: SparkSession, folder: str) -> DataFrame:
@@ -261,7 +283,7 @@ def banded(spark: SparkSession, folder: str) -> DataFrame:
     "0::bigint as recurrence_count, 0::double as sla_breached_by_seconds from lines",
 )
 def incident_records(spark, folder):
-    return incidents(spark, folder).select(
+    return b.to_incident(line_cases(spark, folder)).select(
         "query_id", "incident_id", "record_volume", "rows_per_second", "elapsed_seconds",
         "batch_size", "priority", "root_cause", "recurrence_count", "sla_breached_by_seconds",
     )

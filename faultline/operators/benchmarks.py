@@ -10,7 +10,7 @@ from faultline.functions.numeric import positive_or_zero, positive_whole_or_zero
 from faultline.functions.ordered import sliced_join
 from faultline.operators.search import rank_similarity
 
-_EXACT = "decimal(38,6)"
+_SCALE = 1_000_000
 
 
 def to_incident(cases: DataFrame, rank: str = "case_rank") -> DataFrame:
@@ -83,9 +83,12 @@ def volume_band(
 
 
 def _mean(value: Column, keep: Column) -> Column:
-    """Mean of the positive values, added up exactly so that order cannot matter."""
-    counted = F.when(keep & (value > 0), value.cast(_EXACT))
-    return F.sum(counted).cast("double") / F.nullif(F.count(counted), F.lit(0))
+    """Mean of the positive values.  They are added up as whole millionths, which is
+    exact, so the order in which partial sums meet cannot show in the result."""
+    scaled = F.floor(value * _SCALE + 0.5).cast("decimal(20,0)")
+    counted = F.when(keep & (value > 0), scaled)
+    total = F.sum(counted).cast("double") / float(_SCALE)
+    return total / F.nullif(F.count(counted), F.lit(0))
 
 
 def benchmarks(

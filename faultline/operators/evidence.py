@@ -63,12 +63,9 @@ def _pair(line: Column, following: Column) -> Column:
     return F.when(following.isNull(), line).otherwise(F.concat(line, F.lit("\n"), following))
 
 
-def _starting_in(line: Column, pair: Column, pattern: str, group: int) -> tuple[Column, Column]:
-    """Whether a match begins in ``line``, and the match, which may end in the next.
-
-    The text up to the line end is protected by asking that the match starts before
-    the line feed, so a match that lies wholly in the next line is not counted twice.
-    """
+def _starting_in(pair: Column, pattern: str, group: int) -> tuple[Column, Column]:
+    """Whether a match begins in the first line of a pair, and the match, which may
+    end in the second.  A match that lies wholly in the second line is left to it."""
     begins = rf"(?id)\A[^\n]*?(?:{pattern})"
     return pair.rlike(begins), F.regexp_extract(pair, begins, group)
 
@@ -84,16 +81,22 @@ def error_evidence(
     chained = with_next_line(lines, key, block, pos, line)
     pair = _pair(text, F.col("next_line"))
 
+    # a literal that every match begins with keeps the patterns off most lines
+    low = F.lower(text)
     finds = [F.min(phrase_rank(text)).alias("__phrase")]
-    for i, pattern in enumerate(rules.ERROR_MESSAGE_PATTERNS):
-        hit, found = _starting_in(text, pair, f"({pattern})", 1)
+    for i, (pattern, literal) in enumerate(
+        zip(rules.ERROR_MESSAGE_PATTERNS, rules.ERROR_MESSAGE_LITERALS)
+    ):
+        hit, found = _starting_in(pair, f"({pattern})", 1)
+        hit = low.contains(literal) & hit
         finds.append(_earliest(hit, order, found).alias(f"__message{i}"))
     words = reduce(
         lambda a, b: a | b, [F.lower(text).contains(w) for w in rules.ERROR_LINE_WORDS]
     )
     finds.append(_earliest(words, order, text).alias("__word_line"))
     for i, pattern in enumerate(rules.PRODUCT_ID_PATTERNS):
-        hit, found = _starting_in(text, pair, pattern, 1)
+        hit, found = _starting_in(pair, pattern, 1)
+        hit = low.contains(rules.PRODUCT_ID_LITERAL) & hit
         finds.append(_earliest(hit, order, found).alias(f"__product{i}"))
     stamp = text.rlike(rules.ISO_TIMESTAMP_PATTERN)
     finds.append(

@@ -45,6 +45,10 @@ ERROR_MESSAGE_PATTERNS = [
     r"ERROR.*?-\s*(.+)",
 ]
 
+# Lower-case text that any match of the pattern at the same place holds.
+ERROR_MESSAGE_LITERALS = ["exception:", "caused by:", "failure caused by", "error"]
+PRODUCT_ID_LITERAL = "product_id"
+
 # Product id patterns, tried in this order, ignoring case.
 PRODUCT_ID_PATTERNS = [
     r"Key \(product_id\)=\((\d+)\)",
