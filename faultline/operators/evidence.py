@@ -14,15 +14,14 @@ from pyspark.sql import functions as F
 
 from faultline import rules
 from faultline.functions.ordered import first_rows, null_safe_join
-from faultline.functions.text import strip
+from faultline.functions.text import any_of, strip
 
 NO_LOG_MESSAGE = "No log content available"
 UNKNOWN = "Unknown"
 
 
-def phrase_rank(text: Column) -> Column:
-    """Place of the first listed error phrase in a text, ignoring case; null if none."""
-    low = F.lower(text)
+def phrase_rank(low: Column) -> Column:
+    """Place of the first listed error phrase in a lower-case text; null if none."""
     ranked = list(enumerate(phrase.lower() for phrase, _ in rules.ERROR_PHRASES))
     none = F.lit(None).cast("int")
     return reduce(
@@ -40,7 +39,7 @@ def ranked_error_type(rank: Column) -> Column:
 
 def match_keyword(texts: DataFrame, text: str, name: str = "error_type") -> DataFrame:
     """Error type of single texts."""
-    return texts.withColumn(name, ranked_error_type(phrase_rank(F.col(text))))
+    return texts.withColumn(name, ranked_error_type(phrase_rank(F.lower(F.col(text)))))
 
 
 def with_next_line(lines: DataFrame, key: list[str], block: str, pos: str, line: str) -> DataFrame:
@@ -78,21 +77,21 @@ def error_evidence(
     ``lines`` are stripped and non-blank, as ``json_log_lines`` leaves them.
     """
     text, order = F.col(line), F.struct(block, pos)
-    chained = with_next_line(lines, key, block, pos, line)
-    pair = _pair(text, F.col("next_line"))
+    # columns of their own, so that they are computed once per line
+    chained = with_next_line(lines, key, block, pos, line).withColumns(
+        {"__pair": _pair(text, F.col("next_line")), "__low": F.lower(text)}
+    )
+    pair, low = F.col("__pair"), F.col("__low")
 
     # a literal that every match begins with keeps the patterns off most lines
-    low = F.lower(text)
-    finds = [F.min(phrase_rank(text)).alias("__phrase")]
+    finds = [F.min(phrase_rank(low)).alias("__phrase")]
     for i, (pattern, literal) in enumerate(
         zip(rules.ERROR_MESSAGE_PATTERNS, rules.ERROR_MESSAGE_LITERALS)
     ):
         hit, found = _starting_in(pair, f"({pattern})", 1)
         hit = low.contains(literal) & hit
         finds.append(_earliest(hit, order, found).alias(f"__message{i}"))
-    words = reduce(
-        lambda a, b: a | b, [F.lower(text).contains(w) for w in rules.ERROR_LINE_WORDS]
-    )
+    words = any_of([low.contains(w) for w in rules.ERROR_LINE_WORDS])
     finds.append(_earliest(words, order, text).alias("__word_line"))
     for i, pattern in enumerate(rules.PRODUCT_ID_PATTERNS):
         hit, found = _starting_in(pair, pattern, 1)

@@ -32,13 +32,16 @@ def build_session(
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Applies the settings to a session that somebody else has built."""
+    """Applies to a session that somebody else has built what can still be set."""
     for key, value in SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder that every executor sees, for checkpoints and staged tables.
 
@@ -49,6 +52,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="faultline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        run = spark.sparkContext.applicationId
+        base = _local_folders.setdefault(run, "") or tempfile.mkdtemp(prefix="faultline-")
+        _local_folders[run] = base
     return os.path.join(base, name) if "://" not in base else f"{base.rstrip('/')}/{name}"
