@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline import rules
 from faultline.functions.ordered import first_rows, sliced_join
-from faultline.functions.text import any_of
 
 # Query vectors that every task may hold: 4,096 of 1,024 doubles are 32 MB.
 BROADCAST_QUERIES = 4096
@@ -38,10 +37,13 @@ def _distances(matrix, vector, metric: str):
     return 1.0 - products / np.where(norms == 0, 1.0, norms)
 
 
-def _best(ids, matrix, queries, limit, metric, measure):
-    """Nearest ids of one batch for every query; ties go to the smaller id."""
+def _best(rows, queries, limit, metric, measure):
+    """Nearest chunks of one batch for every query; ties go to the smaller id."""
     import numpy as np
 
+    ids, owners = rows["chunk_id"].to_numpy(), rows["case_id"].to_numpy()
+    matrix = np.stack(rows["embedding"].to_numpy()).astype("float64")
+
     for query_id, vector in queries:
         found = measure(matrix, vector, metric)
         if len(found) > limit:
@@ -51,25 +53,22 @@ def _best(ids, matrix, queries, limit, metric, measure):
             near = np.arange(len(found))
         order = np.lexsort((ids[near], found[near]))[:limit]
         for place in near[order]:
-            yield query_id, ids[place], float(found[place])
+            yield query_id, ids[place], owners[place], float(found[place])
 
 
 def _scan_partitions(queries: list, limit: int, metric: str, best, measure):
     """Keeps the best hits of a whole partition, batch after batch."""
 
     def scan(batches):
-        import numpy as np
         import pandas as pd
 
         kept = None
         for batch in batches:
             if batch.empty:
                 continue
-            ids = batch["chunk_id"].to_numpy()
-            matrix = np.stack(batch["embedding"].to_numpy()).astype("float64")
             hits = pd.DataFrame(
-                list(best(ids, matrix, queries, limit, metric, measure)),
-                columns=["query_id", "chunk_id", "distance"],
+                list(best(batch, queries, limit, metric, measure)),
+                columns=["query_id", "chunk_id", "case_id", "distance"],
             )
             pool = hits if kept is None else pd.concat([kept, hits])
             pool = pool.sort_values(["query_id", "distance", "chunk_id"])
@@ -100,20 +99,28 @@ def nearest(
     tile_rows: int = 20_000,
     tile_queries: int = 1_000,
 ) -> DataFrame:
-    """The ``k`` nearest chunks per query: ``query_id, chunk_id, distance``.
+    """The ``k`` nearest chunks per query: ``query_id, chunk_id, case_id, distance``.
 
     ``queries`` holds ``query_id, embedding``, ``chunks`` holds ``chunk_id,
-    embedding``.  Exact search.  Up to ``query_limit`` queries (and a bound on their
+    embedding`` and may hold ``incident_id``, which goes along as ``case_id`` so that
+    hits need not be joined with the chunk table again.  Exact search.  Up to ``query_limit`` queries (and a bound on their
     values) are sent to the tasks, which scan the chunks where they lie and give back
     ``k`` hits per query and partition.  More queries than that are cut, like the
     chunks, into tiles of bounded size; each pair of tiles is one task.  The size
     check is a bounded action on the query table.
     """
     kinds = dict(queries.dtypes), dict(chunks.dtypes)
-    schema = f"query_id {kinds[0]['query_id']}, chunk_id {kinds[1]['chunk_id']}, distance double"
+    schema = (
+        f"query_id {kinds[0]['query_id']}, chunk_id {kinds[1]['chunk_id']}, "
+        "case_id string, distance double"
+    )
+    owned = "incident_id" in chunks.columns
+    owner = F.col("incident_id") if owned else F.lit(None)
     best, measure = _local(_best), _local(_distances)
     wanted = queries.select("query_id", "embedding")
-    stored = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    stored = chunks.where(F.col("embedding").isNotNull()).select(
+        "chunk_id", owner.cast("string").alias("case_id"), "embedding"
+    )
 
     head = wanted.limit(query_limit + 1).toPandas()
     values = int(head["embedding"].map(len).sum()) if len(head) else 0
@@ -149,16 +156,14 @@ def _tiled(wanted, stored, k, metric, tile_rows, tile_queries, schema, best, mea
         import numpy as np
         import pandas as pd
 
-        columns = ["query_id", "chunk_id", "distance"]
+        columns = ["query_id", "chunk_id", "case_id", "distance"]
         if rows.empty or questions.empty:
             return pd.DataFrame(columns=columns)
-        matrix = np.stack(rows["embedding"].to_numpy()).astype("float64")
         held = [
             (q, np.asarray(v, dtype="float64"))
             for q, v in zip(questions["query_id"], questions["embedding"])
         ]
-        ids = rows["chunk_id"].to_numpy()
-        return pd.DataFrame(list(best(ids, matrix, held, k, metric, measure)), columns=columns)
+        return pd.DataFrame(list(best(rows, held, k, metric, measure)), columns=columns)
 
     keys = ["chunk_tile", "query_tile"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
@@ -257,10 +262,6 @@ def lookup_cases(
     return sliced_join(wanted, full, ["case_id"], spread, "inner", slice_rows)
 
 
-def is_empty(spark: SparkSession, chunks: DataFrame) -> bool:
+def is_empty(chunks: DataFrame) -> bool:
     """True when the store holds no chunk; one row is probed."""
     return chunks.isEmpty()
-
-
-def has_words(value: Column, words: list[str]) -> Column:
-    return any_of([F.lower(value).contains(w) for w in words])

@@ -34,6 +34,4 @@ def matched_chunks(
 ) -> DataFrame:
     """Ranked hits with the case they belong to."""
     hits = search.nearest(queries, chunks, search.candidate_count(k, multiplier), metric)
-    ranked = search.candidates(hits, k, multiplier)
-    owner = chunks.select("chunk_id", F.col("incident_id").alias("case_id"))
-    return ranked.join(owner, "chunk_id")
+    return search.candidates(hits, k, multiplier)

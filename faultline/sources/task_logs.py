@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from faultline.functions.text import strip
 
 LOG_KEY = ["path"]
-_JSON_OBJECT = "map<string,string>"
+_JSON_OBJECTS = "array<map<string,string>>"
 
 
 def path_part(path: Column, name: str, pattern: str = "[^/]+") -> Column:
@@ -68,11 +68,16 @@ def identified_lines(rows: DataFrame) -> DataFrame:
 
 
 def json_log_line(line: Column) -> Column:
-    """``[LEVEL] event`` for a JSON object, the line itself otherwise."""
-    fields = F.from_json(line, _JSON_OBJECT, {"mode": "PERMISSIVE"})
+    """``[LEVEL] event`` for a JSON object, the line itself otherwise.
+
+    The line is read as the one element of a list, as text after an object would
+    otherwise be passed over.
+    """
+    listed = F.from_json(F.concat(F.lit("["), line, F.lit("]")), _JSON_OBJECTS)
+    fields = F.try_element_at(listed, F.lit(1))
     level = F.upper(F.coalesce(fields["level"], F.lit("info")))
     event = F.coalesce(fields["event"], F.lit(""))
-    is_object = line.startswith("{") & fields.isNotNull()
+    is_object = line.startswith("{") & (F.size(listed) == 1)
     return F.when(is_object, F.concat(F.lit("["), level, F.lit("] "), event)).otherwise(line)
 
 

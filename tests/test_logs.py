@@ -192,3 +192,8 @@ def test_streamed_logs_equal_batch(spark, tmp_path):
     assert run() == batch
     write_log(root, TEXT, run="later")
     assert len(run()) == 2 * len(batch)
+
+
+def test_text_after_a_json_object_is_no_json(frame):
+    rows = task_logs.json_log_lines(frame([('{"event": "x"} tail',)], "line string"))
+    assert [r.line for r in rows.collect()] == ['{"event": "x"} tail']

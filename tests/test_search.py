@@ -49,7 +49,7 @@ def test_empty_store(frame):
     queries = frame([("q", [1.0])], "query_id string, embedding array<double>")
     cases = frame([], "incident_id string, title string")
     assert retrieve(queries, chunks, cases).collect() == []
-    assert search.is_empty(None, chunks)
+    assert search.is_empty(chunks)
 
 
 def test_unique_cases_and_similarity(frame):
