@@ -25,7 +25,7 @@ K = "cast(regexp_extract(props, '[0-9]+', 0) as int)"
 AT = "substr(cast(ts as string), 1, 19)"
 LINE = f"""case
     when event_type = 'view' then concat('[', {AT}, '] `INFO` - Read ', {K}, ' rows  source=etl.reader_', {K}, ' loc=load.py:', event_id)
-    when event_type = 'click' and {K} < 30 then concat('[', {AT}, '] `WARNING` - *** SLA MISS *** launching AutoRCA source=etl.sla')
+    when event_type = 'click' and {K} < 30 then concat('[', {AT}, '] `WARNING` - *** SLA MISS *** launching autorca source=etl.sla')
     when event_type = 'click' and {K} < 60 then concat('  ', '[', {AT}, '] `INFO` - Inserted ', {K}, ' rows loc=x')
     when event_type = 'click' then concat('{{"level": "warning", "event": "chunk ', {K}, ' slow", "ts": "', replace({AT}, ' ', 'T'), '"}}')
     when event_type = 'signup' and {K} < 20 then props

@@ -19,7 +19,7 @@ TEXT = """lead-in line
     psycopg2.errors.UniqueViolation: duplicate key
 [2026-06-08 14:47:23] `ERROR` - step stopped
 not all arguments converted
-[2026-06-08 14:47:24] `WARNING` - *** SLA MISS *** launching AutoRCA
+[2026-06-08 14:47:24] `WARNING` - *** SLA MISS *** launching autorca
 [2026-06-08 14:47:25] `WARNING` - slow
 [2026-06-08 14:47:26] `INFO` - Exported 5
 {"event": "x"}
