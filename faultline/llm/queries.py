@@ -7,13 +7,26 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import contamination, html_text, lines, mixing, quality, sharding, simhash, tokens
+from faultline.llm import (
+    contamination,
+    html_text,
+    language,
+    lines,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    tokens,
+    toxicity,
+)
 from faultline.llm.common import held_out, remainder, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 QUALITY_MODULUS, QUALITY_SAMPLE, QUALITY_CUT = 5, 4000, 0.3
+LANGUAGE_MODULUS, LANGUAGE_REST = 4, 2
+TOXICITY_MODULUS, TOXICITY_CUT = 5, 0.5
 MAX_TOKENS = 4096
 SHARDS = 16
 
@@ -79,6 +92,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learn = remainder(F.col("doc_id"), LANGUAGE_MODULUS) != LANGUAGE_REST
+    model = language.train(docs, learn)
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        held_out(F.col("doc_id"), LANGUAGE_MODULUS, LANGUAGE_REST).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 @query
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -117,6 +143,19 @@ def op9_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = remainder(F.col("doc_id"), TOXICITY_MODULUS) != 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn)
+    return toxicity.with_score(docs, model).select(
+        "doc_id",
+        held_out(F.col("doc_id"), TOXICITY_MODULUS, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXICITY_CUT).cast("int").alias("predicted"),
+    )
+
+
 SQL["op2_clean_lines"] = r"""
 with docs as (
   select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents
