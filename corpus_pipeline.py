@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import contamination, mixing, quality, sharding, simhash
-from faultline.llm.common import fresh, table
+from faultline.llm.common import fresh, set_aside, table
 from faultline.llm.queries import QUALITY_CUT, SHARDS, quality_model
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject; empty texts are scored like others."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    scored = quality.with_score(docs, model, "__score")
-    return scored.where(F.col("__score") >= QUALITY_CUT).select(*docs.columns)
+    plain, back = set_aside(docs, "__score", "__stats")
+    scored = quality.with_score(plain, model, "__score")
+    return back(scored.where(F.col("__score") >= QUALITY_CUT))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +30,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which benchmark windows hit less than one word in twenty."""
-    marked = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = contamination.find_contamination(marked, table(spark, sf_dir, "benchmark"))
-    return found.where(~contamination.is_contaminated()).select("row.*")
+    plain, back = set_aside(docs, "n_words", "spans", "items", "clean_text")
+    found = contamination.find_contamination(plain, table(spark, sf_dir, "benchmark"))
+    return back(found.where(~contamination.is_contaminated()))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,18 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) == rest, F.lit(False))
 
 
+def set_aside(docs: DataFrame, *names: str):
+    """``docs`` with its columns of these names (in any case) renamed, and a function that returns
+    rows made from them to the columns of ``docs``."""
+    taken = {n.lower() for n in names}
+    other = {c: f"__aside_{i}" if c.lower() in taken else c for i, c in enumerate(docs.columns)}
+
+    def back(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f"`{new}`").alias(old) for old, new in other.items()])
+
+    return docs.select(*[F.col(f"`{old}`").alias(new) for old, new in other.items()]), back
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm.bktree import Forest, merged
-from faultline.llm.common import cut, ship
+from faultline.llm.common import cut, set_aside, ship
 from faultline.llm.components import components
 
 SEED = 42
@@ -89,23 +89,24 @@ def _shards(prints: DataFrame, radius: int) -> DataFrame:
     return prints.select("print", F.inline(F.array(*_blocks(F.col("print"), BITS, radius))))
 
 
-def _finer(members: DataFrame, radius: int) -> DataFrame:
-    """Members of crowded shards dealt anew by blocks of the bits outside the shard's block."""
+def _finer(radius: int) -> Column:
+    """Shards of a crowded shard's member, by blocks of the bits outside the shard's own block."""
     widths = _widths(BITS, radius + 1)
-    parts = []
+    choice = None
     for i, width in enumerate(widths):
         first = sum(widths[:i])
-        low = _field(F.col("print"), 0, first) if first else F.lit(0).cast("bigint")
         after = first + width
+        low = _field(F.col("print"), 0, first) if first else F.lit(0).cast("bigint")
         high = F.shiftleft(F.shiftrightunsigned("print", after), first) if after < BITS else F.lit(0)
-        inner = _blocks(low.bitwiseOR(high), BITS - width, radius)
-        parts.append(members.where(F.col("block") == i).select(
-            "print", "block", "value", F.inline(F.array(*inner)).alias("inner", "rest")
-        ))
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.union(part)
-    return together.select("print", F.xxhash64("block", "value", "inner", "rest").alias("shard"))
+        shards = F.array(
+            *[
+                F.xxhash64("block", "value", inner["block"], inner["value"])
+                for inner in _blocks(low.bitwiseOR(high), BITS - width, radius)
+            ]
+        )
+        here = F.col("block") == i
+        choice = F.when(here, shards) if choice is None else choice.when(here, shards)
+    return choice
 
 
 def _links_of(radius: int):
@@ -162,24 +163,33 @@ def links(prints: DataFrame, radius: int = 3, shard_size: int = 4096) -> DataFra
     dealt = _shards(prints, radius)
     # one row per block value: 4 * 2**16 for a radius of 3, whatever the input
     crowded = F.broadcast(
-        dealt.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > shard_size).drop("n")
+        dealt.groupBy("block", "value")
+        .agg((F.count("*") > shard_size).alias("crowded"))
+        .where("crowded")
+    )
+    plain = F.array(F.xxhash64("block", "value"))
+    placed = dealt.join(crowded, ["block", "value"], "left").select(
+        "print",
+        F.coalesce("crowded", F.lit(False)).alias("finer"),
+        F.explode(F.when(F.col("crowded"), _finer(radius)).otherwise(plain)).alias("shard"),
+    )
+    still = (
+        placed.where("finer")
+        .groupBy("shard")
+        .agg(F.ceil(F.count("*") / shard_size).cast("int").alias("pieces"))
+        .where("pieces > 1")
     )
-    finer = _finer(dealt.join(crowded, ["block", "value"], "left_semi"), radius)
-    sizes = finer.groupBy("shard").agg(F.ceil(F.count("*") / shard_size).alias("pieces"))
-    sliced = (
-        finer.join(sizes.where("pieces > 1"), "shard", "left")
+    members = (
+        placed.join(still, "shard", "left")
         .withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-        .withColumn("home", F.pmod(F.xxhash64("print"), F.col("pieces")).cast("int"))
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("pieces").cast("int") - 1)))
+        .select(
+            "shard",
+            F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("slice"),
+            "print",
+            F.pmod(F.xxhash64("print"), F.col("pieces")).alias("home"),
+        )
         .select("shard", "slice", "print", (F.col("slice") == F.col("home")).alias("own"))
     )
-    plain = dealt.join(crowded, ["block", "value"], "left_anti").select(
-        (F.col("block") * F.lit(1 << 32) + F.col("value")).alias("shard"),
-        F.lit(0).alias("slice"),
-        "print",
-        F.lit(True).alias("own"),
-    )
-    members = plain.union(sliced)
     return (
         members.repartition("shard", "slice")
         .sortWithinPartitions("shard", "slice")
@@ -223,17 +233,14 @@ def one_per_component(docs: DataFrame, shingle: int = 3, radius: int = 3) -> Dat
         .agg(F.min(F.struct("doc_id", "print")).alias("best"))
         .select(F.col("best.doc_id").alias("__id"), F.col("best.print").alias("__print"))
     )
-    columns = docs.columns
-    rows = with_fingerprints(docs, shingle)
-    return (
-        rows.join(
-            chosen,
-            rows["print"].eqNullSafe(chosen["__print"]) & rows["doc_id"].eqNullSafe(chosen["__id"]),
-            "left_semi",
-        )
-        .dropDuplicates(["print", "doc_id"])
-        .select(*columns)
-    )
+    plain, back = set_aside(docs, "print", "__id", "__print")
+    rows = with_fingerprints(plain, shingle)
+    survivors = rows.join(
+        chosen,
+        rows["print"].eqNullSafe(chosen["__print"]) & rows["doc_id"].eqNullSafe(chosen["__id"]),
+        "left_semi",
+    ).dropDuplicates(["print", "doc_id"])
+    return back(survivors)
 
 
 def hex_print(column: str = "print"):
