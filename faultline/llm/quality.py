@@ -14,17 +14,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import GAP, WORD, count_words, text_or_empty
+from faultline.llm.common import GAP, count_words, text_or_empty
 
 
 def statistics(text: Column) -> dict[str, Column]:
     """Statistics of a text as expressions; all are 0 for an empty text."""
 
     def share(part: Column, whole: Column) -> Column:
-        return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+        return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
     def only(characters: str) -> Column:
-        return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
+        return F.length(F.regexp_replace(marks, f"[^{characters}]+", ""))
+
+    # what is neither letter nor white space is little, and is searched several times
+    marks = F.regexp_replace(text, r"[\p{L}\x20\x09-\x0D]+", "")
 
     words = F.filter(F.split(text, GAP), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
@@ -33,7 +36,7 @@ def statistics(text: Column) -> dict[str, Column]:
     return {
         "log_words": F.log1p(n_words.cast("double")),
         "word_length": share(solid, n_words),
-        "upper_share": share(only(r"\p{Lu}"), solid),
+        "upper_share": share(F.length(F.regexp_replace(text, r"\P{Lu}+", "")), solid),
         "symbol_share": share(only(r"#*$%&|<>{}=_~^"), solid),
         "shout_share": share(only("!"), solid),
         "digit_share": share(only("0-9"), solid),
