@@ -117,6 +117,8 @@ class LanguageModel:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and its pooled probability per text; ``und`` and 0 without a letter."""
+        if not self.languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         if len(self.place) > self.memory:
             self.forget()
         found = [RUN.findall(t.lower()) for t in texts]
@@ -128,7 +130,7 @@ class LanguageModel:
         index = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
         some = np.flatnonzero(counts)
         languages, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if len(some) and self.languages:
+        if len(some):
             starts = (np.cumsum(counts) - counts)[some]
             pooled = np.add.reduceat(self.sums[index].astype(np.float64), starts, axis=0)
             sizes = np.add.reduceat(self.sizes[index].astype(np.float64), starts)

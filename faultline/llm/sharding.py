@@ -1,10 +1,11 @@
 """Sharding by Karmarkar-Karp differencing: near-equal bytes for indivisible groups.
 
-Rows of equal text are one group.  Groups are dealt by hash into bins of bounded size.  In a
-task, every group of a bin starts as a partial partition (its size in one part, nothing in the
-others); the two partial partitions of largest spread are combined in opposite order until one is
-left.  The bins' own partitions, ``shards`` sums each, are combined in the same way: their number
-is bounded by ``max_bins``, whatever the input.  Sizes and hashes move between tasks; texts don't.
+Rows of equal text are one group.  A group that weighs more than one part in ``items`` of all
+bytes enters by itself; lighter ones enter in bundles by a hash, at most ``items`` of them.  So
+the differencing works on at most ``2 * items`` numbers, whatever the input, and a heavy group
+still has light bundles to be offset with.  Each number starts as a partial partition (itself in
+one part, nothing in the others); the two partial partitions of largest spread are combined in
+opposite order until one is left.  Sizes and hashes move between tasks; texts don't.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import cut, ship, text_or_empty
+from faultline.llm.common import cut, text_or_empty
 
 
 def differencing(partials: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -69,43 +70,21 @@ def _deal(sizes: list[int], shards: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([places[0] for places in final]), sums
 
 
-def group_shards(
-    groups: DataFrame, shards: int = 16, bin_groups: int = 20_000, max_bins: int = 65_536
-) -> DataFrame:
+def group_shards(groups: DataFrame, shards: int = 16, items: int = 16_384) -> DataFrame:
     """``shard`` for groups with a unique ``grp`` (hex text) and a ``bytes`` column."""
-    ship(groups.sparkSession)
-    count = groups.count()
-    bins = min(max_bins, max(1, -(-count // bin_groups)))
-
-    def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bytes", "grp"], ascending=[False, True], kind="stable")
-        parts, sums = _deal(pdf["bytes"].tolist(), shards)
-        return pd.DataFrame(
-            {"grp": pdf["grp"], "bin": int(key[0]), "part": parts, "bytes": sums[parts]}
-        )
-
-    binned = groups.select("grp", "bytes", F.pmod(F.xxhash64("grp"), F.lit(bins)).alias("bin"))
-    dealt = cut(
-        binned.groupBy("bin").applyInPandas(deal, "grp string, bin bigint, part bigint, bytes bigint")
-    )
-    sums = {}
-    for row in dealt.groupBy("bin", "part").agg(F.first("bytes").alias("bytes")).toLocalIterator():
-        sums.setdefault(row["bin"], np.zeros(shards, np.int64))[row["part"]] = row["bytes"]
-    names = sorted(sums)
-    final = differencing([sums[b] for b in names])[1] if names else []
-    spark = groups.sparkSession
-    places = spark.createDataFrame(
-        pd.DataFrame(
-            {
-                "bin": np.repeat(np.array(names, np.int64), shards),
-                "part": np.tile(np.arange(shards), len(names)),
-                "shard": np.concatenate(final).astype(np.int32) if names else np.zeros(0, np.int32),
-            }
-        ),
-        "bin bigint, part bigint, shard int",
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    heavy = F.col("bytes").cast("decimal(20,0)") * items > F.lit(total).cast("decimal(28,0)")
+    bundle = F.pmod(F.xxhash64("grp"), F.lit(items)).cast("string")
+    named = groups.select("grp", "bytes", F.when(heavy, F.col("grp")).otherwise(bundle).alias("item"))
+    # 2 * items rows at most
+    weights = named.groupBy("item").agg(F.sum("bytes").alias("bytes")).toPandas()
+    weights = weights.sort_values(["bytes", "item"], ascending=[False, True], kind="stable")
+    parts = _deal(weights["bytes"].tolist(), shards)[0] if len(weights) else []
+    places = groups.sparkSession.createDataFrame(
+        pd.DataFrame({"item": weights["item"].astype(object), "shard": np.array(parts, np.int32)}),
+        "item string, shard int",
     )
-    # max_bins * shards rows of 20 bytes at most
-    return dealt.join(F.broadcast(places), ["bin", "part"]).select("grp", "shard")
+    return named.join(F.broadcast(places), "item").select("grp", "shard")
 
 
 def with_slots(rows: DataFrame, order: list[Column], blocks: int = 1024) -> DataFrame:
@@ -129,7 +108,7 @@ def with_slots(rows: DataFrame, order: list[Column], blocks: int = 1024) -> Data
     )
 
 
-def byte_shards(docs: DataFrame, shards: int = 16, bin_groups: int = 20_000) -> DataFrame:
+def byte_shards(docs: DataFrame, shards: int = 16, items: int = 16_384) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``size`` (UTF-8 bytes plus 1), ``text_crc32``, ``shard`` and ``slot``.
 
     A null text is empty and shares a group with other empty texts.  Rows with equal text always
@@ -145,5 +124,5 @@ def byte_shards(docs: DataFrame, shards: int = 16, bin_groups: int = 20_000) ->
         )
     )
     groups = cut(narrow.groupBy("grp").agg(F.sum("size").alias("bytes")))
-    placed = narrow.join(group_shards(groups, shards, bin_groups), "grp")
+    placed = narrow.join(group_shards(groups, shards, items), "grp")
     return with_slots(placed, [F.col("doc_id"), F.col("grp")]).drop("grp")
