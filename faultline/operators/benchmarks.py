@@ -85,7 +85,9 @@ def volume_band(
 def _mean(value: Column, keep: Column) -> Column:
     """Mean of the positive values.  They are added up as whole millionths, which is
     exact, so the order in which partial sums meet cannot show in the result."""
-    scaled = F.floor(value * _SCALE + 0.5).cast("decimal(20,0)")
+    moved = value * float(_SCALE) + 0.5
+    # floor() would end at the largest 64-bit number
+    scaled = (moved - F.pmod(moved, F.lit(1.0))).cast("decimal(28,0)")
     counted = F.when(keep & (value > 0), scaled)
     total = F.sum(counted).cast("double") / float(_SCALE)
     return total / F.nullif(F.count(counted), F.lit(0))

@@ -167,10 +167,8 @@ def latest_log(
     any_run = files.groupBy("dag_id", "task_id").agg(newest)
 
     tasks = triggers.select("task_id").where(F.col("task_id") != "").distinct()
-    # a file name has at most 255 characters, so there are at most 255 lengths
-    lengths = F.broadcast(
-        tasks.select(F.length("task_id").alias("__n")).where(F.col("__n") <= 255).distinct()
-    )
+    # one row per length of a task id; Spark decides how to join them
+    lengths = tasks.select(F.length("task_id").alias("__n")).distinct()
     names = files.withColumn("__name", F.regexp_extract("path", r"([^/]*)\.log$", 1))
     prefixes = names.select(
         "path", "modified", F.col("__name"),
@@ -216,7 +214,7 @@ def sla_message(dag_id: Column, task_id: Column) -> Column:
 
 def sla_evidence(triggers: DataFrame) -> DataFrame:
     """Log evidence of SLA runs, which have no log of their own."""
-    return triggers.where(F.col("run_id") == rules.SLA_RUN_ID).select(
+    return triggers.where(F.col("run_id").eqNullSafe(rules.SLA_RUN_ID)).select(
         "dag_id", "task_id", "run_id", "execution_date",
         F.lit("SUCCESS").alias("status"),
         F.lit(False).alias("log_found"),
@@ -231,12 +229,12 @@ def sla_evidence(triggers: DataFrame) -> DataFrame:
 def log_evidence(triggers: DataFrame, logs: DataFrame) -> DataFrame:
     """Log evidence of every trigger: its latest log, or the SLA substitute."""
     files = logs.select("path", "dag_id", "run_id", "task_id", "modified")
-    normal = triggers.where(F.col("run_id") != rules.SLA_RUN_ID)
+    normal = triggers.where(~F.col("run_id").eqNullSafe(rules.SLA_RUN_ID))
     chosen = latest_log(files, normal)
     wanted = chosen.select("path").where(F.col("path").isNotNull()).distinct()
     content = logs.select("path", "block", "line_pos", "line").join(wanted, "path", "left_semi")
     found = error_evidence(content, ["path"])
-    located = normal.join(chosen, ["dag_id", "task_id", "run_id"], "left").join(
+    located = null_safe_join(normal, chosen, ["dag_id", "task_id", "run_id"]).join(
         found, "path", "left"
     )
     has_log = F.col("error_type").isNotNull()

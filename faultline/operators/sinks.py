@@ -111,6 +111,15 @@ def insert_absent(
     return first_per_key(absent_rows(target, keyed, key), key, order)
 
 
+#: Cells are written as they are: the writer's default would trim their blanks.
+_CSV = {
+    "header": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def export_csv(df: DataFrame, path: str) -> int:
     """CSV export as a folder of parts; returns the rows written.
 
@@ -120,9 +129,7 @@ def export_csv(df: DataFrame, path: str) -> int:
 
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode("overwrite").option("header", "true").option(
-        "escape", '"'
-    ).csv(path)
+    counted.write.mode("overwrite").options(**_CSV).csv(path)
     return seen.get["rows"]
 
 
@@ -131,7 +138,7 @@ def write_log_events(events: DataFrame, path: str, form: str = "csv") -> None:
     rows = events.select(*rules.LOG_EVENT_COLUMNS)
     writer = rows.write.mode("overwrite")
     if form == "csv":
-        writer.option("header", "true").option("escape", '"').csv(path)
+        writer.options(**_CSV).csv(path)
     else:
         writer.parquet(path)
 

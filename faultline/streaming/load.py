@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from faultline.operators.sinks import absent_rows, first_per_key
@@ -38,7 +39,8 @@ def stream_load(
 
 def loaded(spark: SparkSession, target: str, schema, before: int | None = None) -> DataFrame:
     """The table as loaded so far, or by the batches before a number."""
-    full = schema.add("batch_id", "long") if "batch_id" not in schema.names else schema
+    numbered = [] if "batch_id" in schema.names else [T.StructField("batch_id", T.LongType())]
+    full = T.StructType([*schema.fields, *numbered])
     rows = spark.read.schema(full).option("basePath", target).parquet(target)
     if before is not None:
         rows = rows.where(F.col("batch_id") < before)
