@@ -9,6 +9,7 @@ from bindings.common import Registry, fresh_folder, table
 from faultline import rules
 from faultline.operators import audit, loads, rca, sinks
 from faultline.plans.load import export_products, load_products
+from faultline.plans.load import rejected_products as refused_products
 from faultline.sources import tables
 
 REGISTRY = Registry()
@@ -360,6 +361,44 @@ def loaded_products(spark, folder):
     )
 
 
+@query(
+    "SRC-02 SNK-04",
+    """with rows as (select l_partkey, case when p_size in (3, 5) then 'malformed' when p_size = 4 then 'no key'
+        else 'loaded' end as fate from lineitem join part on l_partkey = p_partkey)
+    select fate, case when fate = 'loaded' then count(distinct l_partkey) else count(*) end as rows
+    from rows group by fate""",
+)
+def rejected_products(spark, folder):
+    """A product file in which some ids and prices are no numbers and some ids are missing."""
+    size = F.col("inventory_qty")
+    key, price = F.col("product_id").cast("string"), F.col("cost_price").cast("string")
+    rows = product_file(spark, folder).withColumns(
+        {
+            "product_id": F.when(size == 3, F.concat(key, F.lit("x"))).when(size != 4, key),
+            "cost_price": F.when(size == 5, "abc").otherwise(price),
+        }
+    )
+    source, target = fresh_folder(spark, "bad-products"), fresh_folder(spark, "product-table")
+    rows.write.option("escape", '"').csv(source, header=True)
+    loaded = load_products(spark, source, target).select(F.lit("loaded").alias("fate"))
+    refused = refused_products(spark, target)
+    both = loaded if refused is None else loaded.union(refused.select("reason"))
+    return both.groupBy("fate").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("SNK-05", "select doc_id, md5('  ' || text || chr(10) || ' ') as digest from documents")
+def exported_texts(spark, folder):
+    """Cells with blanks and line ends around them, read back as they were."""
+    path = fresh_folder(spark, "texts-export")
+    text = F.concat(F.lit("  "), F.col("text"), F.lit("\n "))
+    sinks.export_csv(table(spark, folder, "documents").select("doc_id", text.alias("text")), path)
+    back = spark.read.schema("doc_id bigint, text string").csv(
+        path, header=True, escape='"', multiLine=True,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query(
     "SNK-05",
     "select o_orderstatus, count(*) as orders, (select count(*) from orders) as exported "

@@ -359,6 +359,49 @@ def task_log_files(spark, folder):
     )
 
 
+@query(
+    "SRC-03",
+    f"with {LINES_SQL} select 'd' as dag_id, 'manual__' || day || 'T00:00:00+00:00' as run_id, 'load' as task_id, "
+    "line from lines where day = (select min(day) from lines)",
+)
+def one_run_log(spark, folder):
+    """The log of the first day: the folders of the other days are not read."""
+    day = event_lines(spark, folder).agg(F.date_format(F.min("day"), "yyyy-MM-dd")).first()[0]
+    run = f"manual__{day}T00:00:00+00:00"
+    rows = task_logs.read_task_logs(spark, written_logs(spark, folder), dag_id="d", run_id=run)
+    return rows.select("dag_id", "run_id", "task_id", strip(F.col("line")).alias("line"))
+
+
+_PER_DAY = ("user_id, cast(ts as date) as day", "cast(ts as date) as user_id, 0 as day")
+DAY_EVIDENCE_SQL = EVIDENCE_SQL.replace(*_PER_DAY)
+
+
+@query(
+    "SRC-03 SRC-04 WIN-02 LOG-03 LOG-04 LOG-05 LOG-06 LOG-07 LOG-08",
+    f"""with {DAY_EVIDENCE_SQL}, days as (select user_id as day, * exclude (user_id), 'manual__' || user_id
+        || 'T00:00:00+00:00' as run from (select distinct user_id from lines) left join found using (user_id))
+    select day::varchar as execution_date, 'load' as task_id, run as run_id, true as log_found, error_type,
+        error_message, product_id, traceback, execution_time from days
+    union all select day::varchar, 'load', '{rules.SLA_RUN_ID}', false, 'SLAMiss',
+        'Task ''load'' in DAG ''d'' exceeded its configured SLA threshold. '
+        || 'Task did not complete within the allowed time window.', null, '', day::varchar from days
+    union all select day::varchar, 'gone', run, false, 'Unknown', 'No log content available', null, '', null
+        from days""",
+)
+def log_evidence(spark, folder):
+    """Each day is triggered as a run with a log, as an SLA miss, and as a task without a log."""
+    lines = task_logs.read_task_logs(spark, written_logs(spark, folder))
+    day = F.date_format("day", "yyyy-MM-dd")
+    run = F.concat(F.lit("manual__"), day, F.lit("T00:00:00+00:00"))
+    asked = [("load", run), ("load", F.lit(rules.SLA_RUN_ID)), ("gone", run)]
+    triggers = event_lines(spark, folder).select("day").distinct().select(
+        F.lit("d").alias("dag_id"),
+        day.alias("execution_date"),
+        F.inline(F.array(*[F.struct(F.lit(t).alias("task_id"), r.alias("run_id")) for t, r in asked])),
+    )
+    return evidence.log_evidence(triggers, lines).drop("dag_id", "status")
+
+
 DAY_EVENTS_SQL = CLASSIFIED_SQL.replace("user_id, cast(ts as date) as day", "cast(ts as date) as user_id, 0 as day")
 
 

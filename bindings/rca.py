@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import health, loads, logs
-from bindings.common import Registry, table
+from bindings.common import Registry, fresh_folder, table
 from faultline import rules
 from faultline.operators import evidence as ev
 from faultline.operators import loads as load_ops
 from faultline.operators import rca, report
-from faultline.plans.incident import analyse, summarise
+from faultline.plans.incident import analyse, store_evidence, stored, summarise
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -164,7 +164,9 @@ def report_lines(spark, folder):
 
 # ------------------------------------------------------------------------- evidence
 def triggers(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").select(*key_of(F.col("c_custkey")))
+    """Every seventeenth analysis has crashed."""
+    customer = F.col("c_custkey")
+    return table(spark, folder, "customer").select(*key_of(customer), (customer % 17 == 0).alias("crashed"))
 
 
 def log_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,7 +181,9 @@ def log_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gathered(spark: SparkSession, folder: str) -> dict:
-    log = log_rows(spark, folder)
+    """All evidence, each kind computed once; that of products follows that of logs."""
+    store = fresh_folder(spark, "evidence")
+    log = stored(log_rows(spark, folder), f"{store}/found")
     audits = loads.latest_audits(spark, folder).withColumn(
         "task_id", F.concat(F.lit("task_"), F.col("task_id").cast("string"))
     )
@@ -196,8 +200,7 @@ def gathered(spark: SparkSession, folder: str) -> dict:
     )
     perf = rca.run_metrics(loads.breached(spark, folder))
     ok = F.lit("SUCCESS").alias("status")
-    return {
-        "log": (log, KEY),
+    kinds = {
         "audit": (audits, ["dag_id", "task_id"]),
         "product": (
             product.select(*KEY, "status", "product_name", "exists", "duplicate_detected"), KEY
@@ -221,6 +224,7 @@ def gathered(spark: SparkSession, folder: str) -> dict:
             perf.select(*key_of(F.col("run_id")), *[c for c in perf.columns if c not in KEY]), KEY
         ),
     }
+    return {"log": (log, KEY), **store_evidence(kinds, store)}
 
 
 ASSEMBLED_SQL = f"""{logs.EVIDENCE_SQL}, {loads.AUDIT_SQL}, {loads.CHUNKS_SQL},
@@ -310,12 +314,22 @@ STATUS_SQL = """case when log_status = 'ERROR' or response_text is null then 'PA
 
 @query(
     "RCA-05 FIL-10",
-    f"with {ASSEMBLED_SQL} select 'run_' || n as run_id, {STATUS_SQL} as workflow_status from assembled",
+    f"with {ASSEMBLED_SQL} select 'run_' || n as run_id, {STATUS_SQL} as workflow_status from assembled "
+    "where n % 17 <> 0",
 )
 def incident_statuses(spark, folder):
     return rca.publishable(analysed(spark, folder)).select("run_id", "workflow_status")
 
 
+@query(
+    "RCA-05",
+    f"with {ASSEMBLED_SQL} select case when n % 17 = 0 then 'FAILED' else {STATUS_SQL} end as workflow_status, "
+    "count(*) as incidents from assembled group by 1",
+)
+def workflow_outcomes(spark, folder):
+    return analysed(spark, folder).groupBy("workflow_status").agg(F.count(F.lit(1)).alias("incidents"))
+
+
 _LATE = "(coalesce(error_type = 'SLAMiss', false) or contains(coalesce(error_message, ''), 'SLA'))"
 _FAILED = "(coalesce(audit_status, '') = 'FAILED' or coalesce(audit_status_, '') = 'ERROR')"
 
@@ -404,6 +418,23 @@ def _safe_sql(x: str, n: int = 400) -> str:
     )
 
 
+def _step_sql(section: str, place: int) -> str:
+    given = {
+        "resolution": (rules.RESOLUTION_DEFAULTS, rules.RESOLUTION_PADDING),
+        "preventive_actions": (rules.PREVENTION_DEFAULTS, rules.PREVENTION_PADDING),
+    }[section]
+    return f"string_split({_steps_sql(f"coalesce({section}, '')", *given)}, '|')[{place}]"
+
+
+_CONSTRAINTS = [p.replace("'", "''") for p in rules.CONSTRAINT_PATTERNS]
+CONSTRAINT_SQL = "case " + " ".join(
+    f"when regexp_matches(error_message, '{p}') then regexp_extract(error_message, '{p}', 1)" for p in _CONSTRAINTS
+) + " else 'Unknown' end"
+HEALTH_SQL = """case when host_status = 'SUCCESS' then 'CPU: ' || overall_health || ' | Memory: ' || overall_health
+    || ' | Postgres Activity: ' || overall_health || ' | Overall: ' || overall_health
+    || ' | PostgreSQL Runtime: ' || runtime_health else 'System health check unavailable' end"""
+
+
 @query(
     "RPT-07 RPT-01 RPT-02 RPT-06 JON-06 JON-10",
     f"""with {ASSEMBLED_SQL}, joined as (select a.*, s.* exclude (response_text),
@@ -418,17 +449,15 @@ def _safe_sql(x: str, n: int = 400) -> str:
         case when conv_id is null then 'SLA analysis not available'
             else 'over by ' || (select g.n from grouped g where g.conv_id = joined.conv_id) || ' | second | third | fourth'
             end as sla_analysis,
-        string_split({_steps_sql("coalesce(resolution, '')", rules.RESOLUTION_DEFAULTS, rules.RESOLUTION_PADDING)}, '|')[2]
-            as reload_source_file,
-        string_split({_steps_sql("coalesce(preventive_actions, '')", rules.PREVENTION_DEFAULTS, rules.PREVENTION_PADDING)}, '|')[3]
-            as prevention_medium_1,
+        {_impact_sql(1)} as catalog_update, {_impact_sql(2)} as downstream_feeds,
+        {CONSTRAINT_SQL} as "constraint", {_safe_sql('error_message')} as airflow_logs, {HEALTH_SQL} as system_health,
+        {_step_sql('resolution', 1)} as remove_duplicate_record, {_step_sql('resolution', 2)} as reload_source_file,
+        {_step_sql('resolution', 3)} as rerun_dag, {_step_sql('preventive_actions', 1)} as prevention_high_1,
+        {_step_sql('preventive_actions', 2)} as prevention_high_2,
+        {_step_sql('preventive_actions', 3)} as prevention_medium_1,
         {_safe_sql('summary', 900)} as final_verdict
-    from joined""",
+    from joined where n % 17 <> 0""",
 )
 def incident_summaries(spark, folder):
     rows = summarise(analysed(spark, folder))
-    return rows.select(
-        "incident_id", "dag", "task", "severity", "status", "confidence", "error", "product_id",
-        "cause", "postgresql_check", "historical_cases", "product_load", "sla_analysis",
-        "reload_source_file", "prevention_medium_1", "final_verdict",
-    )
+    return rows.drop("performance_insights")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from faultline import rules
 from faultline.functions.ordered import first_rows, null_safe_join
 from faultline.functions.text import any_of, strip
+from faultline.sources.task_logs import json_log_lines
 
 NO_LOG_MESSAGE = "No log content available"
 UNKNOWN = "Unknown"
@@ -42,31 +43,39 @@ def match_keyword(texts: DataFrame, text: str, name: str = "error_type") -> Data
     return texts.withColumn(name, ranked_error_type(phrase_rank(F.lower(F.col(text)))))
 
 
-def with_next_line(lines: DataFrame, key: list[str], block: str, pos: str, line: str) -> DataFrame:
-    """Adds ``next_line``: the line that follows in the same log, across blocks too."""
+def with_next_lines(lines: DataFrame, key: list[str], block: str, pos: str, line: str) -> DataFrame:
+    """Adds ``next_line`` and ``third_line``: the two lines that follow in the same log,
+    across blocks too, blocks of one line included."""
     window = Window.partitionBy(*key, block).orderBy(pos)
-    heads = lines.groupBy(*key, block).agg(F.min(F.struct(pos, line))[line].alias("__head"))
-    after = heads.select(
-        *key, block, F.lead("__head").over(Window.partitionBy(*key).orderBy(block)).alias("__after")
+    blocks = Window.partitionBy(*key).orderBy(block)
+    heads = first_rows(lines.select(*key, block, pos, line), [*key, block], [F.col(pos)], 2, "__rank")
+    pairs = heads.groupBy(*key, block).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("__rank", line))), lambda x: x[line]).alias("__heads")
+    )
+    empty = F.array().cast("array<string>")
+    later = [F.coalesce(F.lead("__heads", n).over(blocks), empty) for n in (1, 2)]
+    after = pairs.select(*key, block, F.concat(*later).alias("__after"))
+    local = lines.withColumns(
+        {"next_line": F.lead(line).over(window), "third_line": F.lead(line, 2).over(window)}
     )
-    local = lines.withColumn("next_line", F.lead(line).over(window))
     joined = null_safe_join(local, after, [*key, block], "inner")
-    return joined.withColumn("next_line", F.coalesce("next_line", "__after")).drop("__after")
+    first, second = F.get("__after", F.lit(0)), F.get("__after", F.lit(1))
+    return joined.select(
+        *lines.columns,
+        F.coalesce("next_line", first).alias("next_line"),
+        F.coalesce("third_line", F.when(F.col("next_line").isNull(), second).otherwise(first)).alias("third_line"),
+    )
 
 
 def _earliest(condition: Column, order: Column, value: Column) -> Column:
     return F.min(F.when(condition, F.struct(order.alias("at"), value.alias("found"))))["found"]
 
 
-def _pair(line: Column, following: Column) -> Column:
-    return F.when(following.isNull(), line).otherwise(F.concat(line, F.lit("\n"), following))
-
-
-def _starting_in(pair: Column, pattern: str, group: int) -> tuple[Column, Column]:
-    """Whether a match begins in the first line of a pair, and the match, which may
-    end in the second.  A match that lies wholly in the second line is left to it."""
+def _starting_in(joined: Column, pattern: str, group: int) -> tuple[Column, Column]:
+    """Whether a match begins in the first of the joined lines, and the match, which may
+    end in a later one.  A match that lies wholly in later lines is left to them."""
     begins = rf"(?id)\A[^\n]*?(?:{pattern})"
-    return pair.rlike(begins), F.regexp_extract(pair, begins, group)
+    return joined.rlike(begins), F.regexp_extract(joined, begins, group)
 
 
 def error_evidence(
@@ -78,23 +87,24 @@ def error_evidence(
     """
     text, order = F.col(line), F.struct(block, pos)
     # columns of their own, so that they are computed once per line
-    chained = with_next_line(lines, key, block, pos, line).withColumns(
-        {"__pair": _pair(text, F.col("next_line")), "__low": F.lower(text)}
+    # a pattern has two gaps at most, so a match ends in the second line after its start
+    chained = with_next_lines(lines, key, block, pos, line).withColumns(
+        {"__joined": F.concat_ws("\n", text, "next_line", "third_line"), "__low": F.lower(text)}
     )
-    pair, low = F.col("__pair"), F.col("__low")
+    joined, low = F.col("__joined"), F.col("__low")
 
     # a literal that every match begins with keeps the patterns off most lines
     finds = [F.min(phrase_rank(low)).alias("__phrase")]
     for i, (pattern, literal) in enumerate(
         zip(rules.ERROR_MESSAGE_PATTERNS, rules.ERROR_MESSAGE_LITERALS)
     ):
-        hit, found = _starting_in(pair, f"({pattern})", 1)
+        hit, found = _starting_in(joined, f"({pattern})", 1)
         hit = low.contains(literal) & hit
         finds.append(_earliest(hit, order, found).alias(f"__message{i}"))
     words = any_of([low.contains(w) for w in rules.ERROR_LINE_WORDS])
     finds.append(_earliest(words, order, text).alias("__word_line"))
     for i, pattern in enumerate(rules.PRODUCT_ID_PATTERNS):
-        hit, found = _starting_in(pair, pattern, 1)
+        hit, found = _starting_in(joined, pattern, 1)
         hit = low.contains(rules.PRODUCT_ID_LITERAL) & hit
         finds.append(_earliest(hit, order, found).alias(f"__product{i}"))
     stamp = text.rlike(rules.ISO_TIMESTAMP_PATTERN)
@@ -227,13 +237,16 @@ def sla_evidence(triggers: DataFrame) -> DataFrame:
 
 
 def log_evidence(triggers: DataFrame, logs: DataFrame) -> DataFrame:
-    """Log evidence of every trigger: its latest log, or the SLA substitute."""
+    """Log evidence of every trigger: its latest log, or the SLA substitute.
+
+    ``logs`` are lines as :func:`faultline.sources.task_logs.read_task_logs` gives them.
+    """
     files = logs.select("path", "dag_id", "run_id", "task_id", "modified")
     normal = triggers.where(~F.col("run_id").eqNullSafe(rules.SLA_RUN_ID))
     chosen = latest_log(files, normal)
     wanted = chosen.select("path").where(F.col("path").isNotNull()).distinct()
     content = logs.select("path", "block", "line_pos", "line").join(wanted, "path", "left_semi")
-    found = error_evidence(content, ["path"])
+    found = error_evidence(json_log_lines(content), ["path"])
     located = null_safe_join(normal, chosen, ["dag_id", "task_id", "run_id"]).join(
         found, "path", "left"
     )

@@ -9,6 +9,22 @@ from faultline.operators import rca, report
 from faultline.operators.loads import RUN_KEY
 
 
+def store_evidence(
+    evidence: dict[str, tuple[DataFrame, list[str]]], folder: str
+) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Writes each kind once below ``folder``; the same mapping over what was written.
+
+    Score, status and summary of an incident then read the small evidence tables and not
+    the logs, audits and snapshots behind them.
+    """
+    return {kind: (stored(frame, f"{folder}/{kind}"), on) for kind, (frame, on) in evidence.items()}
+
+
+def stored(frame: DataFrame, path: str) -> DataFrame:
+    frame.write.mode("overwrite").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def analyse(
     triggers: DataFrame,
     evidence: dict[str, tuple[DataFrame, list[str]]],
@@ -17,8 +33,10 @@ def analyse(
     """Evidence, confidence, report sections and status of every trigger.
 
     ``reports`` holds the run key, ``incident_id`` and ``response_text``.  A trigger
-    without a report keeps empty sections and has ``rca_status`` ERROR.
+    without a report keeps empty sections and has ``rca_status`` ERROR.  A trigger whose
+    column ``crashed``, where there is one, is true has ``workflow_status`` FAILED.
     """
+    crashed = F.coalesce(F.col("crashed"), F.lit(False)) if "crashed" in triggers.columns else None
     assembled = rca.assemble(triggers, evidence)
     sections = rca.report_sections(reports).drop("confidence_score")
     joined = assembled.join(sections, RUN_KEY, "left")
@@ -31,7 +49,7 @@ def analyse(
             "has_rca": F.lit(True),
             "errors": rca.merge_errors(F.col("errors"), late),
         }
-    ).withColumn("workflow_status", rca.incident_status(F.col("errors")))
+    ).withColumn("workflow_status", rca.incident_status(F.col("errors"), crashed))
 
 
 def summarise(analysed: DataFrame) -> DataFrame:

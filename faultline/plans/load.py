@@ -1,34 +1,74 @@
-"""Product CSV into a product table: new keys only, any volume."""
+"""Product CSV into a product table: new keys only, any volume.
+
+The table is a folder of loads, ``rows/load_id=...``: a load adds its own folder and leaves
+the others as they are, so it costs what the file costs and one pass over the stored keys.
+A load that is repeated under its id takes the place of its first try.  Rows that the table
+cannot take go to ``rejects/load_id=...`` with their text and the reason.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from faultline.operators import sinks
-from faultline.sources.tables import read_products
+from faultline.sources.tables import BAD_ROW, read_products
 
 KEY = "product_id"
+LOAD = "load_id"
+
 
+def _folder(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
-def load_products(spark: SparkSession, csv_path: str, table_path: str) -> DataFrame:
+
+def load_products(
+    spark: SparkSession, csv_path: str, table_path: str, load_id: str | None = None
+) -> DataFrame:
     """Adds the new products of a file to the table and returns the new table.
 
-    The table is a versioned store, so a reader never sees half a load.
+    Rows are counted while the new ones are written; the file is read again only where
+    some were rejected.
     """
+    load_id = load_id or uuid.uuid4().hex
     batch = read_products(spark, csv_path)
-    if not sinks.current_number(spark, table_path):
-        fresh = sinks.first_per_key(
-            batch.where(F.col(KEY).isNotNull()), KEY, [F.col("input_pos")]
-        )
-        content = fresh.drop("input_pos")
+    refused = F.col(BAD_ROW).isNotNull() | F.col(KEY).isNull()
+    seen = Observation()
+    counted = batch.observe(seen, F.count_if(refused).alias("rejected"))
+    usable = counted.where(~refused).drop(BAD_ROW)
+    stored = _folder(spark, f"{table_path}/rows")
+    order = [F.col("input_pos")]
+    if stored is None:
+        fresh = sinks.first_per_key(usable, KEY, order)
     else:
-        target = spark.read.parquet(sinks.current_version(spark, table_path))
-        fresh = sinks.insert_absent(target, batch, KEY, [F.col("input_pos")])
-        content = target.unionByName(fresh.drop("input_pos"))
-    return spark.read.parquet(sinks.write_version(content, table_path))
+        others = stored.where(F.col(LOAD) != load_id)
+        fresh = sinks.insert_absent(others, usable, KEY, order)
+    fresh.drop("input_pos").write.mode("overwrite").parquet(f"{table_path}/rows/{LOAD}={load_id}")
+    if seen.get["rejected"]:
+        reason = F.when(F.col(BAD_ROW).isNotNull(), "malformed").otherwise("no key")
+        batch.where(refused).withColumn("reason", reason).write.mode("overwrite").parquet(
+            f"{table_path}/rejects/{LOAD}={load_id}"
+        )
+    return product_table(spark, table_path)
+
+
+def product_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """All products loaded so far."""
+    return spark.read.parquet(f"{table_path}/rows").drop(LOAD)
+
+
+def rejected_products(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """Rejected rows of all loads with ``reason`` and ``load_id``; None where there are none."""
+    return _folder(spark, f"{table_path}/rejects")
 
 
 def export_products(spark: SparkSession, table_path: str, csv_path: str) -> int:
-    table = spark.read.parquet(sinks.current_version(spark, table_path))
-    return sinks.export_csv(table, csv_path)
+    return sinks.export_csv(product_table(spark, table_path), csv_path)

@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from faultline import rules
 from faultline.operators.sinks import current_version
 
+BAD_ROW = "bad_row"
+
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
-    """Product CSV of any load volume, typed, with the input order."""
+    """Product CSV of any load volume, typed, with the input order.
+
+    ``bad_row`` holds the text of a row that does not fit the schema (a cell of the wrong
+    type, too few or too many cells) and is null for all others.  Every cell is parsed
+    whatever columns a query takes, so a row is bad in all queries or in none.
+    """
     return (
-        spark.read.schema(rules.PRODUCT_SCHEMA)
+        spark.read.schema(f"{rules.PRODUCT_SCHEMA}, {BAD_ROW} string")
         .option("escape", '"')
+        .option("columnNameOfCorruptRecord", BAD_ROW)
+        .option("columnPruning", "false")
         .csv(path, header=True, enforceSchema=True, dateFormat="yyyy-MM-dd")
         .withColumn("input_pos", F.monotonically_increasing_id())
     )

@@ -36,11 +36,21 @@ def _unescaped(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(safe), text)
 
 
-def read_task_logs(spark: SparkSession, root: str) -> DataFrame:
-    """One row per line, with the identity of the log taken from its path."""
-    return identified_lines(
-        with_file_facts(spark.read.option("recursiveFileLookup", "true").text(root))
-    )
+def read_task_logs(spark: SparkSession, root: str, **wanted: str) -> DataFrame:
+    """One row per line, with the identity of the log taken from its path.
+
+    ``wanted`` names values of ``dag_id``, ``run_id`` and ``task_id``: only the folders of
+    these are read.  That needs a tree with all three folders above every file; without
+    ``wanted`` files may lie anywhere below ``root``.
+    """
+    if not wanted:
+        return identified_lines(
+            with_file_facts(spark.read.option("recursiveFileLookup", "true").text(root))
+        )
+    rows = spark.read.text(root)
+    for name, value in wanted.items():
+        rows = rows.where(F.col(name).cast("string") == value)
+    return identified_lines(with_file_facts(rows))
 
 
 def with_file_facts(rows: DataFrame) -> DataFrame:
