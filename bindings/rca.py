@@ -16,7 +16,7 @@ from faultline import rules
 from faultline.operators import evidence as ev
 from faultline.operators import loads as load_ops
 from faultline.operators import rca, report
-from faultline.plans.incident import analyse, store_evidence, stored, summarise
+from faultline.plans.incident import analyse, store_evidence, summarise
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -183,13 +183,9 @@ def log_rows(spark: SparkSession, folder: str) -> DataFrame:
 def gathered(spark: SparkSession, folder: str) -> dict:
     """All evidence, each kind computed once; that of products follows that of logs."""
     store = fresh_folder(spark, "evidence")
-    log = stored(log_rows(spark, folder), f"{store}/found")
     audits = loads.latest_audits(spark, folder).withColumn(
         "task_id", F.concat(F.lit("task_"), F.col("task_id").cast("string"))
     )
-    product = load_ops.product_check(
-        loads.products(spark, folder), log.select(*KEY, "product_id"), F.xxhash64("run_id")
-    ).withColumn("status", F.lit("SUCCESS"))
     history = table(spark, folder, "conversations").groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("incidents_found"),
         (F.count_if(F.col("role") == "system") > 0).alias("has_benchmarks"),
@@ -201,10 +197,8 @@ def gathered(spark: SparkSession, folder: str) -> dict:
     perf = rca.run_metrics(loads.breached(spark, folder))
     ok = F.lit("SUCCESS").alias("status")
     kinds = {
+        "log": (log_rows(spark, folder), KEY),
         "audit": (audits, ["dag_id", "task_id"]),
-        "product": (
-            product.select(*KEY, "status", "product_name", "exists", "duplicate_detected"), KEY
-        ),
         "history": (
             history.select(
                 *key_of(F.col("conv_id")), ok, "incidents_found", "has_benchmarks",
@@ -224,7 +218,12 @@ def gathered(spark: SparkSession, folder: str) -> dict:
             perf.select(*key_of(F.col("run_id")), *[c for c in perf.columns if c not in KEY]), KEY
         ),
     }
-    return {"log": (log, KEY), **store_evidence(kinds, store)}
+    found = store_evidence(kinds, store)
+    product = load_ops.product_check(
+        loads.products(spark, folder), found["log"][0].select(*KEY, "product_id"), F.xxhash64("run_id")
+    ).withColumn("status", F.lit("SUCCESS"))
+    shown = product.select(*KEY, "status", "product_name", "exists", "duplicate_detected")
+    return found | store_evidence({"product": (shown, KEY)}, store)
 
 
 ASSEMBLED_SQL = f"""{logs.EVIDENCE_SQL}, {loads.AUDIT_SQL}, {loads.CHUNKS_SQL},

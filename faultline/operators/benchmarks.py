@@ -93,16 +93,19 @@ def _mean(value: Column, keep: Column) -> Column:
     return total / F.nullif(F.count(counted), F.lit(0))
 
 
-def benchmarks(
-    cases: DataFrame, by: list[str], digits: int | None = 1,
-    tolerance: float = rules.VOLUME_TOLERANCE,
-) -> DataFrame:
-    """Statistics over the performance cases of each group.
-
-    When ``cases`` has ``current_volume``, groups with cases in the volume band use
-    those alone.  Both variants come from one pass of conditional aggregates with
-    map-side partial results, so a hot group costs no more than a cold one.
-    """
+_MEASURES = {
+    "avg_elapsed_seconds": ("elapsed_seconds", _mean),
+    "best_elapsed_seconds": ("elapsed_seconds", lambda v, k: F.min(F.when(k & (v > 0), v))),
+    "worst_elapsed_seconds": ("elapsed_seconds", lambda v, k: F.max(F.when(k & (v > 0), v))),
+    "avg_rows_per_second": ("rows_per_second", _mean),
+    "best_rows_per_second": ("rows_per_second", lambda v, k: F.max(F.when(k & (v > 0), v))),
+    "avg_improvement_pct": ("fix_reduced_time_by_pct", _mean),
+    "avg_estimated_improvement": ("estimated_improvement_pct", _mean),
+}
+
+
+def _marked(cases: DataFrame, tolerance: float) -> DataFrame:
+    """Performance cases with ``__near``: whether they are in the volume band."""
     perf = perf_cases(cases)
     if "current_volume" in perf.columns:
         near = F.coalesce(
@@ -110,40 +113,46 @@ def benchmarks(
         )
     else:
         near = F.lit(False)
-    marked = perf.withColumn("__near", near)
-    everything = F.lit(True)
-
-    measures = {
-        "avg_elapsed_seconds": ("elapsed_seconds", _mean),
-        "best_elapsed_seconds": ("elapsed_seconds", lambda v, k: F.min(F.when(k & (v > 0), v))),
-        "worst_elapsed_seconds": ("elapsed_seconds", lambda v, k: F.max(F.when(k & (v > 0), v))),
-        "avg_rows_per_second": ("rows_per_second", _mean),
-        "best_rows_per_second": ("rows_per_second", lambda v, k: F.max(F.when(k & (v > 0), v))),
-        "avg_improvement_pct": ("fix_reduced_time_by_pct", _mean),
-        "avg_estimated_improvement": ("estimated_improvement_pct", _mean),
-    }
-    aggregates = [
+    return perf.withColumn("__near", near)
+
+
+def _aggregates() -> list[Column]:
+    """Every measure over all cases and over those in the band."""
+    made = [
         F.count(F.lit(1)).alias("__all_count"),
         F.count_if("__near").alias("__near_count"),
     ]
-    for name, (column, make) in measures.items():
-        aggregates.append(make(F.col(column), everything).alias(f"__all_{name}"))
-        aggregates.append(make(F.col(column), F.col("__near")).alias(f"__near_{name}"))
-    grouped = marked.groupBy(*by).agg(*aggregates)
+    for name, (column, make) in _MEASURES.items():
+        made.append(make(F.col(column), F.lit(True)).alias(f"__all_{name}"))
+        made.append(make(F.col(column), F.col("__near")).alias(f"__near_{name}"))
+    return made
+
+
+def _chosen(digits: int | None) -> list[Column]:
+    """The measures over the band where it holds cases, else over all."""
     use_near = F.col("__near_count") > 0
 
     def choose(name: str) -> Column:
         return F.when(use_near, F.col(f"__near_{name}")).otherwise(F.col(f"__all_{name}"))
 
-    return grouped.select(
-        *by,
+    return [
         choose("count").alias("benchmark_incident_count"),
-        *[
-            F.coalesce(rounded(choose(name), digits), F.lit(0.0)).alias(name)
-            for name in measures
-        ],
+        *[F.coalesce(rounded(choose(name), digits), F.lit(0.0)).alias(name) for name in _MEASURES],
         use_near.alias("volume_matched"),
-    )
+    ]
+
+
+def benchmarks(
+    cases: DataFrame, by: list[str], digits: int | None = 1,
+    tolerance: float = rules.VOLUME_TOLERANCE,
+) -> DataFrame:
+    """Statistics over the performance cases of each group.
+
+    When ``cases`` has ``current_volume``, groups with cases in the volume band use
+    those alone.  Both variants come from one pass of conditional aggregates with
+    map-side partial results, so a hot group costs no more than a cold one.
+    """
+    return _marked(cases, tolerance).groupBy(*by).agg(*_aggregates()).select(*by, *_chosen(digits))
 
 
 def common_value(
@@ -175,8 +184,13 @@ def best_fix(
 
     ``order`` (the case rank) decides between equal improvements.
     """
+    best = _best_gain(order, chars)
+    return cases.groupBy(*by).agg(F.coalesce(best["fix"], F.lit("")).alias("most_successful_fix"))
+
+
+def _best_gain(order: Column, chars: int) -> Column:
     gain = F.col("fix_reduced_time_by_pct")
-    best = F.max(
+    return F.max(
         F.when(
             gain > 0,
             F.struct(
@@ -186,23 +200,42 @@ def best_fix(
             ),
         )
     )
-    return cases.groupBy(*by).agg(F.coalesce(best["fix"], F.lit("")).alias("most_successful_fix"))
 
 
-def full_benchmarks(cases: DataFrame, by: list[str], order: Column, digits: int | None = 1) -> DataFrame:
+def full_benchmarks(
+    cases: DataFrame, by: list[str], order: Column, digits: int | None = 1,
+    tolerance: float = rules.VOLUME_TOLERANCE, chars: int = rules.BEST_FIX_CHARS,
+) -> DataFrame:
     """Benchmarks with the common method, common batch size and best fix.
 
-    ``cases`` must already be reduced by :func:`volume_band` where bands apply.
+    ``cases`` must already be reduced by :func:`volume_band` where bands apply.  One
+    aggregate makes the measures and the best fix, a second one counts methods and batch
+    sizes as grouping sets, so that their rows carry a count and not every measure.
     """
-    perf = perf_cases(cases)
-    return (
-        benchmarks(perf, by, digits)
-        .join(common_value(perf, "insert_method", by, F.lit("Unknown")), by)
-        .join(
-            common_value(
-                perf, "batch_size", by, F.lit(0).cast("bigint"), F.col("batch_size") > 0
-            ),
-            by,
-        )
-        .join(best_fix(perf, by, order), by)
+    marked = _marked(cases, tolerance)
+    measured = marked.groupBy(*by).agg(*_aggregates(), _best_gain(order, chars).alias("__best"))
+    values = marked.select(
+        *by,
+        F.when(F.col("insert_method") != "", F.col("insert_method")).alias("__method"),
+        F.when(F.col("batch_size") > 0, F.col("batch_size")).alias("__batch"),
+    )
+    counted = values.groupingSets([[*by, "__method"], [*by, "__batch"]], *by, "__method", "__batch").agg(
+        F.count(F.lit(1)).alias("__count")
+    )
+
+    def common(value: str) -> Column:
+        # the column of the other set is null here, so it can name no value
+        ranked = F.struct((-F.col("__count")).alias("n"), F.col(value).alias("v"))
+        return F.min(F.when(F.col(value).isNotNull(), ranked))["v"]
+
+    picked = counted.groupBy(*by).agg(
+        F.coalesce(common("__method"), F.lit("Unknown")).alias("common_insert_method"),
+        F.coalesce(common("__batch"), F.lit(0).cast("bigint")).alias("common_batch_size"),
+    )
+    return measured.join(picked, by).select(
+        *by,
+        *_chosen(digits),
+        "common_insert_method",
+        "common_batch_size",
+        F.coalesce("__best.fix", F.lit("")).alias("most_successful_fix"),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +18,21 @@ def store_evidence(
     """Writes each kind once below ``folder``; the same mapping over what was written.
 
     Score, status and summary of an incident then read the small evidence tables and not
-    the logs, audits and snapshots behind them.
+    the logs, audits and snapshots behind them.  The kinds are jobs of their own and run
+    side by side, so that a short one does not wait for a long one.
     """
-    return {kind: (stored(frame, f"{folder}/{kind}"), on) for kind, (frame, on) in evidence.items()}
 
+    def stored(kind: str, frame: DataFrame) -> DataFrame:
+        path = f"{folder}/{kind}"
+        frame.write.mode("overwrite").parquet(path)
+        return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
-def stored(frame: DataFrame, path: str) -> DataFrame:
-    frame.write.mode("overwrite").parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    with ThreadPoolExecutor(len(evidence)) as pool:
+        jobs = {
+            kind: pool.submit(inheritable_thread_target(stored), kind, frame)
+            for kind, (frame, _) in evidence.items()
+        }
+        return {kind: (job.result(), evidence[kind][1]) for kind, job in jobs.items()}
 
 
 def analyse(
