@@ -27,9 +27,12 @@ def store_evidence(
         frame.write.mode("overwrite").parquet(path)
         return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
+    if not evidence:
+        return {}
+    session = next(iter(evidence.values()))[0].sparkSession
     with ThreadPoolExecutor(len(evidence)) as pool:
         jobs = {
-            kind: pool.submit(inheritable_thread_target(stored), kind, frame)
+            kind: pool.submit(inheritable_thread_target(session)(stored), kind, frame)
             for kind, (frame, _) in evidence.items()
         }
         return {kind: (job.result(), evidence[kind][1]) for kind, job in jobs.items()}

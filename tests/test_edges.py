@@ -1,9 +1,12 @@
 """Rows that used to be lost or changed in silence."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bindings import rca as bound
 from faultline import rules
 from faultline.operators import benchmarks, rca, sinks
 from faultline.operators.evidence import error_evidence, log_evidence
@@ -153,3 +156,11 @@ def test_a_crash_fails_the_incident(spark):
     done = analyse(triggers, evidence, reports)
     assert {r.run_id: r.workflow_status for r in done.collect()} == {"r1": "FAILED", "r2": "SUCCESS"}
     assert [r.run_id for r in rca.publishable(done).collect()] == ["r2"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="shared tables are not here")
+def test_scores_read_evidence_and_not_the_events(spark):
+    scores = bound.confidence_scores(spark, "/root/testdata/sf0.001")
+    read = {os.path.basename(f) if "/testdata/" in f else f.split("/")[-2] for f in scores.inputFiles()}
+    assert "events.parquet" not in read
+    assert {"log", "audit", "product", "history", "host", "runtime", "perf"} <= read
