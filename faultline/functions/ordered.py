@@ -160,17 +160,15 @@ def sliced_join(
 
     Keys with more than ``slice_rows`` fact rows are split into slices by a hash of
     ``spread`` (any deterministic value that differs between rows); the lookup rows
-    of those keys alone are repeated once per slice.  There can be at most
-    ``fact rows / slice_rows`` such keys, which bounds the broadcast list.  Rows
-    with a null key match nothing and are spread freely.  ``counts`` (the keys and
+    of those keys alone are repeated once per slice.  Spark decides by the size of the
+    list of such keys (at most ``fact rows / slice_rows``) how to join it.  Rows with a
+    null key match nothing and are spread freely.  ``counts`` (the keys and
     ``__rows``) saves the counting pass where the caller has the counts already.
     """
     if counts is None:
         counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     counted = counts.where(F.col("__rows") > slice_rows)
-    hot = F.broadcast(
-        counted.select(*keys, F.ceil(F.col("__rows") / slice_rows).alias("__slices"))
-    )
+    hot = counted.select(*keys, F.ceil(F.col("__rows") / slice_rows).alias("__slices"))
     no_key = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()

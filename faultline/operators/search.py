@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 
 from faultline import rules
 from faultline.functions.ordered import first_rows, sliced_join
+from faultline.session import checkpointed
 
-# Query vectors that every task may hold: 4,096 of 1,024 doubles are 32 MB.
-BROADCAST_QUERIES = 4096
-BROADCAST_VALUES = 4_194_304
+#: Query rows and vector values of one block, which the driver and every task hold.
+BLOCK_QUERIES = 4096
+BLOCK_VALUES = 4_194_304
 
 
 def query_text(error_type: Column, error_message: Column) -> Column:
@@ -25,52 +26,70 @@ def embed(df: DataFrame, text: str, function, name: str = "embedding") -> DataFr
     return df.withColumn(name, wrapped(F.col(text)))
 
 
-def _distances(matrix, vector, metric: str):
-    import numpy as np
-
-    if metric == "l2":
-        return np.square(matrix - vector).sum(axis=1)
-    products = matrix @ vector
-    if metric == "ip":
-        return 1.0 - products
-    norms = np.linalg.norm(matrix, axis=1) * np.linalg.norm(vector)
-    return 1.0 - products / np.where(norms == 0, 1.0, norms)
-
-
-def _best(rows, queries, limit, metric, measure):
-    """Nearest chunks of one batch for every query; ties go to the smaller id."""
-    import numpy as np
-
-    ids, owners = rows["chunk_id"].to_numpy(), rows["case_id"].to_numpy()
-    matrix = np.stack(rows["embedding"].to_numpy()).astype("float64")
-
-    for query_id, vector in queries:
-        found = measure(matrix, vector, metric)
-        if len(found) > limit:
-            edge = np.partition(found, limit - 1)[limit - 1]
-            near = np.flatnonzero(found <= edge)
-        else:
-            near = np.arange(len(found))
-        order = np.lexsort((ids[near], found[near]))[:limit]
-        for place in near[order]:
-            yield query_id, ids[place], owners[place], float(found[place])
+def _scan(queries: list, limit: int, metric: str):
+    """A function that keeps the best hits of a partition of chunks, batch after batch.
 
-
-def _scan_partitions(queries: list, limit: int, metric: str, best, measure):
-    """Keeps the best hits of a whole partition, batch after batch."""
+    One matrix product per batch tells which chunks can be among the nearest of a query; their
+    distances are then computed one by one, so rounding in the product decides nothing.
+    """
 
     def scan(batches):
+        import numpy as np
         import pandas as pd
 
+        names = [q for q, _ in queries]
+        asked = np.stack([v for _, v in queries])
+        asked_squares = np.square(asked).sum(axis=1)
+
+        def distances(rows, vector):
+            if metric == "l2":
+                return np.square(rows - vector).sum(axis=1)
+            products = (rows * vector).sum(axis=1)
+            if metric == "ip":
+                return 1.0 - products
+            norms = np.linalg.norm(rows, axis=1) * np.linalg.norm(vector)
+            return 1.0 - products / np.where(norms == 0, 1.0, norms)
+
+        def estimates(rows):
+            """Distances of all queries by all rows, and how far each may be off."""
+            squares = np.square(rows).sum(axis=1)
+            products = asked @ rows.T
+            scale = asked_squares[:, None] + squares[None, :]
+            if metric == "l2":
+                return scale - 2.0 * products, scale * 1e-9
+            if metric == "ip":
+                return 1.0 - products, scale * 1e-9
+            norms = np.sqrt(asked_squares[:, None] * squares[None, :])
+            cosines = np.divide(products, norms, out=np.zeros_like(products), where=norms != 0)
+            return 1.0 - cosines, np.full_like(products, 1e-9)
+
         kept = None
         for batch in batches:
             if batch.empty:
                 continue
-            hits = pd.DataFrame(
-                list(best(batch, queries, limit, metric, measure)),
-                columns=["query_id", "chunk_id", "case_id", "distance"],
-            )
-            pool = hits if kept is None else pd.concat([kept, hits])
+            ids, owners = batch["chunk_id"].to_numpy(), batch["case_id"].to_numpy()
+            matrix = np.stack(batch["embedding"].to_numpy()).astype("float64")
+            about, slack = estimates(matrix)
+            hits = []
+            for place, name in enumerate(names):
+                near = np.arange(len(ids))
+                if len(ids) > limit:
+                    edge = np.partition(about[place] + slack[place], limit - 1)[limit - 1]
+                    # written so that a distance that is no number is looked at, too
+                    near = np.flatnonzero(~(about[place] - slack[place] > edge))
+                found = distances(matrix[near], asked[place])
+                order = np.lexsort((ids[near], found))[:limit]
+                hits.append(
+                    pd.DataFrame(
+                        {
+                            "query_id": name,
+                            "chunk_id": ids[near[order]],
+                            "case_id": owners[near[order]],
+                            "distance": found[order],
+                        }
+                    )
+                )
+            pool = pd.concat(hits if kept is None else [kept, *hits])
             pool = pool.sort_values(["query_id", "distance", "chunk_id"])
             kept = pool.groupby("query_id", sort=False).head(limit)
         if kept is not None:
@@ -79,15 +98,21 @@ def _scan_partitions(queries: list, limit: int, metric: str, best, measure):
     return scan
 
 
-def _local(function):
-    """A copy of a module function that travels by value to the tasks."""
-    import types
+def _blocks(queries: DataFrame, rows: int, values: int):
+    """The queries as lists of (id, vector), each of at most ``rows`` rows and ``values`` values
+    (a longer vector stands alone), read partition by partition."""
+    import numpy as np
 
-    clone = types.FunctionType(
-        function.__code__, {"__builtins__": __builtins__}, function.__name__, function.__defaults__
-    )
-    clone.__module__ = "__main__"
-    return clone
+    block, held = [], 0
+    for query in queries.toLocalIterator():
+        vector = np.asarray(query["embedding"], dtype="float64")
+        if block and (len(block) >= rows or held + len(vector) > values):
+            yield block
+            block, held = [], 0
+        block.append((query["query_id"], vector))
+        held += len(vector)
+    if block:
+        yield block
 
 
 def nearest(
@@ -95,78 +120,38 @@ def nearest(
     chunks: DataFrame,
     k: int,
     metric: str = "l2",
-    query_limit: int = BROADCAST_QUERIES,
-    tile_rows: int = 20_000,
-    tile_queries: int = 1_000,
+    block_queries: int = BLOCK_QUERIES,
+    block_values: int = BLOCK_VALUES,
 ) -> DataFrame:
     """The ``k`` nearest chunks per query: ``query_id, chunk_id, case_id, distance``.
 
     ``queries`` holds ``query_id, embedding``, ``chunks`` holds ``chunk_id,
     embedding`` and may hold ``incident_id``, which goes along as ``case_id`` so that
-    hits need not be joined with the chunk table again.  Exact search.  Up to ``query_limit`` queries (and a bound on their
-    values) are sent to the tasks, which scan the chunks where they lie and give back
-    ``k`` hits per query and partition.  More queries than that are cut, like the
-    chunks, into tiles of bounded size; each pair of tiles is one task.  The size
-    check is a bounded action on the query table.
+    hits need not be joined with the chunk table again.  Exact search; a query or a chunk
+    without a vector has no hits.  The queries go block by block to the tasks, which scan
+    the chunks where they lie and give back ``k`` hits per query and partition; neither the
+    chunks nor the queries are copied through a shuffle.  The hits of a block are
+    checkpointed before the next block is read, so driver and tasks hold one block.
     """
+    spark = queries.sparkSession
     kinds = dict(queries.dtypes), dict(chunks.dtypes)
     schema = (
         f"query_id {kinds[0]['query_id']}, chunk_id {kinds[1]['chunk_id']}, "
         "case_id string, distance double"
     )
-    owned = "incident_id" in chunks.columns
-    owner = F.col("incident_id") if owned else F.lit(None)
-    best, measure = _local(_best), _local(_distances)
-    wanted = queries.select("query_id", "embedding")
+    owner = F.col("incident_id") if "incident_id" in chunks.columns else F.lit(None)
+    wanted = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
     stored = chunks.where(F.col("embedding").isNotNull()).select(
         "chunk_id", owner.cast("string").alias("case_id"), "embedding"
     )
-
-    head = wanted.limit(query_limit + 1).toPandas()
-    values = int(head["embedding"].map(len).sum()) if len(head) else 0
-    if len(head) <= query_limit and values <= BROADCAST_VALUES:
-        import numpy as np
-
-        held = [(q, np.asarray(v, dtype="float64")) for q, v in zip(head["query_id"], head["embedding"])]
-        scan = _scan_partitions(held, k, metric, best, measure)
-        partial = stored.mapInPandas(scan, schema)
-    else:
-        partial = _tiled(wanted, stored, k, metric, tile_rows, tile_queries, schema, best, measure)
-    return first_rows(
-        partial, ["query_id"], [F.col("distance"), F.col("chunk_id")], k, "__rank"
-    ).drop("__rank")
-
-
-def _tiled(wanted, stored, k, metric, tile_rows, tile_queries, schema, best, measure):
-    """Every chunk tile meets every query tile in a task of its own."""
-    query_tiles = -(-wanted.count() // tile_queries)
-    chunk_tiles = max(1, -(-stored.count() // tile_rows))
-
-    def all_tiles(count):
-        return F.explode_outer(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    left = stored.withColumn(
-        "chunk_tile", F.pmod(F.xxhash64("chunk_id"), F.lit(chunk_tiles)).cast("int")
-    ).withColumn("query_tile", all_tiles(query_tiles))
-    right = wanted.withColumn(
-        "query_tile", F.pmod(F.xxhash64("query_id"), F.lit(query_tiles)).cast("int")
-    ).withColumn("chunk_tile", all_tiles(chunk_tiles))
-
-    def meet(rows, questions):
-        import numpy as np
-        import pandas as pd
-
-        columns = ["query_id", "chunk_id", "case_id", "distance"]
-        if rows.empty or questions.empty:
-            return pd.DataFrame(columns=columns)
-        held = [
-            (q, np.asarray(v, dtype="float64"))
-            for q, v in zip(questions["query_id"], questions["embedding"])
-        ]
-        return pd.DataFrame(list(best(rows, held, k, metric, measure)), columns=columns)
-
-    keys = ["chunk_tile", "query_tile"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+    result = spark.createDataFrame([], schema)
+    for block in _blocks(wanted, block_queries, block_values):
+        partial = stored.mapInPandas(_scan(block, k, metric), schema)
+        best = first_rows(
+            partial, ["query_id"], [F.col("distance"), F.col("chunk_id")], k, "__rank"
+        ).drop("__rank")
+        result = result.unionByName(checkpointed(best))
+    return result
 
 
 def rank_hits(hits: DataFrame, limit: int) -> DataFrame:

@@ -21,18 +21,49 @@ def brute(queries, chunks, k):
     return sorted(hits)
 
 
-@pytest.mark.parametrize("limit", [4096, 2])
-def test_nearest_equals_brute_force_on_both_paths(frame, limit):
+@pytest.mark.parametrize("sizes", [(4096, 4_194_304), (2, 4_194_304), (4096, 13), (4096, 1)])
+def test_nearest_equals_brute_force_in_any_blocks(frame, sizes):
     chunks = list(enumerate(vectors(150)))
     queries = [(f"q{i}", v) for i, v in enumerate(vectors(7, seed=9))]
     got = search.nearest(
         frame(queries, "query_id string, embedding array<double>"),
         frame(chunks, "chunk_id long, embedding array<double>"),
-        5, query_limit=limit, tile_rows=40, tile_queries=3,
+        5, block_queries=sizes[0], block_values=sizes[1],
     )
     assert sorted((r.query_id, r.chunk_id, r.distance) for r in got.collect()) == brute(queries, chunks, 5)
 
 
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_nearest_of_close_vectors_far_from_the_origin(frame, metric):
+    """The matrix product alone would round these distances away."""
+    import numpy as np
+
+    rng = random.Random(5)
+    chunks = [(i, [1e4 + rng.random() * 1e-3 for _ in range(5)]) for i in range(300)]
+    query = [1e4] * 5
+    got = search.nearest(
+        frame([("q", query)], "query_id string, embedding array<double>"),
+        frame(chunks, "chunk_id long, embedding array<double>").coalesce(1), 7, metric,
+    ).orderBy("distance", "chunk_id")
+
+    def distance(v):
+        v, w = np.array([v]), np.array(query)
+        if metric == "l2":
+            return np.square(v - w).sum(axis=1)[0]
+        dot = (v * w).sum(axis=1)[0]
+        return 1 - dot if metric == "ip" else 1 - dot / (np.linalg.norm(v, axis=1)[0] * np.linalg.norm(w))
+
+    best = sorted((distance(v), i) for i, v in chunks)[:7]
+    assert [(r.distance, r.chunk_id) for r in got.collect()] == best
+
+
+def test_queries_and_chunks_without_a_vector_have_no_hits(frame):
+    queries = frame([("q", None), ("r", [1.0])], "query_id string, embedding array<double>")
+    chunks = frame([(1, None), (2, [3.0])], "chunk_id long, embedding array<double>")
+    assert [tuple(r) for r in search.nearest(queries, chunks, 2).collect()] == [("r", 2, None, 4.0)]
+    assert search.nearest(queries.where("query_id = 'q'"), chunks, 2).collect() == []
+
+
 def test_other_metrics(frame):
     chunks = frame([(1, [1.0, 0.0]), (2, [5.0, 5.0])], "chunk_id long, embedding array<double>")
     queries = frame([("q", [1.0, 1.0])], "query_id string, embedding array<double>")
