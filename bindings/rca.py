@@ -33,7 +33,7 @@ def key_of(number) -> list:
 
 # -------------------------------------------------------------------------- reports
 def reports(spark: SparkSession, folder: str) -> DataFrame:
-    """A tagged report text per conversation."""
+    """A tagged report text per conversation: its first turn is the summary, all others the cause."""
     turns = table(spark, folder, "conversations")
     step = F.concat(
         (F.col("turn") + 1).cast("string"), F.when(F.col("turn") % 2 == 0, ". ").otherwise(") "),
@@ -46,14 +46,12 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
         "\n",
     )
 
-    def text_of(turn: int):
-        return F.coalesce(F.max(F.when(F.col("turn") == turn, F.col("text"))), F.lit(""))
-
+    later = F.sort_array(F.collect_list(F.when(F.col("turn") > 0, F.struct("turn", "text"))))
     grouped = turns.groupBy("conv_id").agg(
         F.count(F.lit(1)).cast("string").alias("n"),
         steps.alias("steps"),
-        text_of(0).alias("first"),
-        text_of(1).alias("second"),
+        F.coalesce(F.max(F.when(F.col("turn") == 0, F.col("text"))), F.lit("")).alias("first"),
+        F.array_join(F.transform(later, lambda x: x["text"]), "\n").alias("later"),
         F.max(F.when(F.col("role") == "system", "yes")).alias("system"),
     )
     insights = F.concat(
@@ -69,7 +67,7 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
         ).otherwise(F.concat(F.lit("\n- it is slower than "), F.col("n"), F.lit("\nnothing else"))),
     )
     body = F.concat(
-        F.lit("<summary>\n"), F.col("first"), F.lit("\n</summary><root_cause>"), F.col("second"),
+        F.lit("<summary>\n"), F.col("first"), F.lit("\n</summary><root_cause>"), F.col("later"),
         F.lit("</root_cause>\n<resolution>"), F.col("steps"), F.lit("</resolution><performance_insights>"),
         insights, F.lit("</performance_insights><sla_analysis>\n\nover by "), F.col("n"),
         F.lit("\n second \n\nthird\nfourth\nfifth</sla_analysis>"),
@@ -82,9 +80,9 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
 REPORTS_SQL = """grouped as (select conv_id, count(*)::varchar as n,
         string_agg((turn + 1) || case when turn % 2 = 0 then '. ' else ') ' end || 'ask the ' || role,
             chr(10) order by turn) as steps,
-        coalesce(max(text) filter (turn = 0), '') as first, coalesce(max(text) filter (turn = 1), '') as second,
+        coalesce(max(text) filter (turn = 0), '') as first, coalesce(string_agg(text, chr(10) order by turn, text) filter (turn > 0), '') as later,
         max(case when role = 'system' then 'yes' end) as system from conversations group by 1),
-    texts as (select conv_id, E'<summary>\\n' || first || E'\\n</summary><root_cause>' || second
+    texts as (select conv_id, E'<summary>\\n' || first || E'\\n</summary><root_cause>' || later
         || E'</root_cause>\\n<resolution>' || steps || '</resolution><performance_insights>'
         || E'CURRENT RUN STATUS:\\n- Total records: ' || n || case when system is not null then
             E'\\n\\n HISTORICAL BENCHMARK COMPARISON:\\n - Historical average throughput: ' || n

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import rules
 from faultline.functions.numeric import rounded
+from faultline.functions.ordered import null_safe_join
 from faultline.functions.text import any_of
 
 SNAPSHOT = ["snapshot_ts"]
@@ -97,16 +98,18 @@ def lock_waits(
     locks: DataFrame,
     sessions: DataFrame,
     by: list[str] = SNAPSHOT,
-    slices: int = 16,
+    slice_rows: int = 1000,
 ) -> DataFrame:
     """Who waits for whom: each waiting lock with the granted locks of other
     processes on the same object in the same snapshot.
 
     Null database and relation match null.  All equalities are join keys and only
     "another process" is left as a residual test, so this is a hash or merge join.
-    The holders are dealt into ``slices`` by process and the waiters are repeated per
-    slice, so an object with very many locks is shared out over tasks.  Sessions are
-    joined by snapshot and process id, which is unique.
+    The holders of an object are dealt by process into slices of about ``slice_rows``
+    and its waiters, where there is anyone to wait for, are repeated per slice; so an
+    object with very many locks is shared out over as many tasks as it needs, and a
+    common one is not copied at all.  Sessions are joined by snapshot and process id,
+    which is unique.
     """
     person = sessions.select(*by, "pid", "usename", "query")
     keys = [*by, "locktype", "database", "relation"]
@@ -121,25 +124,28 @@ def lock_waits(
         joined = rows.join(named, same + [rows[f"{role}_pid"] == named["__pid"]])
         return joined.drop(*[f"__{c}" for c in (*by, "pid")])
 
-    blocked = with_session(
-        waiting_locks(locks).select(
-            *keys, F.col("pid").alias("blocked_pid"), F.col("mode").alias("blocked_mode")
-        ),
-        "blocked",
-    ).withColumn("__slice", F.explode_outer(F.sequence(F.lit(0), F.lit(slices - 1))))
-    holders = with_session(
-        locks.where("granted").select(*keys, F.col("pid").alias("blocking_pid")), "blocking"
-    ).select(
+    held = locks.where(F.col("granted") & F.col("locktype").isNotNull()).select(
+        *keys, F.col("pid").alias("blocking_pid")
+    )
+    slices = held.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("__slices")
+    )
+    waiting = waiting_locks(locks).select(
+        *keys, F.col("pid").alias("blocked_pid"), F.col("mode").alias("blocked_mode")
+    )
+    blocked = with_session(null_safe_join(waiting, slices, keys, "inner"), "blocked").withColumn(
+        "__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))
+    ).drop("__slices")
+    holders = with_session(null_safe_join(held, slices, keys, "inner"), "blocking").select(
         *[F.col(k).alias(f"__{k}") for k in keys],
         "blocking_pid", "blocking_user", "blocking_query",
-        F.pmod(F.xxhash64("blocking_pid"), F.lit(slices)).cast("int").alias("__deal"),
+        F.pmod(F.xxhash64("blocking_pid"), F.col("__slices")).cast("int").alias("__deal"),
     )
     condition = (F.col("__slice") == F.col("__deal")) & (
         F.col("blocked_pid") != F.col("blocking_pid")
     )
     for key in keys:
-        same = F.col(key).eqNullSafe(F.col(f"__{key}"))
-        condition = condition & (F.col(key) == F.col(f"__{key}") if key == "locktype" else same)
+        condition = condition & F.col(key).eqNullSafe(F.col(f"__{key}"))
     return blocked.join(holders, condition).select(
         *by,
         "blocked_pid", "blocked_user", "blocked_query",

@@ -13,6 +13,16 @@ from faultline.functions.ordered import sliced_join
 from faultline.functions.text import strip
 from faultline.operators.loads import RUN_KEY
 
+# What the score reads of each evidence kind.
+EVIDENCE_FIELDS = {
+    "log": "status string, error_type string, error_message string, product_id string",
+    "audit": "status string, error_message string",
+    "product": "status string, exists boolean",
+    "history": "status string, incidents_found long, has_benchmarks boolean",
+    "host": "status string, overall_health string",
+    "runtime": "status string, health string, has_counters boolean",
+    "perf": "rows_inserted long, total_rows long",
+}
 # Evidence kinds with what stands in for one that is absent.
 EVIDENCE_DEFAULTS = {
     "log": {},
@@ -34,7 +44,8 @@ def assemble(
     """One row per trigger with a struct per evidence kind.
 
     ``evidence`` maps a kind to a frame and its key columns, at most one row per
-    key.  An absent source gets status MISSING.  Evidence that many triggers share
+    key.  An absent source gets status MISSING, be it absent for a trigger or as a
+    whole kind, so the score can be taken of any selection of kinds.  Evidence that many triggers share
     (a task's audit) is joined in slices, the rest by the full, unique key.  The
     errors of all sources are collected in ``errors``.
     """
@@ -47,6 +58,9 @@ def assemble(
         else:
             result = sliced_join(result, packed, on, F.xxhash64(*key), "left", slice_rows)
         result = result.withColumn(kind, _or_missing(frame, fields, kind))
+    for kind, schema in EVIDENCE_FIELDS.items():
+        if kind not in evidence:
+            result = result.withColumn(kind, _missing(dict(f.split() for f in schema.split(", ")), kind))
     notes = [
         _error_note(kind, "message" in frame.columns)
         for kind, (frame, _) in evidence.items()
@@ -57,11 +71,13 @@ def assemble(
 
 def _or_missing(frame: DataFrame, fields: list[str], kind: str) -> Column:
     kinds = dict(frame.dtypes)
+    return F.coalesce(F.col(kind), _missing({name: kinds[name] for name in fields}, kind))
+
+
+def _missing(fields: dict[str, str], kind: str) -> Column:
+    """The struct of an absent evidence kind; ``fields`` maps names to types."""
     defaults = {"status": "MISSING", **EVIDENCE_DEFAULTS.get(kind, {})}
-    absent = F.struct(
-        *[F.lit(defaults.get(name)).cast(kinds[name]).alias(name) for name in fields]
-    )
-    return F.coalesce(F.col(kind), absent)
+    return F.struct(*[F.lit(defaults.get(n)).cast(t).alias(n) for n, t in fields.items()])
 
 
 def _error_note(kind: str, has_message: bool) -> Column:

@@ -35,6 +35,18 @@ def triggers(frame):
     return frame([("d", "t", "r"), ("d", "t", "other")], KEY)
 
 
+def test_confidence_without_whole_kinds(frame):
+    given = evidence(frame)
+    full = {r.run_id: r.s for r in rca.assemble(triggers(frame), given).select(
+        "run_id", rca.confidence().alias("s")).collect()}
+    for kind in given:
+        rest = {k: v for k, v in given.items() if k != kind}
+        rows = rca.assemble(triggers(frame), rest).withColumn("s", rca.confidence()).collect()
+        assert all(r.s <= full[r.run_id] for r in rows) and len(rows) == len(full)
+    bare = rca.assemble(triggers(frame), {}).withColumn("s", rca.confidence()).first()
+    assert bare.s == 0.0 and bare.log.status == "MISSING" and bare.errors == []
+
+
 def test_assembly_and_confidence(frame):
     rows = rca.assemble(triggers(frame), evidence(frame), slice_rows=1).withColumn("score", rca.confidence())
     got = {r.run_id: r for r in rows.collect()}

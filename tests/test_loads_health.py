@@ -130,10 +130,13 @@ def test_lock_waits_with_nulls_and_skew(frame):
     people = frame([(t, p, f"u{p}", "q" * 250) for t, p in {(r[0], r[1]) for r in rows}],
                    "snapshot_ts int, pid int, usename string, query string")
     locks = frame(rows, schema)
-    got = sorted((r.snapshot_ts, r.blocked_pid, r.blocking_pid) for r in d.lock_waits(locks, people).collect())
+    got, sliced = (
+        sorted((r.snapshot_ts, r.blocked_pid, r.blocking_pid) for r in waits.collect())
+        for waits in (d.lock_waits(locks, people), d.lock_waits(locks, people, slice_rows=3))
+    )
     want = sorted((a[0], a[1], b[1]) for a in rows for b in rows
                   if a[:1] + a[2:5] == b[:1] + b[2:5] and a[1] != b[1] and not a[6] and b[6])
-    assert got == want
+    assert got == want and sliced == want
     plan = d.lock_waits(locks, people)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     total = {r.snapshot_ts: (r.waiting_locks_total, r.granted_locks_total) for r in d.lock_totals(locks).collect()}
