@@ -381,8 +381,15 @@ NEW_SQL = _pieces_sql("documents join labels using (doc_id)", "'TOXIC ' || text"
     "select * from old where chunk_id not in (select chunk_id from new)",
 )
 def upserted_chunks(spark, folder):
-    merged = sinks.upsert_chunks(dataset_chunks(spark, folder), relabelled_chunks(spark, folder))
-    return merged.select("chunk_id", "chunk_text", "source_dataset")
+    """Through the store: the whole of it first, then the relabelled chunks merged in."""
+    return _stored_chunks(spark, folder, replace=False)
+
+
+def _stored_chunks(spark: SparkSession, folder: str, replace: bool) -> DataFrame:
+    path = fresh_folder(spark, "chunks")
+    sinks.write_chunks(dataset_chunks(spark, folder), path)
+    found = sinks.write_chunks(relabelled_chunks(spark, folder), path, reset=False, replace=replace)
+    return spark.read.parquet(found).select("chunk_id", "chunk_text", "source_dataset")
 
 
 @query(
@@ -391,10 +398,7 @@ def upserted_chunks(spark, folder):
     "select * from old where source_dataset not in (select source_dataset from new)",
 )
 def replaced_datasets(spark, folder):
-    old, new = dataset_chunks(spark, folder), relabelled_chunks(spark, folder)
-    return sinks.replace_source(old, new, reset=False).select(
-        "chunk_id", "chunk_text", "source_dataset"
-    )
+    return _stored_chunks(spark, folder, replace=True)
 
 
 @query(
@@ -403,7 +407,7 @@ def replaced_datasets(spark, folder):
 )
 def chunk_store_count(spark, folder):
     path = fresh_folder(spark, "chunks")
-    sinks.write_version(dataset_chunks(spark, folder), path, ["source_dataset"])
+    sinks.write_chunks(dataset_chunks(spark, folder), path)
     return tables.chunk_count(tables.read_chunks(spark, path, "src0"))
 
 

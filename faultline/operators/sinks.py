@@ -1,8 +1,9 @@
 """Writing: versioned stores, keyed replacement, insert-if-absent, exports.
 
 Spark cannot overwrite a folder that the same plan reads, and a reader must never
-see half a store.  So every write of a store goes to a new version folder, and a
-one-row ``current`` table that names the version is appended last.
+see half a store.  So every write of a whole store goes to a new version folder, and a
+one-row ``current`` table that names the version is appended last.  Chunks that replace
+or join others overwrite the partitions of their datasets in the current version.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from faultline.functions.ordered import first_rows, row_index
+from faultline.functions.ordered import first_rows, null_safe_join, row_index
 from faultline import rules
 
+DATASET = "source_dataset"
+
 
 def _pointers(spark: SparkSession, path: str) -> DataFrame | None:
     try:
@@ -88,12 +91,37 @@ def replace_source(
     if reset:
         return new
     if replace:
-        datasets = new.select("source_dataset").distinct()
-        kept = old.join(datasets, "source_dataset", "left_anti")
+        kept = null_safe_join(old, new.select(DATASET).distinct(), [DATASET], "left_anti")
         return union_chunks(kept, new)
     return upsert_chunks(old, new)
 
 
+def write_chunks(new: DataFrame, path: str, reset: bool = True, replace: bool = True) -> str:
+    """Brings the chunk store to what :func:`replace_source` describes; returns its folder.
+
+    Only a reset writes the store as a whole.  Replacing overwrites the partitions of the
+    datasets that ``new`` holds.  Merging reads and overwrites those and the datasets from
+    which a chunk moves away; where it would leave one of these without a chunk, which an
+    overwrite cannot express, a new version is written.
+    """
+    spark = new.sparkSession
+    if reset or not current_number(spark, path):
+        return write_version(new, path, [DATASET])
+    target, content = current_version(spark, path), new
+    if not replace:
+        old = spark.read.parquet(target)
+        moved = old.join(new.select("chunk_id"), "chunk_id", "left_semi")
+        touched = moved.select(DATASET).union(new.select(DATASET)).distinct()
+        content = upsert_chunks(null_safe_join(old, touched, [DATASET], "left_semi"), new)
+        if not null_safe_join(touched, content, [DATASET], "left_anti").isEmpty():
+            return write_version(upsert_chunks(old, new), path, [DATASET])
+    # tasks write beside the store; partitions are exchanged when all have finished
+    content.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        DATASET
+    ).parquet(target)
+    return target
+
+
 def first_per_key(batch: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """First row of each key in input order."""
     return first_rows(batch, [key], order, 1, "__rank").drop("__rank")

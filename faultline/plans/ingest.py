@@ -72,12 +72,7 @@ def ingest(
     written = sinks.write_cases(c.case_store(stages.merged), case_path)
     stored = spark.read.parquet(written)
     fresh = ch.chunk_rows(stored, size, overlap, metadata_override)
-    if reset or not sinks.current_number(spark, chunk_path):
-        content = fresh
-    else:
-        old = spark.read.parquet(sinks.current_version(spark, chunk_path))
-        content = sinks.replace_source(old, fresh, False, replace)
-    sinks.write_version(content, chunk_path, ["source_dataset"])
+    sinks.write_chunks(fresh, chunk_path, reset, replace)
     return c.ingest_stats(
         stages.raw, len(stages.columns), stages.distinct, stages.assigned, stored, fresh
     )
