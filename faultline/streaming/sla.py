@@ -11,17 +11,10 @@ from faultline import rules
 DAY_MS = 86_400_000
 
 
-def _timed(rows: DataFrame, event_time: str | None, delay: str) -> tuple[DataFrame, str]:
-    """Watermark and event time in milliseconds, and the kind of state timeout.
-
-    Without an event time the state is kept for good; that suits a bounded run.
-    """
-    if event_time is None:
-        timed = rows.withColumn("__ms", F.lit(0).cast("bigint"))
-        return timed, GroupStateTimeout.NoTimeout
+def _timed(rows: DataFrame, event_time: str, delay: str) -> DataFrame:
+    """Watermark, and the event time in milliseconds."""
     timed = rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    timed = timed.withColumn("__ms", F.unix_millis(event_time)).withWatermark(event_time, delay)
-    return timed, GroupStateTimeout.EventTimeTimeout
+    return timed.withColumn("__ms", F.unix_millis(event_time)).withWatermark(event_time, delay)
 
 
 BREACH = (
@@ -32,8 +25,8 @@ BREACH = (
 
 def stream_sla(
     progress: DataFrame,
+    event_time: str,
     key: str = "run_id",
-    event_time: str | None = None,
     delay: str = "1 hour",
     idle_ms: int = DAY_MS,
 ) -> DataFrame:
@@ -41,13 +34,13 @@ def stream_sla(
 
     ``progress`` has ``chunk_no, chunk_rows, elapsed_seconds, total_rows,
     sla_threshold``, in chunk order within a run.  The state of a run is the rows
-    loaded and whether it has been reported; with an ``event_time`` it is dropped
-    once the watermark is ``idle_ms`` past the last chunk of the run.  What a group holds at once is its part of one
-    micro-batch, which ``maxFilesPerTrigger`` of the source bounds.
+    loaded and whether it has been reported; it is dropped once the watermark, ``delay``
+    behind the newest ``event_time``, is ``idle_ms`` past the last chunk of the run.  Rows
+    behind the watermark are late and left out.  What a group holds at once is its part of
+    one micro-batch, which ``maxFilesPerTrigger`` of the source bounds.
     """
     kind = dict(progress.dtypes)[key]
-    timed, timeout = _timed(progress, event_time, delay)
-    expires = event_time is not None
+    timed = _timed(progress, event_time, delay)
 
     def watch(group, batches, state):
         import pandas as pd
@@ -81,34 +74,33 @@ def stream_sla(
             )
             reported = True
         state.update((inserted + int(chunks["chunk_rows"].sum()), reported))
-        if expires:
-            latest = max(int(chunks["__ms"].max()), state.getCurrentWatermarkMs())
-            state.setTimeoutTimestamp(latest + idle_ms)
+        latest = max(int(chunks["__ms"].max()), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(latest + idle_ms)
 
     return timed.groupBy(key).applyInPandasWithState(
         watch,
         f"{key} {kind}, {BREACH}",
         "rows_inserted long, reported boolean",
         "append",
-        timeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def stream_trend(
     samples: DataFrame,
+    event_time: str,
     key: str = "host",
     order: str = "sample_no",
     value: str = "ram_used_percent",
     n: int = rules.TREND_SAMPLES,
     band: float = rules.TREND_BAND,
-    event_time: str | None = None,
     delay: str = "1 hour",
     idle_ms: int = DAY_MS,
 ) -> DataFrame:
-    """Memory trend at each sample; the state of a host is its last ``n - 1`` values."""
+    """Memory trend at each sample; the state of a host is its last ``n - 1`` values, and is
+    dropped like that of :func:`stream_sla`."""
     kinds = dict(samples.dtypes)
-    timed, timeout = _timed(samples, event_time, delay)
-    expires = event_time is not None
+    timed = _timed(samples, event_time, delay)
 
     def follow(group, batches, state):
         import numpy as np
@@ -134,16 +126,15 @@ def stream_trend(
             }
         )
         state.update((series[-(n - 1):].tolist(),))
-        if expires:
-            latest = max(int(rows["__ms"].max()), state.getCurrentWatermarkMs())
-            state.setTimeoutTimestamp(latest + idle_ms)
+        latest = max(int(rows["__ms"].max()), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(latest + idle_ms)
 
     return timed.groupBy(key).applyInPandasWithState(
         follow,
         f"{key} {kinds[key]}, {order} {kinds[order]}, trend string, delta_percent double",
         "recent array<double>",
         "append",
-        timeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -28,7 +28,8 @@ def in_parts(spark, df, folder, parts, order):
 def test_sla_monitor_equals_batch(spark, frame, tmp_path):
     rows = [("hot", i, 10, i * 1.5, 600, 30) for i in range(60)] + [("ok", 0, 10, 1.0, 10, 30), ("late", 1, 5, 31.0, 10, 30)]
     df = frame(rows, "run_id string, chunk_no int, chunk_rows long, elapsed_seconds double, total_rows long, sla_threshold long")
-    got = run(stream_sla(in_parts(spark, df, str(tmp_path / "in"), 4, "chunk_no")), str(tmp_path))
+    df = df.withColumn("at", F.timestamp_seconds(F.col("chunk_no") + 10**9))
+    got = run(stream_sla(in_parts(spark, df, str(tmp_path / "in"), 4, "chunk_no"), "at"), str(tmp_path))
     done = loads.progress(df.withColumn("b", F.floor(F.col("chunk_no") / 7)), ["run_id"], "b", [F.col("chunk_no")], digits=None)
     want = loads.first_breach(done, ["run_id"], [F.col("chunk_no")], digits=None)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
@@ -39,13 +40,14 @@ def test_sla_monitor_with_watermark(spark, frame, tmp_path):
     rows = [("r", i, 10, i * 20.0, 100, 30, start + dt.timedelta(minutes=i)) for i in range(6)]
     df = frame(rows, "run_id string, chunk_no int, chunk_rows long, elapsed_seconds double, total_rows long, "
                      "sla_threshold long, at timestamp")
-    stream = stream_sla(in_parts(spark, df, str(tmp_path / "in"), 3, "chunk_no"), event_time="at", delay="10 minutes")
+    stream = stream_sla(in_parts(spark, df, str(tmp_path / "in"), 3, "chunk_no"), "at", delay="10 minutes")
     assert [(r.rows_inserted, r.sla_breached_at) for r in run(stream, str(tmp_path)).collect()] == [(20, 40.0)]
 
 
 def test_trend_equals_batch(spark, frame, tmp_path):
     df = frame([("h", i // 9, i, float((i * 7) % 23)) for i in range(50)], "host string, day int, sample_no int, ram_used_percent double")
-    got = run(stream_trend(in_parts(spark, df, str(tmp_path / "in"), 3, "sample_no")), str(tmp_path))
+    df = df.withColumn("at", F.timestamp_seconds(F.col("sample_no") + 10**9))
+    got = run(stream_trend(in_parts(spark, df, str(tmp_path / "in"), 3, "sample_no"), "at"), str(tmp_path))
     want = host.trend(df, ["host"], "day", [F.col("sample_no")], digits=None)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
 
