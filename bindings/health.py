@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bindings.common import Registry, table
 from faultline.operators import database as d
 from faultline.operators import host
+from faultline.plans import evidence
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -411,3 +412,98 @@ def overall(spark: SparkSession, folder: str) -> DataFrame:
 @query("AGG-14", f"with {OVERALL_SQL} select * from overall")
 def overall_health(spark, folder):
     return overall(spark, folder)
+
+
+# -------------------------------------------------------------------- evidence tables
+@query(
+    "HLT-01 HLT-02 HLT-03 WIN-06 AGG-14",
+    f"""with {MEMORY_SQL}, {ACTIVITY_SQL}, rows_ as (select m.*, coalesce(activity_health, 'UNKNOWN') as postgres_health
+        from memory m join events e on e.event_id = m.sample_no left join graded g on g.day = e.ts::date)
+    select host, sample_no, trend, cpu_health, memory_health, postgres_health,
+        case when 'CRITICAL' in (cpu_health, memory_health, postgres_health) then 'CRITICAL'
+        when 'WARNING' in (cpu_health, memory_health, postgres_health) then 'WARNING'
+        when memory_health = 'MONITOR' then 'MONITOR' else 'HEALTHY' end as overall_health from rows_""",
+)
+def host_evidence(spark, folder):
+    ram, kind = F.col("ram_used_percent"), F.col("event_type")
+    rows = samples(spark, folder).withColumns(
+        {
+            "cpu_percent": ram * 1.5,
+            "load_avg": F.col("sample_no") % 100 / 10.0,
+            "cores": F.lit(4),
+            "iowait_percent": F.lit(None).cast("double"),
+            "swap_percent": F.when(kind == "click", ram).otherwise(0.0),
+            "oom": (kind == "error") & (ram > 60),
+        }
+    )
+    found = evidence.host_evidence(
+        rows, activity(spark, folder), "day", "day", [F.col("sample_no")], digits=None
+    )
+    return found.select(
+        "host", "sample_no", "trend", "cpu_health", "memory_health", "postgres_health", "overall_health"
+    )
+
+
+@query(
+    "AGG-05 AGG-07 AGG-08 AGG-09 AGG-16 JON-03 HLT-04 HLT-05",
+    f"""with {SESSIONS_SQL}, {LOCKS_SQL}, s as (select *, xact_start::date as day from sessions),
+    used as (select day, count(*) as total_connections,
+        count(*) filter (state = 'idle in transaction') as idle_in_transaction,
+        count(*) * 100.0::double / 400 as connections_percent,
+        count(*) filter (state is not null and query <> '' and {_AGE} >= 1800) as slow_query_count
+        from s group by 1),
+    states as (select day, string_agg(state || ' ' || n, ', ' order by state) as sessions_by_state
+        from (select day, coalesce(state, 'unknown') as state, count(*) as n from s group by 1, 2) group by 1),
+    held as (select snapshot_ts as day, count(*) filter (not granted) as waiting_locks_total,
+        count(*) filter (granted) as granted_locks_total from locks group by 1),
+    waits as (select b.snapshot_ts as day, count(*) as lock_waits from locks b
+        join locks h on h.snapshot_ts = b.snapshot_ts and h.locktype = b.locktype
+            and h.database is not distinct from b.database and h.relation is not distinct from b.relation
+            and h.pid <> b.pid and h.granted where not b.granted group by 1),
+    counted as (select ts::date as day, count(*) filter (event_type = 'view') as blks_hit,
+        count(*) filter (event_type = 'click') as blks_read,
+        count(*) filter (event_type = 'error' and value > 490) as deadlocks,
+        count(*) filter (event_type = 'signup' and value > 300) as temp_files from events group by 1),
+    joined as (select *, case when blks_hit + blks_read > 0 then blks_hit * 100.0::double / (blks_hit + blks_read) end
+        as ratio from counted left join used using (day) left join states using (day)
+        left join held using (day) left join waits using (day))
+    select day::varchar as day, coalesce(total_connections, 0) as total_connections,
+        coalesce(idle_in_transaction, 0) as idle_in_transaction, connections_percent, sessions_by_state,
+        coalesce(slow_query_count, 0) as slow_query_count, coalesce(waiting_locks_total, 0) as waiting_locks_total,
+        coalesce(granted_locks_total, 0) as granted_locks_total, coalesce(lock_waits, 0) as lock_waits,
+        ratio as buffer_hit_ratio_pct,
+        case when coalesce(waiting_locks_total, 0) > 0 or deadlocks > 0 then 'CRITICAL'
+            when coalesce(slow_query_count, 0) > 0 or temp_files > 0 or coalesce(ratio < 90, false) then 'WARNING'
+            else 'HEALTHY' end as health,
+        concat_ws('; ', case when slow_query_count > 0 then slow_query_count || ' slow/active query(s) >= 1800s' end,
+            case when waiting_locks_total > 0 then waiting_locks_total || ' waiting lock(s) — possible contention' end,
+            case when deadlocks > 0 then deadlocks || ' deadlock(s) recorded since stats reset' end,
+            case when temp_files > 0 then temp_files || ' temp file(s) used — possible work_mem pressure' end,
+            case when ratio < 90 then 'Buffer hit ratio low' end) as issues
+    from joined""",
+)
+def database_evidence(spark, folder):
+    """One row per day; its sessions, locks and counters are those of the events of the day."""
+    daily = sessions(spark, folder).withColumn("day", F.to_date("xact_start"))
+    events = table(spark, folder, "events")
+    kind = F.col("event_type")
+    counted = events.groupBy(F.to_date("ts").alias("day")).agg(
+        F.count_if(kind == "view").alias("blks_hit"),
+        F.count_if(kind == "click").alias("blks_read"),
+        F.count_if((kind == "error") & (F.col("value") > 490)).alias("deadlocks"),
+        F.count_if((kind == "signup") & (F.col("value") > 300)).alias("temp_files"),
+    )
+    found = evidence.database_evidence(
+        daily, locks(spark, folder).withColumnRenamed("snapshot_ts", "day"), counted,
+        F.lit(400), ["day"], 1800, digits=None,
+    )
+    states = F.transform(
+        "sessions_by_state", lambda x: F.concat_ws(" ", x["state"], x["sessions"].cast("string"))
+    )
+    notes = F.transform("issues", lambda x: F.regexp_replace(x, r" at .*shared_buffers$", ""))
+    return found.select(
+        F.col("day").cast("string").alias("day"), "total_connections", "idle_in_transaction",
+        "connections_percent", F.array_join(states, ", ").alias("sessions_by_state"), "slow_query_count",
+        "waiting_locks_total", "granted_locks_total", "lock_waits", "buffer_hit_ratio_pct", "health",
+        F.array_join(notes, "; ").alias("issues"),
+    )

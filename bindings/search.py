@@ -9,6 +9,7 @@ from bindings.common import Registry, table
 from faultline import rules
 from faultline.operators import benchmarks as b
 from faultline.operators import search
+from faultline.plans.evidence import history_evidence as past_incidents
 from faultline.plans.retrieve import matched_chunks, retrieve
 
 REGISTRY = Registry()
@@ -371,3 +372,64 @@ def full_benchmarks(spark, folder):
     cases = banded(spark, folder).drop("current_volume")
     full = b.full_benchmarks(cases, ["query_id"], F.col("case_rank"), digits=None)
     return full.drop("volume_matched")
+
+
+@query(
+    "JON-04 JON-05 JON-08 PRJ-16 AGG-10 AGG-11 AGG-12 FIL-09",
+    f"""with {HITS_SQL.replace("label, unnest", "label, vec_id // 5 % 2 as half, unnest").replace(
+        "group by 1, 2),\n    ranked", "where half = 0 group by 1, 2),\n    ranked")},
+    stored as (select vec_id // 5 as n, count(*) as vectors from embeddings group by 1),
+    found as (select query_id, case_rank, case_id, n % 60 as volume, (n % 7)::double as speed,
+        (n % 3)::double as seconds, case n % 3 when 0 then 'copy' when 1 then 'insert' else '' end as method,
+        (n % 11)::double as gain, 'fix ' || n as fix, query_id * 7 % 60 as current_volume
+        from ordered join stored on case_id = 'CASE_' || n where case_rank <= 7),
+    perf as (select *, current_volume > 0 and abs(volume - current_volume) <= current_volume * 0.5 as near
+        from found where speed > 0 or seconds > 0),
+    band as (select * from (select *, max(near::int) over (partition by query_id) as any_ from perf)
+        where near or any_ = 0),
+    methods as (select query_id, first(method order by c desc, method) as common_insert_method
+        from (select query_id, method, count(*) as c from band where method <> '' group by 1, 2) group by 1),
+    marks as (select query_id, count(*) as benchmark_incident_count,
+        coalesce(sum(speed) / nullif(count(*) filter (speed > 0), 0), 0)::double as avg_rows_per_second,
+        coalesce(max(speed) filter (speed > 0), 0)::double as best_rows_per_second,
+        bool_or(near) as volume_matched,
+        coalesce(first(fix order by gain desc, case_rank) filter (gain > 0), '') as most_successful_fix
+        from band group by 1)
+    select q.query_id, coalesce(incidents_found, 0) as incidents_found, top_match_id, top_similarity,
+        benchmark_incident_count is not null as has_benchmarks, benchmark_incident_count, avg_rows_per_second,
+        best_rows_per_second, volume_matched,
+        case when benchmark_incident_count is not null then coalesce(common_insert_method, 'Unknown') end
+            as common_insert_method, most_successful_fix
+    from (select distinct label as query_id from embeddings) q
+    left join (select query_id, count(*) as incidents_found, first(case_id order by case_rank) as top_match_id,
+        max(round(1 - (case_rank - 1) * 0.05, 4))::double as top_similarity from found group by 1) f using (query_id)
+    left join marks using (query_id) left join methods using (query_id)""",
+)
+def history_evidence(spark, folder):
+    """Label means search the half of the vectors that belongs to the dataset of even cases."""
+    number = F.floor(F.col("vec_id") / 5)
+    rows = table(spark, folder, "embeddings")
+    chunks = rows.select(
+        F.col("vec_id").alias("chunk_id"),
+        F.concat(F.lit("CASE_"), number.cast("string")).alias("incident_id"),
+        "embedding",
+        F.when(number % 2 == 0, "even").otherwise("odd").alias("source_dataset"),
+    )
+    case = F.col("n")
+    cases = rows.groupBy(number.alias("n")).agg(F.count(F.lit(1)).alias("vectors")).select(
+        F.concat(F.lit("CASE_"), case.cast("string")).alias("incident_id"),
+        (case % 60).cast("string").alias("record_volume"),
+        (case % 7).cast("string").alias("rows_per_second"),
+        (case % 3).cast("string").alias("elapsed_seconds"),
+        F.when(case % 3 == 0, "copy").when(case % 3 == 1, "insert").otherwise("").alias("insert_method"),
+        (case % 11).cast("string").alias("fix_reduced_time_by_pct"),
+        F.concat(F.lit("fix "), case.cast("string")).alias("fix_applied"),
+    )
+    asked = label_queries(spark, folder).withColumn(
+        "current_volume", (F.col("query_id") * 7 % 60).cast("bigint")
+    )
+    return past_incidents(asked, chunks, cases, "even", K, digits=None).select(
+        "query_id", "incidents_found", "top_match_id", "top_similarity", "has_benchmarks",
+        "benchmark_incident_count", "avg_rows_per_second", "best_rows_per_second", "volume_matched",
+        "common_insert_method", "most_successful_fix",
+    )

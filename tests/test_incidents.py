@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from faultline import rules
 from faultline.operators import rca, report
+from faultline.plans.evidence import database_evidence, history_evidence, host_evidence
 from faultline.plans.incident import analyse, summarise
 
 KEY = "dag_id string, task_id string, run_id string"
@@ -179,3 +180,41 @@ def test_check_outcomes(frame):
     assert [tuple(r) for r in rows.select(*outcome.values()).collect()] == [
         ("SLA_MISS", "SLA Miss — no product lookup required."), ("FOUND", "Product ID 5 exists — n"),
         ("NOT_FOUND", "Product ID None not found in product_master"), ("UNAVAILABLE", "DB check unavailable")]
+
+
+def test_history_evidence_keeps_queries_without_a_find(frame):
+    queries = frame([("q", [0.0], 100), ("none", None, 100)],
+                    "query_id string, embedding array<double>, current_volume long")
+    chunks = frame([("k1", "1", [0.0], "a"), ("k2", "2", [1.0], "a"), ("k3", "3", [0.0], "b")],
+                   "chunk_id string, incident_id string, embedding array<double>, source_dataset string")
+    cases = frame([("1", "90", "10"), ("2", "900", "30"), ("3", "1", "1")],
+                  "incident_id string, record_volume string, rows_per_second string")
+    rows = {r.query_id: r for r in history_evidence(queries, chunks, cases, "a").collect()}
+    found, empty = rows["q"], rows["none"]
+    assert (found.incidents_found, found.top_match_id, found.has_benchmarks) == (2, "1", True)
+    assert (found.benchmark_incident_count, found.avg_rows_per_second, found.volume_matched) == (1, 10.0, True)
+    assert (empty.incidents_found, empty.top_match_id, empty.has_benchmarks) == (0, None, False)
+    everywhere = {r.query_id: r.incidents_found for r in history_evidence(queries, chunks, cases).collect()}
+    assert everywhere == {"q": 3, "none": 0}
+
+
+def test_host_and_database_evidence_of_sparse_tables(frame):
+    samples = frame([("h", 1, 1, 95.0, 10.0), ("h", 2, 2, 10.0, 10.0), ("h", 3, 3, 10.0, 10.0)],
+                    "host string, day int, sample_no int, cpu_percent double, ram_used_percent double")
+    samples = samples.selectExpr("*", "0D load_avg", "4 cores", "0D iowait_percent", "0D swap_percent", "false oom")
+    activity = frame([(2, "WARNING")], "day int, activity_health string")
+    rows = host_evidence(samples, activity, "day", "day", [F.col("sample_no")]).orderBy("sample_no").collect()
+    assert [(r.postgres_health, r.overall_health) for r in rows] == [
+        ("UNKNOWN", "CRITICAL"), ("WARNING", "WARNING"), ("UNKNOWN", "HEALTHY")]
+
+    sessions = frame([(1, 7, "u", "active", "select 1", None, None)],
+                     "snapshot_ts int, pid int, usename string, state string, query string, "
+                     "query_start timestamp_ntz, xact_start timestamp_ntz")
+    sessions = sessions.withColumnRenamed("snapshot_ts", "n").withColumn("snapshot_ts", F.expr("timestamp_ntz'2026-01-01'"))
+    locks = frame([(2, 8, "relation", 1, 1, "X", False)],
+                  "n int, pid int, locktype string, database long, relation long, mode string, granted boolean")
+    counters = frame([(3, 1, 99, 0, 0)], "n int, blks_hit long, blks_read long, deadlocks long, temp_files long")
+    rows = database_evidence(sessions, locks, counters, F.lit(10), ["n"]).orderBy("n").collect()
+    assert [(r.total_connections, r.waiting_locks_total, r.lock_waits, r.health) for r in rows] == [
+        (1, 0, 0, "HEALTHY"), (0, 1, 0, "CRITICAL"), (0, 0, 0, "WARNING")]
+    assert rows[0].issues == [] and len(rows[1].issues) == 1
