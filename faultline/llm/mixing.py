@@ -23,6 +23,8 @@ WEIGHTS = (1, 2, 3)
 EPOCHS = 3
 BLOCK_DIGITS = 3
 SEED = "mix-1"
+#: Up to this many sources, a table of one row per source is broadcast (some 20 MB).
+BROADCAST_SOURCES = 200_000
 
 
 def seeded_key(seed: str = SEED) -> Column:
@@ -59,7 +61,15 @@ def water_fill(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     )
 
 
-def source_plan(narrow: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
+def _small(per_source: DataFrame, most: int) -> DataFrame:
+    """A table of a row per source, marked for broadcast where it is no longer than ``most``; a
+    longer one is joined by shuffle, where adaptive execution splits hot sources."""
+    return F.broadcast(per_source) if per_source.count() <= most else per_source
+
+
+def source_plan(
+    narrow: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, broadcast_sources: int = BROADCAST_SOURCES
+) -> DataFrame:
     """Per source: ``source_size``, ``target``, ``whole`` repetitions and the ``last_key`` taken once more.
 
     ``narrow`` has ``source``, ``key`` and ``size``.
@@ -83,13 +93,13 @@ def source_plan(narrow: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> Dat
     blocks = narrow.groupBy("source", block.alias("block")).agg(F.sum("size").alias("size"))
     so_far = Window.partitionBy("source").orderBy("block")
     sums = blocks.withColumn("before", F.sum("size").over(so_far) - F.col("size"))
-    crossing = (
+    crossing = cut(
         sums.join(plan, sums["source"].eqNullSafe(plan["of"]))
         .where("before <= extra and extra < before + size")
         .select("of", F.col("block").alias("at"), "before", "extra")
     )
     inside = narrow.join(
-        F.broadcast(crossing),
+        _small(crossing, broadcast_sources),
         narrow["source"].eqNullSafe(crossing["of"]) & (block == crossing["at"]),
     )
     keys = inside.groupBy("of", "key", "before", "extra", "at").agg(F.sum("size").alias("size"))
@@ -116,15 +126,10 @@ def source_plan(narrow: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> Dat
 
 
 def with_repetitions(
-    docs: DataFrame, plan: DataFrame, key: Column, max_sources: int = 200_000
+    docs: DataFrame, plan: DataFrame, key: Column, broadcast_sources: int = BROADCAST_SOURCES
 ) -> DataFrame:
-    """Adds ``source_size``, ``target`` and ``times`` to rows with ``source``.
-
-    The plan has a row per source and is broadcast up to ``max_sources``; a longer one is joined
-    by shuffle, where adaptive execution splits hot sources.
-    """
-    if plan.count() <= max_sources:
-        plan = F.broadcast(plan)
+    """Adds ``source_size``, ``target`` and ``times`` to rows with ``source``."""
+    plan = _small(plan, broadcast_sources)
     # with nothing left to fill, last_key is empty and below every key
     joined = docs.join(plan, docs["source"].eqNullSafe(plan["of"]), "left")
     return joined.withColumn("times", F.col("whole") + (key <= F.col("last_key")).cast("int")).drop(

@@ -326,6 +326,18 @@ def test_mix_meets_targets(spark, edge):
     assert mixing.mix_sizes(edge.limit(0)).count() == 0
 
 
+def test_mix_of_many_sources_needs_no_broadcast(spark, edge):
+    narrow = edge.select(
+        "source", mixing.count_words(mixing.text_or_empty()).alias("size"), mixing.seeded_key().alias("key")
+    )
+    plans = [mixing.source_plan(narrow, broadcast_sources=most) for most in (0, mixing.BROADCAST_SOURCES)]
+    taken = [
+        sorted(map(repr, mixing.with_repetitions(narrow, plan, F.col("key"), most).collect()))
+        for plan, most in zip(plans, (0, mixing.BROADCAST_SOURCES))
+    ]
+    assert taken[0] == taken[1] and len(taken[0]) == len(EDGE)
+
+
 def test_water_filling_equals_rounds(spark):
     rng = random.Random(8)
     for _ in range(4):
