@@ -240,6 +240,7 @@ ASSEMBLED_SQL = f"""{logs.EVIDENCE_SQL}, {loads.AUDIT_SQL}, {loads.CHUNKS_SQL},
         coalesce(overall_health, 'UNKNOWN') as overall_health,
         case when r.datname is null then 'MISSING' else 'SUCCESS' end as runtime_status,
         coalesce(r.health, 'UNKNOWN') as runtime_health, b.rows_inserted, b.total_rows, b.run_id is not null as has_perf,
+        b.pct_complete, b.elapsed_seconds, b.rows_per_second, b.eta_seconds, b.sla_threshold,
         response_text
         from customer left join log_ l on l.user_id = c_custkey left join audits a on a.task_id = c_custkey
         left join part on p_partkey = try_cast(l.product_id as bigint)
@@ -427,15 +428,18 @@ _CONSTRAINTS = [p.replace("'", "''") for p in rules.CONSTRAINT_PATTERNS]
 CONSTRAINT_SQL = "case " + " ".join(
     f"when regexp_matches(error_message, '{p}') then regexp_extract(error_message, '{p}', 1)" for p in _CONSTRAINTS
 ) + " else 'Unknown' end"
-HEALTH_SQL = """case when host_status = 'SUCCESS' then 'CPU: ' || overall_health || ' | Memory: ' || overall_health
-    || ' | Postgres Activity: ' || overall_health || ' | Overall: ' || overall_health
-    || ' | PostgreSQL Runtime: ' || runtime_health else 'System health check unavailable' end"""
+GRADES_SQL = ", ".join(f"case when host_status = 'SUCCESS' then overall_health end as {c}" for c in report.GRADES)
+INSIGHTS_SQL = """case when conv_id is null then 'Unknown' when (select g.system from grouped g
+        where g.conv_id = joined.conv_id) is not null then '- Historical average throughput: ' || lines_
+        || E' rows/sec\\n- Performance gap: -' || lines_ || E'% current run is faster\\n- Trend: IMPROVING\\n'
+        || 'Most successful historical fix: ask again' else '- it is slower than ' || lines_ end"""
 
 
 @query(
     "RPT-07 RPT-01 RPT-02 RPT-06 JON-06 JON-10",
     f"""with {ASSEMBLED_SQL}, joined as (select a.*, s.* exclude (response_text),
-            {CONFIDENCE_SQL} as confidence_ from assembled a left join sections s on s.conv_id = a.n)
+            {CONFIDENCE_SQL} as confidence_, (select g.n from grouped g where g.conv_id = s.conv_id) as lines_
+            from assembled a left join sections s on s.conv_id = a.n)
     select {_safe_sql('conv_id::varchar')} as incident_id, 'd' as dag, 'task_' || n as task,
         {SEVERITY_SQL} as severity,
         case when conv_id is not null then 'Confirmed' else 'Under Investigation' end as status,
@@ -447,7 +451,11 @@ HEALTH_SQL = """case when host_status = 'SUCCESS' then 'CPU: ' || overall_health
             else 'over by ' || (select g.n from grouped g where g.conv_id = joined.conv_id) || ' | second | third | fourth'
             end as sla_analysis,
         {_impact_sql(1)} as catalog_update, {_impact_sql(2)} as downstream_feeds,
-        {CONSTRAINT_SQL} as "constraint", {_safe_sql('error_message')} as airflow_logs, {HEALTH_SQL} as system_health,
+        {CONSTRAINT_SQL} as "constraint", {_safe_sql('error_message')} as airflow_logs, 
+        case when host_status = 'SUCCESS' then overall_health else 'UNKNOWN' end as system_health,
+        {INSIGHTS_SQL} as performance_insights, rows_inserted, total_rows::bigint as total_rows, pct_complete,
+        elapsed_seconds, rows_per_second, eta_seconds, sla_threshold::bigint as sla_threshold,
+        round(elapsed_seconds - sla_threshold, 1) as sla_breach_by, {GRADES_SQL}, runtime_health,
         {_step_sql('resolution', 1)} as remove_duplicate_record, {_step_sql('resolution', 2)} as reload_source_file,
         {_step_sql('resolution', 3)} as rerun_dag, {_step_sql('preventive_actions', 1)} as prevention_high_1,
         {_step_sql('preventive_actions', 2)} as prevention_high_2,
@@ -456,5 +464,4 @@ HEALTH_SQL = """case when host_status = 'SUCCESS' then 'CPU: ' || overall_health
     from joined where n % 17 <> 0""",
 )
 def incident_summaries(spark, folder):
-    rows = summarise(analysed(spark, folder))
-    return rows.drop("performance_insights")
+    return summarise(analysed(spark, folder))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -90,3 +92,12 @@ def first_group(value: Column, patterns: list[str], group: int = 1) -> Column:
 def sha16(value: Column) -> Column:
     return F.substring(F.sha2(value, 256), 1, 16)
 
+
+def filled(template: str, **values: Column) -> Column:
+    """A sentence with its named places filled; null where a value is null."""
+    parts = [
+        piece
+        for text, name, _, _ in Formatter().parse(template)
+        for piece in ([F.lit(text)] if text else []) + ([values[name].cast("string")] if name else [])
+    ]
+    return F.concat(*parts)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline import rules
 from faultline.functions.numeric import rounded
 from faultline.functions.ordered import null_safe_join
-from faultline.functions.text import any_of
+from faultline.functions.text import any_of, filled
 
 SNAPSHOT = ["snapshot_ts"]
 
@@ -264,20 +264,14 @@ def runtime_issues(seconds: int = rules.SLOW_QUERY_SECONDS) -> Column:
     """The issues found, as texts in a fixed order."""
     part = _runtime_parts()
 
-    def note(condition: Column, number: Column, text: str) -> Column:
-        return F.when(condition, F.concat(number.cast("string"), F.lit(text)))
+    def note(condition: Column, sentence: str, number: Column) -> Column:
+        return F.when(condition, filled(sentence, n=number, seconds=F.lit(seconds)))
 
     notes = [
-        note(part["slow"] > 0, part["slow"], f" slow/active query(s) >= {seconds}s"),
-        note(part["locks"] > 0, part["locks"], " waiting lock(s) — possible contention"),
-        note(part["deadlocks"] > 0, part["deadlocks"], " deadlock(s) recorded since stats reset"),
-        note(part["temp"] > 0, part["temp"], " temp file(s) used — possible work_mem pressure"),
-        F.when(
-            part["low_hit"],
-            F.concat(
-                F.lit("Buffer hit ratio low at "), part["hit"].cast("string"),
-                F.lit("% — possible insufficient shared_buffers"),
-            ),
-        ),
+        note(part["slow"] > 0, rules.ISSUE_SLOW, part["slow"]),
+        note(part["locks"] > 0, rules.ISSUE_LOCKS, part["locks"]),
+        note(part["deadlocks"] > 0, rules.ISSUE_DEADLOCKS, part["deadlocks"]),
+        note(part["temp"] > 0, rules.ISSUE_TEMP_FILES, part["temp"]),
+        note(part["low_hit"], rules.ISSUE_BUFFER_HIT, part["hit"]),
     ]
     return F.filter(F.array(*notes), lambda x: x.isNotNull())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from faultline import rules
 from faultline.functions.ordered import first_rows, null_safe_join
-from faultline.functions.text import any_of, strip
+from faultline.functions.text import any_of, filled, strip
 from faultline.sources.task_logs import json_log_lines
 
 NO_LOG_MESSAGE = "No log content available"
@@ -215,11 +215,7 @@ def latest_log(
 
 
 def sla_message(dag_id: Column, task_id: Column) -> Column:
-    return F.concat(
-        F.lit("Task '"), task_id, F.lit("' in DAG '"), dag_id,
-        F.lit("' exceeded its configured SLA threshold. "
-              "Task did not complete within the allowed time window."),
-    )
+    return filled(rules.SLA_MESSAGE, task=task_id, dag=dag_id)
 
 
 def sla_evidence(triggers: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import rules
 from faultline.functions.text import (
-    as_text, contains_any, first_group, lines, safe_text,
+    as_text, contains_any, filled, first_group, lines, safe_text,
 )
 
 
@@ -144,20 +144,11 @@ def check_outcome(
         .otherwise("UNAVAILABLE")
     )
     sentence = (
-        F.when(
-            late & (rows != 0),
-            F.concat(
-                F.lit("SLA Miss — "), F.format_number(rows, 0),
-                F.lit(" rows being processed. No product lookup required."),
-            ),
-        )
-        .when(late, "SLA Miss — no product lookup required.")
-        .when(found, F.concat(F.lit("Product ID "), shown_id, F.lit(" exists — "), product_name))
-        .when(
-            searched,
-            F.concat(F.lit("Product ID "), shown_id, F.lit(" not found in product_master")),
-        )
-        .otherwise("DB check unavailable")
+        F.when(late & (rows != 0), filled(rules.CHECK_SLA_ROWS, rows=F.format_number(rows, 0)))
+        .when(late, rules.CHECK_SLA)
+        .when(found, filled(rules.CHECK_FOUND, id=shown_id, name=product_name))
+        .when(searched, filled(rules.CHECK_NOT_FOUND, id=shown_id))
+        .otherwise(rules.CHECK_UNAVAILABLE)
     )
     return {"check_outcome": code, "postgresql_check": sentence}
 
@@ -165,83 +156,28 @@ def check_outcome(
 def closest_case(found: Column, top_id: Column) -> Column:
     return F.when(
         F.coalesce(found, F.lit(0)) > 0,
-        F.concat(
-            found.cast("string"), F.lit(" similar case(s) found — closest: "),
-            F.coalesce(top_id, F.lit("")),
-        ),
-    ).otherwise("No similar historical cases found")
-
-
-def _number(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0)).cast("string")
-
-
-def performance_summary() -> Column:
-    """Numbers of the current run, then the comparison lines of the report."""
-    perf = "perf."
-    known = F.coalesce(F.col(perf + "total_rows"), F.lit(0)) != 0
-
-    def whole(name: str) -> Column:
-        return F.format_number(F.coalesce(F.col(perf + name), F.lit(0)), 0)
-
-    current = F.when(
-        known,
-        F.concat_ws(
-            "\n",
-            F.concat(
-                F.lit("Progress: "), whole("rows_inserted"), F.lit(" / "), whole("total_rows"),
-                F.lit(" rows ("), _number(F.col("perf.pct_complete")), F.lit("% complete)"),
-            ),
-            F.concat(
-                F.lit("Elapsed: "), _number(F.col("perf.elapsed_seconds")), F.lit("s ("),
-                _number(F.col("perf.elapsed_min")), F.lit(" min) | Throughput: "),
-                _number(F.col("perf.rows_per_second")), F.lit(" rows/sec"),
-            ),
-            F.concat(
-                F.lit("ETA: "), _number(F.col("perf.eta_seconds")), F.lit("s ("),
-                _number(F.col("perf.eta_min")), F.lit(" min remaining)"),
-            ),
-            F.concat(
-                F.lit("SLA: threshold="), _number(F.col("perf.sla_threshold")),
-                F.lit("s | breached at="), _number(F.col("perf.sla_breached_at")),
-                F.lit("s | over by="), _number(F.col("perf.sla_breach_by")), F.lit("s"),
-            ),
-            F.concat(
-                F.lit("Method: "), F.coalesce(F.col("perf.insert_method"), F.lit("Unknown")),
-                F.lit(" | Chunk size: "), _number(F.col("perf.chunk_size")),
-            ),
-        ),
-    )
-    insights = F.col("performance_insights")
-    section = section_lines(insights)
-    history = F.when(
-        F.size(section) > 0,
-        F.concat(F.lit("Historical Comparison:\n"), F.array_join(section, "\n")),
-    ).otherwise(F.nullif(F.array_join(word_lines(insights, rules.COMPARISON_WORDS), "\n"), F.lit("")))
-    fix = F.concat(F.lit("Best Fix: "), best_fix_line(insights))
-    text = F.concat_ws("\n", current, history, fix)
-    return F.when(text == "", "No performance data available").otherwise(text)
-
-
-def health_summary() -> Column:
-    usable = F.col("host.status").eqNullSafe("SUCCESS")
-    runtime = F.coalesce("runtime.health", "runtime.status", F.lit("Unknown"))
-    return F.when(
-        usable,
-        F.concat_ws(
-            " | ",
-            F.concat(F.lit("CPU: "), F.col("host.cpu_health")),
-            F.concat(F.lit("Memory: "), F.col("host.memory_health")),
-            F.concat(F.lit("Postgres Activity: "), F.col("host.postgres_health")),
-            F.concat(F.lit("Overall: "), F.col("host.overall_health")),
-            F.concat(F.lit("PostgreSQL Runtime: "), runtime),
-        ),
-    ).otherwise("System health check unavailable")
+        filled(rules.CLOSEST_CASE, found=found, id=F.coalesce(top_id, F.lit(""))),
+    ).otherwise(rules.NO_CLOSEST_CASE)
+
+
+def performance_lines(insights: Column) -> Column:
+    """What the report says on history and the best fix, as one text."""
+    fix = F.array_compact(F.array(best_fix_line(insights)))
+    return F.array_join(F.array_distinct(F.concat(comparison_lines(insights), fix)), "\n")
+
+
+#: Numbers of the run and grades that go along with the text fields.
+RUN_NUMBERS = [
+    "rows_inserted", "total_rows", "pct_complete", "elapsed_seconds", "rows_per_second",
+    "eta_seconds", "sla_threshold", "sla_breach_by",
+]
+GRADES = ["cpu_health", "memory_health", "postgres_health"]
 
 
 def incident_summary(incidents: DataFrame) -> DataFrame:
-    """The 26 text fields of each incident.
+    """The 26 text fields of each incident, the numbers of its run and the health grades.
 
+    Numbers and grades are columns of their own, null where there is no evidence.
     ``incidents`` has the structs of :func:`faultline.operators.rca.assemble`, the
     report sections, ``incident_id`` and ``rca_status``.
     """
@@ -275,8 +211,9 @@ def incident_summary(incidents: DataFrame) -> DataFrame:
             F.col("history.incidents_found"), F.col("history.top_match_id")
         ),
         "sla_analysis": sla_summary(F.col("sla_analysis")),
-        "performance_insights": performance_summary(),
-        "system_health": health_summary(),
+        "performance_insights": safe_text(performance_lines(F.col("performance_insights"))),
+        "system_health": F.when(F.col("host.status").eqNullSafe("SUCCESS"), F.col("host.overall_health"))
+        .otherwise("UNKNOWN"),
         "product_load": effect["product_load"],
         "catalog_update": effect["catalog_update"],
         "downstream_feeds": effect["downstream_feeds"],
@@ -288,4 +225,13 @@ def incident_summary(incidents: DataFrame) -> DataFrame:
         "prevention_medium_1": safe_text(prevention[2]),
         "final_verdict": safe_text(F.col("summary"), max_chars=rules.VERDICT_CHARS),
     }
-    return incidents.select(*[value.alias(name) for name, value in fields.items()])
+    def given(kind: str, names: list[str]) -> list[Column]:
+        have = incidents.schema[kind].dataType.names
+        return [F.col(f"{kind}.{n}") for n in names if n in have]
+
+    return incidents.select(
+        *[value.alias(name) for name, value in fields.items()],
+        *given("perf", RUN_NUMBERS),
+        *given("host", GRADES),
+        F.col("runtime.health").alias("runtime_health"),
+    )

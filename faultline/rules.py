@@ -261,4 +261,22 @@ SECTION_LINES = 4
 LINE_CHARS = 200
 SUMMARY_CHARS = 400
 VERDICT_CHARS = 900
+
+# Sentences that are results; a name in braces stands for a value.
+SLA_MESSAGE = (
+    "Task '{task}' in DAG '{dag}' exceeded its configured SLA threshold. "
+    "Task did not complete within the allowed time window."
+)
+CHECK_SLA_ROWS = "SLA Miss — {rows} rows being processed. No product lookup required."
+CHECK_SLA = "SLA Miss — no product lookup required."
+CHECK_FOUND = "Product ID {id} exists — {name}"
+CHECK_NOT_FOUND = "Product ID {id} not found in product_master"
+CHECK_UNAVAILABLE = "DB check unavailable"
+CLOSEST_CASE = "{found} similar case(s) found — closest: {id}"
+NO_CLOSEST_CASE = "No similar historical cases found"
+ISSUE_SLOW = "{n} slow/active query(s) >= {seconds}s"
+ISSUE_LOCKS = "{n} waiting lock(s) — possible contention"
+ISSUE_DEADLOCKS = "{n} deadlock(s) recorded since stats reset"
+ISSUE_TEMP_FILES = "{n} temp file(s) used — possible work_mem pressure"
+ISSUE_BUFFER_HIT = "Buffer hit ratio low at {n}% — possible insufficient shared_buffers"
 # ------------------------------------------------------------ end fixed values
