@@ -45,11 +45,13 @@ def unique_names(names: list[str]) -> list[str]:
 def normalize_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """Snake-case, unique column names, and the original-to-new mapping.
 
-    The input position column keeps its name and is no source column.
+    The input position column keeps its name and is no source column.  Every source column
+    is in the mapping: of equal headers, the later ones go under their header with the
+    first free suffix, as their names do.
     """
     originals = [c for c in df.columns if c != POSITION]
     fresh = unique_names([snake_name(c) for c in originals])
-    renamed = dict(zip(originals, fresh))
+    renamed = dict(zip(unique_names(originals), fresh))
     stream = iter(fresh)
     full = [c if c == POSITION else next(stream) for c in df.columns]
     return df.toDF(*full), renamed

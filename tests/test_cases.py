@@ -45,6 +45,14 @@ def test_read_incidents(spark, csv_path):
     assert rows[0].note == 'line one\nline "two"' and rows[0].a_b == "NA" and rows[0].a_b_2 == "null"
     assert rows[2].note_2 == "" and rows[0].ticket_id == "T1"
     assert mapping["Root  Cause"] == "root_cause"
+    assert sorted(mapping.values()) == sorted(c.source_columns(named))
+
+
+def test_mapping_keeps_equal_headers(frame):
+    named, mapping = c.normalize_columns(frame([("1", "2", "3", "4")], "a string, b string, c string, d string").toDF(
+        "Note", "Note", "Note_2", "x"))
+    assert named.columns == ["note", "note_3", "note_2", "x"]
+    assert mapping == {"Note": "note", "Note_3": "note_3", "Note_2": "note_2", "x": "x"}
 
 
 def test_ingest_balances_and_merges(spark, csv_path, tmp_path):
