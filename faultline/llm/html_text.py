@@ -5,6 +5,11 @@ characters (three at most) to the parent; half to the grandparent; a third, a qu
 further up.  A container's points are discounted by its share of link text.  The best container
 is kept with those siblings that score nearly as well or are plain paragraphs.  Elements that by
 tag, role or class name are menus, notices, adverts, comments and the like are left out first.
+
+A name counts by whole tokens of class, id and role: all of its words must say so ("site-footer").
+A token with other words beside ("related-work") only makes links suspect, and one that tells of
+the page's layout ("has-sidebar") says nothing.  No name by itself removes a heading, a paragraph,
+or an element that holds an article, the main element or most of the text: it lowers their points.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ INLINE = set(
     "samp small span strike strong sub sup time tt u var wbr img".split()
 )
 SCORED = set("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
+STORY = {"article", "main"}
+PROSE = set("p pre blockquote".split())
+TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6".split())
+MAYBE, SURE = 1, 2
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
     "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -35,14 +44,24 @@ ENDS_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
-#: Words in class, id and role that mark what is not main text, and words that speak against it.
+#: Words in class, id and role that mark what is not main text, and words that speak for it.
 NAMED_OUT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus"
-    r"|footer|gdpr|masthead|menu\w*|modal|nav\w*|newsletter|notice|notification|pagination|popup|promo\w*|related"
-    r"|remarks?|replies|respond|share|sharing|sidebar|side-?bar|signup|skip|social|sponsor\w*|subscribe|toolbar"
-    r"|widget|alert|search|login)(?:$|[\s_-])",
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus"
+    r"|footer|gdpr|masthead|menu\w*|modal|nav|nav(?:s|bar|igation)\w*|newsletter|notice|notification|pagination|popup|promo\w*"
+    r"|related|remarks?|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar"
+    r"|widget|alert|search|login",
+    re.I,
+)
+#: Words that leave the meaning of such a name as it is, and words that turn it into a state of the page.
+BESIDE = re.compile(
+    r"\d*|\w|\d+x\d+|area|articles?|aside|bar|block|body|bottom|box|btn|buttons?|center|col|column|container|content"
+    r"|desktop|floating|form|fixed|global|google|group|header|icons?|inner|items?|language|left|level|links?|list"
+    r"|local|main|mega|mobile|more|outer|overlay|page|panel|posts?|primary|right|secondary|section|side|site"
+    r"|slot|sticky|stories|tertiary|thread|toggle|top|unit|wrap|wrapper",
     re.I,
 )
+STATE = re.compile(r"has|have|is|no|non|not|with|without|hide|hides|hidden|show|shows|open|closed|enabled|disabled|off", re.I)
+REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|remarks?|replies|respond)(?:$|[\s_-])", re.I)
 NAMED_IN = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(
@@ -55,28 +74,30 @@ WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "parent", "out", "points", "length", "linked", "commas")
+    __slots__ = ("tag", "names", "children", "parent", "out", "points", "length", "linked", "commas", "named", "weight", "prose")
 
-    def __init__(self, tag: str, parent: Node | None, names: str = "", out: bool = False):
-        self.tag, self.parent, self.names, self.out = tag, parent, names, out
+    def __init__(self, tag: str, parent: Node | None, names: str = "", out: bool = False, named: int = 0):
+        self.tag, self.parent, self.names, self.out, self.named = tag, parent, names, out, named
         self.children: list = []
-        self.points = 0.0
+        self.points, self.weight = 0.0, 1.0
+        self.prose = 0
         self.length = self.linked = self.commas = 0
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """Class, id and role as one string; whether the element is hidden."""
-    names, hidden = [], False
+def _names(attributes: str) -> tuple[str, str, bool]:
+    """Class, id and role as one string; the id; whether the element is hidden."""
+    names, own, hidden = [], "", False
     for key, value in ATTRIBUTE.findall(attributes):
         value = value.strip("\"'")
         key = key.lower()
         if key in ("class", "id", "role"):
             names.append(value)
+            own = value if key == "id" else own
         elif key == "hidden" or (key == "aria-hidden" and value == "true"):
             hidden = True
         elif key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
-    return " ".join(names), hidden
+    return " ".join(names), own, hidden
 
 
 def parse(page: str) -> Node:
@@ -122,9 +143,11 @@ def parse(page: str) -> Node:
                     if tag != "tr":
                         break
                 node = node.parent
-        names, hidden = _names(found[3]) if found[3] else ("", False)
-        out = hidden or tag in LEFT_OUT or bool(names and tag not in ("html", "body") and _left_out(tag, names))
-        node = Node(tag, here, names, out)
+        names, own, hidden = _names(found[3]) if found[3] else ("", "", False)
+        named = _named(names) if names and tag not in ("html", "body") else 0
+        if named == SURE and tag == "section" and names == own and not REMARKS.search(own) and _within(here, STORY):
+            named = MAYBE  # ids of sections are targets of links to their headings
+        node = Node(tag, here, names, hidden or tag in LEFT_OUT, named)
         here.children.append(node)
         if tag in RAW and not found[3].rstrip().endswith("/"):
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
@@ -134,10 +157,56 @@ def parse(page: str) -> Node:
     return root
 
 
-def _left_out(tag: str, names: str) -> bool:
-    if tag in ("article", "main"):
-        return False
-    return bool(NAMED_OUT.search(names)) and not re.search(r"(?:^|\s)(?:article|main|content)(?:$|\s)", names, re.I)
+def _named(names: str) -> int:
+    """Whether class, id and role mark an element as no main text: not, perhaps (``MAYBE``), or ``SURE``."""
+    most = 0
+    for token in names.replace("side-bar", "sidebar").split():
+        if token.lower() in ("article", "main", "content"):
+            return 0
+        words = re.split(r"[_-]+", token)
+        if any(map(NAMED_OUT.fullmatch, words)) and not any(map(STATE.fullmatch, words)):
+            most = max(most, SURE if all(NAMED_OUT.fullmatch(w) or BESIDE.fullmatch(w) for w in words) else MAYBE)
+    return most
+
+
+def _within(node: Node | None, tags: set[str]) -> bool:
+    while node is not None and node.tag not in tags:
+        node = node.parent
+    return node is not None
+
+
+def _leave_out(root: Node) -> None:
+    """Leaves out what names mark, and lowers the weight of what they may not remove."""
+    order = _walk(root)
+    if not any(node.named for node in order):
+        return
+    _measure(order)
+    holds: set[Node] = set()
+    for node in reversed(order):
+        if node.tag in PROSE:
+            node.prose = node.length - node.linked
+        if node.parent is not None:
+            node.parent.prose += node.prose
+            if node in holds or (node.tag in STORY and node.named < SURE):
+                holds.add(node.parent)
+    whole = root.prose
+    for node in order:
+        above = node.parent
+        if above is not None:
+            node.out, node.weight = node.out or above.out, above.weight
+        if node.tag in STORY and not node.named:
+            node.weight = 1.0
+        if not node.named or node.out:
+            continue
+        # most of the text of paragraphs, or of all text outside links if there are none
+        most = 2 * node.prose > whole if whole else 2 * (node.length - node.linked) > root.length - root.linked
+        keeps = node.tag in STORY or node.tag in TEXT_TAGS or node in holds or most
+        if not keeps and (node.named == SURE or _density(node) >= 0.5):
+            node.out = True
+        else:
+            node.weight *= 0.1 if node.named == SURE and REMARKS.search(node.names) else 0.5
+    for node in order:
+        node.length = node.linked = node.commas = 0
 
 
 def _walk(root: Node) -> list[Node]:
@@ -177,7 +246,7 @@ def _score(order: list[Node]) -> None:
             continue
         if node.length < 15:
             continue
-        points = (1 + node.commas + min(node.length // 100, 3)) * (1 - _density(node))
+        points = (1 + node.commas + min(node.length // 100, 3)) * (1 - _density(node)) * node.weight
         step, above = 0, node.parent if node.tag in SCORED else node
         while above is not None and step < 6:
             above.points += points / (1 if step == 0 else step + 1)
@@ -223,7 +292,9 @@ def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by a space; empty if there is none."""
     if not page:
         return ""
-    order = _walk(parse(page))
+    root = parse(page)
+    _leave_out(root)
+    order = _walk(root)
     _measure(order)
     _score(order)
     inner = [n for n in order if n.tag not in ("#root", "html", "head") + tuple(SCORED | INLINE)]

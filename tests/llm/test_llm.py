@@ -296,6 +296,35 @@ def test_main_text():
     )
 
 
+STORY = "".join(f"<p>Paragraph {i} of the story, long enough, with commas, to count.</p>" for i in range(4))
+STORY_TEXT = " ".join(f"Paragraph {i} of the story, long enough, with commas, to count." for i in range(4))
+
+
+@pytest.mark.parametrize("names", ['class="page with-sidebar"', 'class="layout no-sidebar"', 'class="has-sidebar"',
+                                   'class="main-content with-sidebar"', 'class="post comments-open"', 'id="search"'])
+@pytest.mark.parametrize("inside", ["<article>{}</article>", "<div>{}</div>"])
+def test_names_of_wrappers_keep_the_page(names, inside):
+    side = '<div class="site-sidebar"><p>Other pages, and more, of them.</p></div><div class="ad-box">Buy this, now, please</div>'
+    page = f"<body><div {names}>{side}{inside.format(STORY)}</div></body>"
+    assert html_text.main_text(page) == STORY_TEXT
+
+
+def test_names_inside_a_story_keep_its_parts():
+    page = (
+        f'<body><main><article>{STORY}<section id="related-work"><h2 id="search">Search</h2><p class="notice">Short.</p></section>'
+        '<section id="social-impact"><p>It had one, and it was large.</p></section><div class="share-buttons">Send</div></article>'
+        '<section id="comments"><p>I, a reader, disagree, with all, of it.</p></section></main></body>'
+    )
+    assert html_text.main_text(page) == STORY_TEXT + " Search Short. It had one, and it was large."
+
+
+def test_many_comments_do_not_outscore_the_story():
+    notes = "".join(f"<li><article class='comment-body'><p>Reader {i}, in short, disagrees, again.</p></article>" for i in range(40))
+    for story in (f"<article>{STORY}</article>", f"<div>{STORY}</div>"):
+        page = f"<body><div>{story}<div id='comments'><ol class='comment-list'>{notes}</ol></div></div></body>"
+        assert html_text.main_text(page) == STORY_TEXT
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "</div></p>", "<!--", "<script>x", "<div " + "<b>" * 3000])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
