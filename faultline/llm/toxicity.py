@@ -9,6 +9,10 @@ document's score is the largest window score, calibrated on the training documen
 Labels hold for documents, so training alternates between choosing windows (the highest-scoring
 one of each document, with more from untoxic ones) and fitting them.  The first choice goes by the log odds
 of character runs between toxic and other documents.  All of it is NumPy.
+
+It learns from a bounded number of labelled documents of any length.  Spark tasks read every window
+of them, for each choice and for calibration; only chosen windows come to the driver: one of a
+toxic document, of another the three that score highest and up to ``extra`` drawn by a hash.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm import gru
-from faultline.llm.common import ship, slices
+from faultline.llm.common import cut, ship, slices
 
 WORD = re.compile(r"\w+")
 WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 13, 1 << 14, (3, 4, 5)
+#: Partitions of the documents to learn from.
+PARTS = 24
 
 
 def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,41 +213,57 @@ class ToxicityModel:
         # no words: nothing toxic was read
         return np.where(np.isnan(best), 0.0, 1 / (1 + np.exp(-np.clip(np.nan_to_num(value), -60, 60))))
 
-    def fit(self, texts: list[str], labels: np.ndarray, odds: float = 0.0, rounds: int = 3, epochs: int = 3, rate: float = 0.01) -> None:
-        """``odds``: log odds of a toxic label, to calibrate for if the classes were sampled."""
-        if not len(labels) or labels.min() == labels.max():
-            self.constant = float((labels.sum() + 1) / (len(labels) + 2))
+    def choose(self, keys: np.ndarray, texts: list[str], labels: np.ndarray, odds: np.ndarray | None, turn: int, extra: int):
+        """Text, first word and words of the windows to learn from, out of all windows of the texts."""
+        if odds is None:
+            _, (text, begin, length, logits, found) = self.largest_logits(texts)
+        else:
+            found = [WORD.findall(t.lower()) for t in texts]
+            text, begin, length = self._windows(np.array([len(f) for f in found], np.int64))
+            logits = _odds_of_windows(found, odds, text, begin, length)
+        order = np.lexsort((begin, -logits, text))
+        rank = np.arange(len(text)) - np.searchsorted(text[order], text[order])
+        toxic = labels[text[order]] > 0.5
+        top = order[(rank == 0) | (~toxic & (rank < 3))]
+        chance = _chances(keys[text], begin, turn)
+        drawn = np.flatnonzero((chance < 0.1) & (labels[text] <= 0.5))
+        drawn = drawn[np.lexsort((chance[drawn], text[drawn]))]
+        drawn = drawn[np.arange(len(drawn)) - np.searchsorted(text[drawn], text[drawn]) < extra]
+        chosen = np.unique(np.concatenate([top, drawn]))
+        words = [found[text[k]][begin[k] : begin[k] + length[k]] for k in chosen.tolist()]
+        return text[chosen], begin[chosen], words
+
+    def fit(self, sample: DataFrame, odds: float = 0.0, rounds: int = 3, epochs: int = 3, rate: float = 0.01, extra: int = 16) -> None:
+        """``sample`` has ``key``, ``text`` and ``y``; its texts stay in the tasks.
+
+        ``odds``: log odds of a toxic label, to calibrate for if the classes were sampled.
+        """
+        runs, worded, labels = run_counts(sample)
+        if not worded.all():
+            self.constant = float((labels[1] + 1) / (labels.sum() + 2))
             return
         rng = np.random.default_rng(17)
         adam = gru.Adam(self.weights, rate)
+        first = _run_odds(runs, labels)
         for turn in range(rounds):
             self.forget()
-            _, (text, begin, length, logits, found) = self.largest_logits(texts)
-            if turn == 0:
-                logits = _odds_of_windows(found, labels, text, begin, length)
-            order = np.lexsort((-logits, text))
-            rank = np.arange(len(text)) - np.searchsorted(text[order], text[order])
-            chance = rng.random(len(text)) < 0.1
-            toxic = labels[text[order]] > 0.5
-            chosen = order[(rank == 0) | (~toxic & ((rank < 3) | chance))]
-            self._fit_windows(found, text[chosen], begin[chosen], length[chosen], labels, adam, epochs, rng)
+            windows, y = chosen_windows(sample, self, None if turn else first, turn, extra)
+            self._fit_windows(windows, y, adam, epochs, rng)
         self.forget()
-        best, _ = self.largest_logits(texts)
-        seen = ~np.isnan(best)
-        self._calibrate(best[seen], labels[seen], odds)
+        best, y = document_logits(sample, self)
+        self._calibrate(best, y, odds)
         self.forget()
 
-    def _fit_windows(self, found, text, begin, length, labels, adam, epochs, rng, batch: int = 128) -> None:
-        y = labels[text].astype(np.float32)
+    def _fit_windows(self, windows, y, adam, epochs, rng, batch: int = 128) -> None:
+        length = np.array([len(w) for w in windows], np.int64)
         for _ in range(epochs):
-            order = rng.permutation(len(text))
+            order = rng.permutation(len(windows))
             for i in range(0, len(order), batch):
                 some = order[i : i + batch]
                 words: dict[str, int] = {}
                 grid = np.zeros((len(some), self.width), np.int64)
                 for j, k in enumerate(some.tolist()):
-                    window = found[text[k]][begin[k] : begin[k] + length[k]]
-                    grid[j, : len(window)] = [words.setdefault(x, len(words) + 1) for x in window]
+                    grid[j, : length[k]] = [words.setdefault(x, len(words) + 1) for x in windows[k]]
                 ids = self._ids(list(words))
                 adam.update(self._gradients(ids, grid, length[some], y[some]))
 
@@ -269,22 +291,34 @@ def _grid(rows: np.ndarray, first: np.ndarray, length: np.ndarray, width: int):
     return grid.reshape(place.shape), used
 
 
-def _odds_of_windows(found, labels, text, begin, length) -> np.ndarray:
-    """Per window, the largest log odds of a (hashed) character run, counted by documents."""
+def _chances(keys: np.ndarray, begin: np.ndarray, turn: int) -> np.ndarray:
+    """A number below 1 for each window, from its document, place and the turn."""
+    x = keys.astype(np.uint64) ^ (begin.astype(np.uint64) + np.uint64(turn << 40))
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(factor)
+    return (x >> np.uint64(11)) / float(1 << 53)
+
+
+def _runs_of_words(found) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the distinct words, and the rows of their character runs with start and number a word."""
     words = list(dict.fromkeys(w for f in found for w in f))
-    place = {w: i for i, w in enumerate(words)}
-    rows, of = gram_rows(words)
+    rows, of = gram_rows(words) if words else (np.zeros(0, np.int64),) * 2
     many = np.bincount(of, minlength=len(words))
-    starts = np.cumsum(many) - many
-    toxic, other = np.zeros(GRAM_ROWS), np.zeros(GRAM_ROWS)
-    for f, y in zip(found, labels):
-        seen = [rows[starts[i] : starts[i] + many[i]] for i in {place[w] for w in f}]
-        if seen:
-            (toxic if y > 0.5 else other)[np.unique(np.concatenate(seen))] += 1
-    n1, n0 = max(1, int((labels > 0.5).sum())), max(1, int((labels <= 0.5).sum()))
+    return {w: i for i, w in enumerate(words)}, rows, np.cumsum(many) - many, many
+
+
+def _run_odds(runs: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Log odds of each (hashed) character run, counted by documents."""
+    (other, toxic), (n0, n1) = runs, labels
     odds = np.log((toxic + 0.1) / (n1 + 0.2)) - np.log((other + 0.1) / (n0 + 0.2)) + 0.3 * np.log1p(toxic)
     odds[toxic < 2] = -9.0
-    of_word = np.maximum.reduceat(odds[rows], starts) if len(words) else np.zeros(0)
+    return odds
+
+
+def _odds_of_windows(found, odds, text, begin, length) -> np.ndarray:
+    """Per window, the largest log odds of a character run."""
+    place, rows, starts, _ = _runs_of_words(found)
+    of_word = np.maximum.reduceat(odds[rows], starts) if place else np.zeros(0)
     flat = np.fromiter((place[w] for f in found for w in f), np.int64)
     counts = np.array([len(f) for f in found], np.int64)
     first = (np.cumsum(counts) - counts)[text] + begin
@@ -292,43 +326,105 @@ def _odds_of_windows(found, labels, text, begin, length) -> np.ndarray:
     return np.array([values[i : i + n].max() for i, n in zip(first.tolist(), length.tolist())], np.float32)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int, max_chars: int) -> list:
-    """``text`` and ``y`` of at most ``per_class`` labelled documents of each class: the first by a
-    hash of the id among those of up to ``max_chars`` characters."""
+def _texts(batches: Iterator[pa.RecordBatch]):
+    """Keys, texts and labels of the rows, in slices of bounded size."""
+    for batch in batches:
+        for first, last in slices(batch.column("text"), 2 << 20):
+            part = batch.slice(first, last - first)
+            keys, labels = (part.column(c).to_numpy() for c in ("key", "y"))
+            yield keys, [t or "" for t in part.column("text").to_pylist()], labels
+
+
+def run_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By class: documents that hold each character run, those that hold words, and all documents."""
+
+    def run(batches):
+        counts = np.zeros((2, GRAM_ROWS + 2), np.int64)
+        for _, texts, labels in _texts(batches):
+            found = [WORD.findall(t.lower()) for t in texts]
+            place, rows, starts, many = _runs_of_words(found)
+            for f, y in zip(found, labels.tolist()):
+                counts[y, -1] += 1
+                if f:
+                    counts[y, -2] += 1
+                    seen = [rows[starts[i] : starts[i] + many[i]] for i in {place[w] for w in f}]
+                    counts[y, np.unique(np.concatenate(seen))] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["counts"])
+
+    counts = np.zeros((2, GRAM_ROWS + 2), np.int64)
+    for row in sample.mapInArrow(run, "counts binary").toLocalIterator():
+        counts += np.frombuffer(row["counts"], np.int64).reshape(counts.shape)
+    return counts[:, :GRAM_ROWS], counts[:, -2], counts[:, -1]
+
+
+def chosen_windows(sample: DataFrame, model: ToxicityModel, odds: np.ndarray | None, turn: int, extra: int):
+    """Words and labels of the windows to learn from, in an order that does not hang on the tasks."""
+    held = sample.sparkSession.sparkContext.broadcast((model, odds))
+
+    def run(batches):
+        for keys, texts, labels in _texts(batches):
+            model, odds = held.value
+            text, begin, words = model.choose(keys, texts, labels, odds, turn, extra)
+            arrays = [pa.array(keys[text]), pa.array(begin), pa.array(labels[text]), pa.array([" ".join(w) for w in words], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "begin", "y", "words"])
+
+    rows = sorted(map(tuple, sample.mapInArrow(run, "key bigint, begin bigint, y int, words string").collect()))
+    held.destroy()
+    return [r[3].split(" ") for r in rows], np.array([r[2] for r in rows], np.float32)
+
+
+def document_logits(sample: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+    """Largest logit over all windows, and label, of the documents that hold words."""
+    held = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for keys, texts, labels in _texts(batches):
+            best, _ = held.value.largest_logits(texts)
+            seen = ~np.isnan(best)
+            arrays = [pa.array(keys[seen]), pa.array(labels[seen]), pa.array(best[seen])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "y", "best"])
+
+    rows = sorted(map(tuple, sample.mapInArrow(run, "key bigint, y int, best double").collect()))
+    held.destroy()
+    return np.array([r[2] for r in rows]), np.array([r[1] for r in rows], np.float64)
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int) -> DataFrame:
+    """``key``, ``text`` and ``y`` of at most ``per_class`` labelled documents of each class, the first
+    by a hash of the id, as a checkpoint.  Of rows that share an id, one text is taken."""
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(
         F.col("doc_id").alias("__id"), (F.col("toxic") > 0).cast("int").alias("y")
     )
-    # the lengths are read before the choice, the texts after it
-    fits = docs.where(F.length("text") <= max_chars).select("doc_id")
+    # ids are read before the choice, texts after it
+    there = docs.where(F.col("text").isNotNull()).select("doc_id")
     order = Window.partitionBy("y").orderBy(F.xxhash64("__id"), "__id")
     chosen = (
-        known.join(fits, F.col("__id") == F.col("doc_id"), "left_semi")
+        known.distinct()
+        .join(there, F.col("__id") == F.col("doc_id"), "left_semi")
         .withColumn("n", F.row_number().over(order))
         .where(F.col("n") <= per_class)
         .drop("n")
     )
-    return (
-        docs.select("doc_id", "text")
-        .where(F.length("text") <= max_chars)
+    texts = (
+        docs.where(F.col("text").isNotNull())
+        .select("doc_id", "text")
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y", "text")
-        .limit(2 * per_class)
-        .select("text", "y")
-        .collect()
+        .groupBy("__id", "y")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("__least"))
+        .select(F.xxhash64("__id").alias("key"), "y", F.col("__least.text").alias("text"))
     )
+    return cut(texts.repartition(PARTS, "key").sortWithinPartitions("key", "y"))
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1200, max_chars: int = 4000, **options
-) -> ToxicityModel:
-    rows = training_texts(docs, labels, learn, per_class, max_chars)
+def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = 1200, **options) -> ToxicityModel:
+    ship(docs.sparkSession)
+    sample = training_texts(docs, labels, learn, per_class)
     model = ToxicityModel()
-    y = np.array([r["y"] for r in rows], np.float64)
     count = labels.where(learn & F.col("toxic").isNotNull()).agg(
         F.count(F.when(F.col("toxic") > 0, 1)).alias("ones"), F.count("*").alias("all")
     ).first()
     share = (count["ones"] + 1) / (count["all"] + 2)
-    model.fit([r["text"] for r in rows], y, float(np.log(share / (1 - share))), **options)
+    model.fit(sample, float(np.log(share / (1 - share))), **options)
     return model
 
 

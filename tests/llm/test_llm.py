@@ -278,6 +278,33 @@ def test_toxicity_of_hard_rows(spark, edge):
     assert toxicity.train(edge, labels, F.lit(True)).constant == 0.5
 
 
+def test_toxicity_is_learned_from_long_texts(spark):
+    rng = random.Random(11)
+    plain = ["".join(rng.choices("aeioubdlmnrst", k=6)) for _ in range(400)]
+    rows = []
+    for i in range(120):
+        found = rng.choices(plain, k=rng.randrange(900, 1100))
+        if i % 3 == 0:
+            found[rng.randrange(len(found))] = "zzyxqk wqxkz"
+        rows.append((i, " ".join(found), int(i % 3 == 0)))
+    assert min(len(text) for _, text, _ in rows) > 4000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.col("doc_id") < 90)
+    assert model.constant is None
+    found = toxicity.with_score(docs, model).collect()
+    assert all((r["score"] >= 0.5) == bool(r["toxic"]) for r in found)
+
+
+def test_toxicity_chooses_among_all_windows():
+    model, odds = toxicity.ToxicityModel(), np.full(toxicity.GRAM_ROWS, -9.0)
+    odds[toxicity.gram_rows(["zzyxqk"])[0]] = 5.0
+    text = " ".join(["word"] * 20_000 + ["zzyxqk"])
+    keys, labels = np.array([5, 6]), np.array([1, 0])
+    of, _, words = model.choose(keys, [text, text], labels, odds, 0, 16)
+    assert [("zzyxqk" in w) for w, t in zip(words, of) if t == 0] == [True]
+    assert sum(of == 1) in range(17, 20) and any("zzyxqk" in w for w, t in zip(words, of) if t == 1)
+
+
 # pages
 
 PAGE = """<html><head><title>T</title><script>x<p>1</p></script></head><body><header>Top</header>
