@@ -159,7 +159,8 @@ READABLE_SQL = f"""{LINES_SQL}, readable as (select user_id, event_id, day,
 
 
 def readable(spark: SparkSession, folder: str) -> DataFrame:
-    return task_logs.json_log_lines(event_lines(spark, folder))
+    lines = event_lines(spark, folder).withColumn("line_pos", F.col("event_id"))
+    return task_logs.json_log_lines(lines)
 
 
 @query("SRC-04", f"with {READABLE_SQL} select user_id, event_id, line from readable")
@@ -193,7 +194,7 @@ EVIDENCE_SQL = f"""{READABLE_SQL}, whole as (select user_id, string_agg(line, ch
 
 
 def user_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence.error_evidence(readable(spark, folder), ["user_id"], "day", "event_id")
+    return evidence.error_evidence(readable(spark, folder), ["user_id"], "day", "line_pos")
 
 
 @query("LOG-03 LOG-04 LOG-05 LOG-06 LOG-07 JON-09", f"with {EVIDENCE_SQL} select * from found")
@@ -206,7 +207,7 @@ def error_evidence(spark, folder):
     f"with {EVIDENCE_SQL} select user_id, traceback from found where traceback <> ''",
 )
 def tracebacks(spark, folder):
-    return evidence.log_traceback(readable(spark, folder), ["user_id"], "day", "event_id")
+    return evidence.log_traceback(readable(spark, folder), ["user_id"], "day", "line_pos")
 
 
 @query(

@@ -83,7 +83,7 @@ def error_evidence(
 ) -> DataFrame:
     """Per log: error type, message, product id, traceback and execution time.
 
-    ``lines`` are stripped and non-blank, as ``json_log_lines`` leaves them.
+    ``lines`` are non-blank and hold no line feed, as ``json_log_lines`` leaves them.
     """
     text, order = F.col(line), F.struct(block, pos)
     # columns of their own, so that they are computed once per line
@@ -102,7 +102,7 @@ def error_evidence(
         hit = low.contains(literal) & hit
         finds.append(_earliest(hit, order, found).alias(f"__message{i}"))
     words = any_of([low.contains(w) for w in rules.ERROR_LINE_WORDS])
-    finds.append(_earliest(words, order, text).alias("__word_line"))
+    finds.append(_earliest(words, order, strip(text)).alias("__word_line"))
     for i, pattern in enumerate(rules.PRODUCT_ID_PATTERNS):
         hit, found = _starting_in(joined, pattern, 1)
         hit = low.contains(rules.PRODUCT_ID_LITERAL) & hit

@@ -91,7 +91,18 @@ def json_log_line(line: Column) -> Column:
     return F.when(is_object, F.concat(F.lit("["), level, F.lit("] "), event)).otherwise(line)
 
 
-def json_log_lines(logs: DataFrame, line: str = "line") -> DataFrame:
-    """Stripped lines without the blank ones, JSON lines made readable."""
+def json_log_lines(logs: DataFrame, line: str = "line", pos: str = "line_pos") -> DataFrame:
+    """Stripped lines without the blank ones, JSON lines made readable.
+
+    An event may hold line feeds: each of its lines that is not blank is a row.  ``pos``, if
+    there, becomes a struct of itself and the place in the event, so it orders those too.
+    """
     stripped = logs.withColumn(line, strip(F.col(line))).where(F.col(line) != "")
-    return stripped.withColumn(line, json_log_line(F.col(line)))
+    readable = stripped.withColumn(line, json_log_line(F.col(line)))
+    parts = readable.select("*", F.posexplode(F.split(line, "\n")).alias("__part", "__text")).where(
+        strip(F.col("__text")) != ""
+    )
+    made = {line: F.col("__text")}
+    if pos in logs.columns:
+        made[pos] = F.struct(F.col(pos).alias("at"), F.col("__part").alias("part"))
+    return parts.withColumns(made).drop("__part", "__text")

@@ -1,3 +1,4 @@
+import json
 import os
 import re
 
@@ -81,6 +82,26 @@ def test_json_lines(frame):
         "[INFO] s"]
 
 
+EVENTS = [
+    ["Task failed\nCaused by: boom product_id=5"],
+    ["Task\n\n  failed here\n"],
+    ["start", "late\nException:", "\n boom\nat 2026-01-02T03:04:05", "Traceback\n  File x\nKeyError: 1", "end"],
+]
+
+
+def test_every_line_of_a_json_event_is_searched(frame):
+    rows = [(i, 0, n, json.dumps({"event": event})) for i, events in enumerate(EVENTS) for n, event in enumerate(events)]
+    lines = task_logs.json_log_lines(frame(rows, "log int, block int, line_pos int, line string"))
+    assert lines.columns == ["log", "block", "line_pos", "line"]
+    got = {r.log: r.asDict() for r in ev.error_evidence(lines, ["log"]).collect()}
+    assert len(got) == len(EVENTS)
+    for i, events in enumerate(EVENTS):
+        text = "\n".join(x for e in events for x in f"[INFO] {e}".split("\n") if x.strip())
+        want = plain_evidence(text)
+        assert {k: v for k, v in got[i].items() if k != "log"} == want | {"error_message": want["error_message"].strip()}
+    assert got[0]["error_message"] == "Caused by: boom product_id=5" and got[0]["product_id"] == "5"
+
+
 def plain_evidence(text):
     """The evidence of one whole text, found with Python patterns."""
     found = {"error_type": "Unknown", "error_message": "Unknown", "product_id": None, "traceback": "",
