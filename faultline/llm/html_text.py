@@ -3,7 +3,9 @@
 Paragraph-like blocks pass points to their ancestors: one, one per comma, and one per 100
 characters (three at most) to the parent; half to the grandparent; a third, a quarter and so on
 further up.  A container's points are discounted by its share of link text.  The best container
-is kept with those siblings that score nearly as well or are plain paragraphs.  Elements that by
+is widened to the article or main element around it.  Without one its siblings that hold text and
+few links are kept with it; beside one, those that score nearly as well or are paragraphs, titles
+or articles with few links.  Elements that by
 tag, role or class name are menus, notices, adverts, comments and the like are left out first.
 
 A name counts by whole tokens of class, id and role: all of its words must say so ("site-footer").
@@ -302,18 +304,58 @@ def main_text(page: str | None) -> str:
     if best is None or best.points <= 0:
         best = next((n for n in order if n.tag in ("article", "main")), None)
         best = best or next((n for n in order if n.tag == "body"), None) or order[0]
-    out: list[str] = []
-    siblings = best.parent.children if best.parent is not None else [best]
     least = max(2.0, best.points * 0.2)
-    for child in siblings:
-        if not isinstance(child, Node) or child.out:
+    best = _story(best)
+    out: list[str] = []
+    buffer: list[str] = []
+    loose: list[str | Node] = []
+    for child in best.parent.children if best.parent is not None else [best]:
+        if isinstance(child, str) or (child.tag in INLINE and child is not best):
+            loose.append(child)
             continue
-        plain = child.tag in ("p", "h1", "h2") and _density(child) < 0.25 and best.tag != "body"
-        if child is best or (child.tag not in ("head", "ul", "ol") and child.points >= least and _density(child) < 0.3) or plain:
-            _blocks(child, out, [])
+        _loose(loose, best, out)
+        if child is best or (not child.out and _belongs(child, best, least)):
+            _blocks(child, out, buffer)
+    _loose(loose, best, out)
     return " ".join(out)
 
 
+def _story(best: Node) -> Node:
+    """The nearest article, or else the nearest main element, that holds the container; or itself."""
+    found, node = None, best
+    while node is not None:
+        if node.tag == "article" and node.named < SURE:
+            return node
+        if node.tag == "main" and found is None:
+            found = node
+        node = node.parent
+    return found or best
+
+
+def _belongs(child: Node, best: Node, least: float) -> bool:
+    """Whether a sibling of the container is main text too."""
+    if child.tag in ("head", "body") or (child.named == SURE and REMARKS.search(child.names)):
+        return False
+    density = _density(child)
+    if child.tag not in ("ul", "ol") and child.points >= least and density < 0.3:
+        return True
+    if best.tag == "body" or not child.length or density >= 0.25 or (child.named == SURE and child.tag not in TEXT_TAGS):
+        return False
+    return best.tag not in STORY or child.tag in ("p", "h1", "h2", "article")
+
+
+def _loose(run: list, best: Node, out: list[str]) -> None:
+    """Bare text and inline elements beside the container, as a block of its own."""
+    nodes = [c for c in run if isinstance(c, Node) and not c.out]
+    texts = sum(len(c) - c.count(" ") for c in run if isinstance(c, str) and c.strip())
+    total = texts + sum(n.length for n in nodes)
+    if best.tag not in STORY and best.tag != "body" and total and sum(n.linked for n in nodes) < 0.25 * total:
+        block = Node("div", None)
+        block.children = list(run)
+        _blocks(block, out, [])
+    run.clear()
+
+
 def extract(pages: DataFrame, name: str = "text") -> DataFrame:
     """``pages`` (with ``html``) plus the main text; a column of that name is replaced.
 

@@ -345,6 +345,25 @@ def test_names_inside_a_story_keep_its_parts():
     assert html_text.main_text(page) == STORY_TEXT + " Search Short. It had one, and it was large."
 
 
+REST = (
+    "<ul><li>A point</li><li>Another</li></ul><h3>Further</h3><pre>x = 1</pre><blockquote>Said so.</blockquote>"
+    "<table><tr><td>Cell</td></tr></table><div><p>One short end.</p></div>"
+)
+REST_TEXT = " A point Another Further x = 1 Said so. Cell One short end."
+
+
+def test_parts_beside_the_best_container_stay():
+    links = "<ul><li><a href=/a>Other page</a><li><a href=/b>One more page</a></ul>"
+    inner = f"<div class=content>{STORY}</div>{REST}"
+    for around in ("<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<main><div>{}</div></main>"):
+        page = f"<body>{links}{around.format(inner)}{links}<div class='ad'>Buy, now</div></body>"
+        assert html_text.main_text(page) == STORY_TEXT + REST_TEXT
+    page = f"<body><div>{links}Before, <b>bold</b>{inner}{links}</div></body>"
+    assert html_text.main_text(page) == "Before, bold " + STORY_TEXT + REST_TEXT
+    page = f"<main><h1>Title</h1><article>{STORY}</article><article><p>Short.</p></article>{links}<div>About us</div></main>"
+    assert html_text.main_text(page) == "Title " + STORY_TEXT + " Short."
+
+
 def test_many_comments_do_not_outscore_the_story():
     notes = "".join(f"<li><article class='comment-body'><p>Reader {i}, in short, disagrees, again.</p></article>" for i in range(40))
     for story in (f"<article>{STORY}</article>", f"<div>{STORY}</div>"):
