@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import (
+    alignment,
     contamination,
     html_text,
     language,
+    language_model,
     lines,
     mixing,
+    prefix_trie,
     quality,
     sharding,
     simhash,
@@ -27,6 +30,8 @@ SQL: dict[str, str] = {}
 QUALITY_MODULUS, QUALITY_SAMPLE, QUALITY_CUT = 5, 4000, 0.3
 LANGUAGE_MODULUS, LANGUAGE_REST = 4, 2
 TOXICITY_MODULUS, TOXICITY_CUT = 5, 0.5
+MODEL_MODULUS, MODEL_ORDER, MODEL_STRENGTH, MODEL_ADD = 10, 2, 300.0, 0.1
+TRIE_FAMILY, TRIE_SPAN = 5, 9
 MAX_TOKENS = 4096
 SHARDS = 16
 
@@ -156,6 +161,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = remainder(F.col("doc_id"), MODEL_MODULUS) != 0
+    scored = language_model.with_scores(docs, learn, MODEL_ORDER, MODEL_STRENGTH, MODEL_ADD)
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id"), MODEL_MODULUS, 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        F.round("base_score", 6).alias("base_score"),
+        F.round("score", 6).alias("score"),
+    )
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = alignment.PairIndex(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+    return index.scored().select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    lists = prefix_trie.turn_lists(conversations, TRIE_FAMILY)
+    return prefix_trie.prefix_trie(prefix_trie.with_family_start(lists, TRIE_SPAN))
+
+
 SQL["op2_clean_lines"] = r"""
 with docs as (
   select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents
@@ -273,3 +310,91 @@ select o.doc_id, o.size, o.source_size::bigint as source_size, o.target,
   (o.size * (o.whole + case when o.extra > 0 and l.key is not null and o.key <= l.key then 1 else 0 end))::bigint as taken
 from ordered o join last l on o.source is not distinct from l.source
 """
+
+
+#: CRC-32 of a decimal number, and its table, made by the rule of the polynomial.
+CRC_TABLE = """
+  select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+    lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc_table
+"""
+CRC = """xor(4294967295, list_reduce(
+    list_concat([4294967295::bigint], list_transform(string_split({0}::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])))"""
+
+SQL["op11_language_model"] = rf"""
+with crc as ({CRC_TABLE}), docs as (
+  select row_number() over () as rid, doc_id, {CRC.format("doc_id")} % 10 = 0 as held_out,
+    list_filter(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[ 	-]+'), lambda w: w <> '') as words
+  from documents, crc
+), tokens as (  -- an empty word is the end, and what stands before the first word
+  select rid, doc_id, held_out, unnest(list_concat([''], words)) as before,
+    unnest(list_concat(words, [''])) as word
+  from docs
+), single as (
+  select word, count(*) as c from tokens where not held_out group by word
+), pairs as (
+  select before, word, count(*) as c from tokens where not held_out group by before, word
+), whole as (
+  select coalesce(sum(c), 0) as n, count(*) as v from single
+), weighed as (
+  select t.rid, t.doc_id, t.held_out, s.c as c, coalesce(b.c, 0) as c_before, coalesce(p.c, 0) as c_pair,
+    n as train_tokens, (coalesce(s.c, 0) + 0.1::double) / (n + 0.1::double * (v + 1)) as p1
+  from tokens t cross join whole left join single s on t.word = s.word
+    left join single b on t.before = b.word
+    left join pairs p on t.before = p.before and t.word = p.word
+)
+select doc_id, held_out, count(*)::bigint as n_tokens, count(c)::bigint as n_known,
+  max(train_tokens)::bigint as train_tokens, round(sum(log10(p1)), 6) as base_score,
+  round(sum(log10((c_pair + 300.0::double * p1) / (c_before + 300.0::double))), 6) as score
+from weighed group by rid, doc_id, held_out
+"""
+
+SQL["op13_prefix_trie"] = f"""
+with crc as ({CRC_TABLE}), turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first) as p
+  from conversations where conv_id is not null
+), convs as (
+  select conv_id, count(*) as n, {CRC.format("conv_id")} % 9 as h
+  from turns, crc group by conv_id, crc_table
+), placed as (
+  select c.conv_id, t.p, t.role, t.text
+  from convs c join turns t on t.conv_id = c.conv_id - c.conv_id % 5 and t.p <= c.h
+  union all
+  select c.conv_id, c.h + t.p, t.role, t.text
+  from convs c join turns t on t.conv_id = c.conv_id and t.p > c.h
+), lists as (
+  select conv_id, list(struct_pack(r := role, t := text) order by p) as path from placed group by conv_id
+), prefixes as (
+  select conv_id, len(path) as n, unnest(range(len(path) + 1)) as depth, path from lists
+  union all
+  select conv_id, 0, 0, [] from convs where conv_id not in (select conv_id from lists)
+), nodes as (
+  select depth, sha256(path[1:depth]::varchar) as node, sha256(path[1:depth - 1]::varchar) as over,
+    min(conv_id) as conv_id, count(*) as n_convs,
+    string_agg(case when n = depth then conv_id::varchar end, ',' order by conv_id) as ends,
+    max(case when depth = 0 then 0 else octet_length(encode(path[depth].t)) end) as size
+  from prefixes group by all
+), grown as (
+  select a.*, (select count(*) from nodes b where b.depth = a.depth + 1 and b.over = a.node) as n_children
+  from nodes a
+), chains as (
+  select p.depth as d, sha256(p.path[1:p.depth]::varchar) as node, q.depth as e,
+    sha256(q.path[1:q.depth]::varchar) as under
+  from prefixes p join prefixes q on p.conv_id = q.conv_id and p.depth <= q.depth
+  group by all
+)
+select a.conv_id, a.depth::bigint as depth, b.conv_id as parent_conv_id, a.n_convs::bigint as n_convs,
+  a.n_children::bigint as n_children, s.n_leaves, s.saved_tokens,
+  sha256(coalesce(a.ends, '')) as ends_sha256
+from grown a
+left join nodes b on a.depth > 0 and b.depth = a.depth - 1 and b.node = a.over
+join (
+  select c.d, c.node, sum(case when g.n_children = 0 then 1 else 0 end)::bigint as n_leaves,
+    sum((g.n_convs - 1) * g.size)::bigint as saved_tokens
+  from chains c join grown g on g.depth = c.e and g.node = c.under
+  group by c.d, c.node
+) s on s.d = a.depth and s.node = a.node
+"""
