@@ -31,8 +31,8 @@ from faultline.llm.common import buffers, fresh, set_aside, ship, slices
 BLOCK_ROWS = 1 << 16
 #: The last bytes of white space beyond ASCII (and of characters that some rules take for it).
 WIDE_GAPS = [
-    c.encode()
-    for c in "\x85\xa0 ᠎    　" + "".join(map(chr, range(0x2000, 0x200C)))
+    chr(c).encode()
+    for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 ]
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -89,7 +89,7 @@ class Linker:
         """Ids of a text that begins with a space or line end, which the library of B leaves out
         or puts a space before."""
         a = self.a.encode(text, add_special_tokens=False).ids
-        b = self.b.encode(text[1:] if text[0] == " " else text)
+        b = [self.mark] if text == " " else self.b.encode(text[1:] if text[0] == " " else text)
         if text[0] != " " and b[:1] == [self.mark]:
             b = b[1:]
         return np.array(a, np.int64), np.array(b, np.int64)
@@ -362,10 +362,11 @@ class PairIndex:
 
         folder = fresh(spark, "pair-index")
         plain.mapInArrow(run, schema).write.parquet(folder)
-        written = spark.read.schema(schema).parquet(folder)
         shown = [c for c in self.results if c not in ("n_best", "count_sum")]
-        self.documents = written.where("slot is not null").select("block", "slot", *carried, *shown)
-        self.postings = written.where("a is not null").select(
+        self.documents = spark.read.schema(schema).parquet(folder).where("slot is not null").select(
+            "block", "slot", *carried, *shown
+        )
+        self.postings = spark.read.schema(schema).parquet(folder).where("a is not null").select(
             "block", "rows", "a", "b", "planes", "n_docs", "links"
         )
 
@@ -389,7 +390,7 @@ class PairIndex:
             + [T.StructField(c, T.LongType()) for c in ("n_best", "count_sum")]
         )
 
-        def score(documents: pa.Table, found: pa.Table) -> pa.Table:
+        def score(documents, found):
             slot = documents.column("slot").to_numpy()
             sums = np.zeros((len(slot), 2), np.int64)
             if len(found) and len(slot):

@@ -175,7 +175,7 @@ def _ask(batches, order: int, shards: int, size: int) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
 
-def _answer(key, messages: pa.Table) -> pa.Table:
+def _answer(key, messages):
     """Adds up what the blocks sent to one shard."""
     k = key[0].as_py()
     counts = [_numbers(zlib.decompress(c)) for c in messages.column("counts").to_pylist()]
@@ -329,7 +329,7 @@ def with_scores(
     schema = T.StructType([*[f for f in plain.schema.fields if f.name != "text"], *SCORES])
     arrow = to_arrow_schema(schema)
 
-    def score(rows: pa.Table, sent: pa.Table) -> pa.Table:
+    def score(rows, sent):
         return _read(rows, sent, order, tokens, types, strength, add, arrow)
 
     scored = (

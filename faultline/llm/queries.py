@@ -326,7 +326,8 @@ with crc as ({CRC_TABLE}), docs as (
   select row_number() over () as rid, doc_id, {CRC.format("doc_id")} % 10 = 0 as held_out,
     list_filter(regexp_split_to_array(
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[ 	-]+'), lambda w: w <> '') as words
+      '[ 	-
+]+'), lambda w: w <> '') as words
   from documents, crc
 ), tokens as (  -- an empty word is the end, and what stands before the first word
   select rid, doc_id, held_out, unnest(list_concat([''], words)) as before,
@@ -372,7 +373,7 @@ with crc as ({CRC_TABLE}), turns as (
   union all
   select conv_id, 0, 0, [] from convs where conv_id not in (select conv_id from lists)
 ), nodes as (
-  select depth, sha256(path[1:depth]::varchar) as node, sha256(path[1:depth - 1]::varchar) as over,
+  select depth, sha256(path[1:depth]::varchar) as node, case when depth > 0 then sha256(path[1:depth - 1]::varchar) end as over,
     min(conv_id) as conv_id, count(*) as n_convs,
     string_agg(case when n = depth then conv_id::varchar end, ',' order by conv_id) as ends,
     max(case when depth = 0 then 0 else octet_length(encode(path[depth].t)) end) as size
