@@ -30,10 +30,10 @@ from faultline.llm.common import buffers, fresh, set_aside, ship, slices
 #: Documents of a block: a number in it takes 16 bits.
 BLOCK_ROWS = 1 << 16
 #: The last bytes of white space beyond ASCII (and of characters that some rules take for it).
-WIDE_GAPS = [
+WIDE_GAPS = tuple(
     chr(c).encode()
     for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
-]
+)
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -76,23 +76,29 @@ class Linker:
         self.sizes_a = np.array([len(x) for x in self.bytes_a])
         self.sizes_b = np.array([len(x) for x in self.bytes_b])
         self.mark = pieces.index("▁")
+        # every id with each mark that can follow it
+        most = max(len(self.bytes_a), len(pieces))
+        self.marks = {m: k * most for k, m in enumerate(",|;")}
+        self.names = pa.array([f"{i}{m}" for m in ",|;" for i in range(most)], pa.large_string())
         self.memory = memory
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.groups: list[str] = []
+        self.groups: list[bytes] = []
         self.figures = [np.zeros((0, 4), np.int64)]
         self.pairs = [np.zeros(0, np.int64)]
 
-    def _tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text that begins with a space or line end, which the library of B leaves out
-        or puts a space before."""
-        a = self.a.encode(text, add_special_tokens=False).ids
-        b = [self.mark] if text == " " else self.b.encode(text[1:] if text[0] == " " else text)
-        if text[0] != " " and b[:1] == [self.mark]:
-            b = b[1:]
-        return np.array(a, np.int64), np.array(b, np.int64)
+    def _tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in a row, each beginning with a space or line end: the library of B puts a
+        space mark before a text, so a space is left out and a line end loses the mark."""
+        found = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        a = np.concatenate([np.array(x.ids, np.int64) for x in found])
+        b = []
+        asked = [t[1:] if t[0] == " " else t for t in texts]
+        for text, question, ids in zip(texts, asked, self.b.encode(asked, num_threads=1)):
+            b.extend([self.mark] if not question else ids[1:] if text[0] != " " and ids[0] == self.mark else ids)
+        return a, np.array(b, np.int64)
 
     def _whole(self, a, b, raw: bytes) -> bool:
         return (
@@ -100,54 +106,64 @@ class Linker:
         )
 
     def _learn(self, units: list[bytes]) -> None:
-        """Tokenizes units that end with no white space in one go, others one by one."""
-        part: list[bytes] = []
-        size = 0
+        """Tokenizes many units in a row; one that ends with white space ends the row."""
+        row: list[bytes] = []
+        rows: list[list[bytes]] = []
+        size = whole = 0
         for unit in units:
-            if unit[-1] <= 32 or unit.endswith(tuple(WIDE_GAPS)):
-                self._link([unit])
-                continue
-            part.append(unit)
+            row.append(unit)
             size += len(unit)
-            if size > 1 << 16:
-                self._link(part)
-                part, size = [], 0
-        if part:
-            self._link(part)
-
-    def _link(self, units: list[bytes]) -> None:
-        raw = b"".join(units)
-        a, b = self._tokens(raw.decode())
+            last = unit[-1]
+            if size > 1 << 10 or last <= 32 or (last >= 128 and unit.endswith(WIDE_GAPS)):
+                rows.append(row)
+                whole += size
+                row, size = [], 0
+                if whole > 1 << 17:
+                    self._link(rows)
+                    rows, whole = [], 0
+        if row:
+            rows.append(row)
+        if rows:
+            self._link(rows)
+
+    def _link(self, rows: list[list[bytes]]) -> None:
+        spelled = [b"".join(r) for r in rows]
+        raw, units = b"".join(spelled), [u for r in rows for u in r]
+        a, b = self._tokens([r.decode() for r in spelled])
         unit_ends = np.cumsum([len(u) for u in units])
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
-        sound = self._whole(a, b, raw) and np.isin(unit_ends, ends_a).all() and np.isin(unit_ends, ends_b).all()
+        sound = self._whole(a.tolist(), b.tolist(), raw)
+        if sound:
+            at_a, at_b = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
+            at_a[ends_a] = at_b[ends_b] = True
+            sound = bool((at_a & at_b)[unit_ends].all())
         if not sound and len(units) > 1:
             for unit in units:
-                self._link([unit])
+                self._link([[unit]])
             return
         for unit in units:
             self.number[unit] = len(self.number)
         if not sound:
-            self.groups.append("")  # and no token, which marks it
+            self.groups.append(b"")  # and no token, which marks it
             self.figures.append(np.zeros((1, 4), np.int64))
             return
         # each stretch between two ends lies in one token of A and one of B: a link
-        ends = np.union1d(ends_a, ends_b)
+        ends, both = np.flatnonzero(at_a | at_b), np.flatnonzero(at_a & at_b)
         links_a, links_b = a[np.searchsorted(ends_a, ends)], b[np.searchsorted(ends_b, ends)]
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        to_a, to_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
-        names_a, names_b = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
-        texts, i, j = [], 0, 0
-        for x, y in zip(to_a.tolist(), to_b.tolist()):
-            texts.append(f"{names_a[i]}|{names_b[j]}" if x - i == y - j == 1
-                         else ",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y]))
-            i, j = x, y
         upto = [np.searchsorted(e, unit_ends, "right") for e in (ends_a, ends_b, both, ends)]
         self.figures.append(np.stack([np.diff(u, prepend=0) for u in upto], 1))
         self.pairs.append(links_a << 16 | links_b)
+        # the ids of each group, those of A first, each with the mark that follows it
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        last_a, last_b = np.diff(group_a, append=len(both)) > 0, np.diff(group_b, append=len(both)) > 0
+        rank = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        entry = np.concatenate([a + np.where(last_a, self.marks["|"], 0), b + np.where(last_b, self.marks[";"], 0)])
+        written = self.names.take(pa.array(entry[rank]))
+        bounds = np.frombuffer(written.buffers()[1], np.int64)[: len(written) + 1]
+        text = written.buffers()[2].to_pybytes()
         first = 0
-        for last in upto[2].tolist():
-            self.groups.append(";".join(texts[first:last]))
+        for last in bounds[upto[0] + upto[1]].tolist():
+            self.groups.append(text[first : last - 1])
             first = last
 
     def ready(self, units: list[bytes]) -> np.ndarray:
@@ -179,7 +195,9 @@ def _units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         for back, byte in enumerate(reversed(gap), 1):
             ends &= spaced[np.maximum(at[odd] - back, 0)] == byte
         open_[odd[ends]] = False
-    cuts = np.union1d(at[open_], starts)
+    cut_at = ~inside
+    cut_at[at[open_]] = True
+    cuts = np.flatnonzero(cut_at)
     bounds = np.append(cuts, len(spaced)).astype(np.int64)
     units = pa.Array.from_buffers(
         pa.large_binary(), len(cuts), [None, pa.py_buffer(bounds), pa.py_buffer(spaced)]
@@ -200,7 +218,7 @@ def _linked(linker: Linker, texts: pa.Array):
     groups, bounds, listed = [], first.tolist(), used.tolist()
     for i, good in enumerate(filled.tolist()):
         groups.append(
-            ";".join([linker.groups[u] for u in listed[bounds[i] : bounds[i + 1]]]) if good else ""
+            b";".join([linker.groups[u] for u in listed[bounds[i] : bounds[i + 1]]]) if good else b""
         )
     text = np.repeat(np.arange(len(lengths)), lengths)
     held = filled[text]
@@ -309,8 +327,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], linker: Linker, schema: pa.Schema
                 found = dict(zip(FIGURES, figures.T)) | {
                     "block": np.full(len(part), number),
                     "slot": np.arange(rows, rows + len(part)),
-                    "groups": strings if groups else None,
-                    "groups_sha256": [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in strings],
+                    "groups": [s.decode() for s in strings] if groups else None,
+                    "groups_sha256": [hashlib.sha256(s).hexdigest() if s else "" for s in strings],
                 }
                 yield pa.RecordBatch.from_arrays(
                     [
