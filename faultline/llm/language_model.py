@@ -284,7 +284,7 @@ def _read(rows: pa.Table, answers: pa.Table, order: int, tokens: int, types: int
 
 def with_scores(
     docs: DataFrame, learn: Column, order: int = 2, strength: float = 300.0, add: float = 0.1,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """``docs`` with ``n_tokens``, ``n_known`` (tokens that occur in the learned texts),
     ``train_tokens``, ``base_score`` (by single words) and ``score`` in place of ``text``; columns
