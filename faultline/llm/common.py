@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word of the contracts that split at white space, as a Java and RE2 pattern.
@@ -72,6 +72,37 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) == rest, F.lit(False))
 
 
+def bounded_choice(ids: DataFrame, bound: int, by: str | None = None) -> DataFrame:
+    """At most ``bound`` of the distinct rows of ``ids`` for each value of ``by``, or in all: the
+    first by a hash of ``doc_id``.
+
+    Hashes are counted by their number of binary digits first.  Only rows whose hash is short
+    enough for ``bound`` rows, about twice as many at most, are then ranked; so no task sees all
+    rows of a value, however common it is.
+    """
+    group = F.col(by) if by else F.lit(0)
+    digits = F.length(F.bin("__hash"))
+    rows = ids.distinct().select(
+        "*", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1)).alias("__hash"), group.alias("__group")
+    )
+    counts = rows.groupBy("__group", digits.alias("__digits")).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("__group").orderBy("__digits")
+    limits = (
+        counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+        .where(F.col("before") < bound)
+        .groupBy("__group")
+        .agg(F.max("__digits").alias("__most"))
+    )
+    order = Window.partitionBy("__group").orderBy("__hash", *ids.columns)
+    return (
+        rows.join(limits, "__group")  # one row per value, which Spark sends to the rows
+        .where(digits <= F.col("__most"))
+        .withColumn("__rank", F.row_number().over(order))
+        .where(F.col("__rank") <= bound)
+        .select(ids.columns)
+    )
+
+
 def set_aside(docs: DataFrame, *names: str):
     """``docs`` with its columns of these names (in any case) renamed, and a function that returns
     rows made from them to the columns of ``docs``."""

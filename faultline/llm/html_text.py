@@ -48,9 +48,9 @@ ENDS_P = set(
 )
 #: Words in class, id and role that mark what is not main text, and words that speak for it.
 NAMED_OUT = re.compile(
-    r"ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|disqus"
-    r"|footer|gdpr|masthead|menu\w*|modal|nav|nav(?:s|bar|igation)\w*|newsletter|notice|notification|pagination|popup|promo\w*"
-    r"|related|remarks?|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar"
+    r"ads?|advert\w*|banner|breadcrumbs?|comments?|comment(?:s|list|area|box|form|ers?|thread|section|wrap\w*)|commentlist\w*|complementary|contentinfo|cookies?|consent|disqus"
+    r"|discussions?|footer|gdpr|masthead|menu\w*|modal|nav|nav(?:s|bar|igation)\w*|newsletter|notice|notification|pagination|popup|promo\w*"
+    r"|reactions?|related|remarks?|repl(?:y|ies)|replylist|respond|responses?|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar"
     r"|widget|alert|search|login",
     re.I,
 )
@@ -63,15 +63,21 @@ BESIDE = re.compile(
     re.I,
 )
 STATE = re.compile(r"has|have|is|no|non|not|with|without|hide|hides|hidden|show|shows|open|closed|enabled|disabled|off", re.I)
-REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|remarks?|replies|respond)(?:$|[\s_-])", re.I)
+REMARKS = re.compile(
+    r"(?:^|[\s_-])(?:comment(?!ar)\w*|discussions?|disqus|reactions?|remarks?|repl(?:y|ies)|replylist|respond|responses?)"
+    r"(?:$|[\s_-])",
+    re.I,
+)
 NAMED_IN = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    # a quote opens a value only behind "=", and only if it closes
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=(?:\s*(?:\"[^\"]*\"|'[^']*'))?)*+)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+TOLD = {"class", "id", "role", "hidden", "style", "aria-hidden"}
 WHITE = re.compile(r"\s+")
 
 
@@ -90,8 +96,10 @@ def _names(attributes: str) -> tuple[str, str, bool]:
     """Class, id and role as one string; the id; whether the element is hidden."""
     names, own, hidden = [], "", False
     for key, value in ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'")
         key = key.lower()
+        if key not in TOLD:
+            continue
+        value = value.strip("\"'")
         if key in ("class", "id", "role"):
             names.append(value)
             own = value if key == "id" else own
@@ -106,6 +114,7 @@ def parse(page: str) -> Node:
     """Element tree with forgiving rules for missing and stray end tags."""
     root = Node("#root", None)
     here, at, size = root, 0, len(page)
+    opened: dict[str, int] = {}  # open elements by tag
     while at < size:
         mark = page.find("<", at)
         if mark < 0:
@@ -114,40 +123,42 @@ def parse(page: str) -> Node:
         if mark > at:
             here.children.append(page[at:mark])
         found = TOKEN.match(page, mark)
-        if found is None:  # a bare "<"
-            here.children.append("<")
-            at = mark + 1
+        if found is None:
+            if page[mark + 1 : mark + 2].isalpha() or page[mark + 1 : mark + 2] == "/":
+                at = page.find("<", mark + 1)  # a tag that never ends
+                at = size if at < 0 else at
+            else:  # a bare "<"
+                here.children.append("<")
+                at = mark + 1
             continue
         at = found.end()
         if found[2] is None:
             continue
         tag = found[2].lower()
         if found[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
-            elif tag == "p":
-                pass
+            if opened.get(tag):  # else it is a stray one
+                here = _closed(here, tag, opened)
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened.get("p"):
             node = here
             while node is not root and (node.tag in INLINE):
                 node = node.parent
             if node.tag == "p":
-                here = node.parent
-        if tag in CLOSES:
+                here = _closed(here, "p", opened)
+        if tag in CLOSES and any(map(opened.get, CLOSES[tag])):
             node = here
             while node is not root and node.tag not in ("ul", "ol", "dl", "select", "table", "tbody", "thead"):
+                above = node.parent
                 if node.tag in CLOSES[tag]:
-                    here = node.parent
+                    here = _closed(here, node.tag, opened)
                     if tag != "tr":
                         break
-                node = node.parent
+                node = above
         names, own, hidden = _names(found[3]) if found[3] else ("", "", False)
         named = _named(names) if names and tag not in ("html", "body") else 0
-        if named == SURE and tag == "section" and names == own and not REMARKS.search(own) and _within(here, STORY):
+        if named == SURE and tag == "section" and names == own and _within(here, STORY) and (
+            not REMARKS.search(own) or own.lower() in ("discussion", "responses")
+        ):
             named = MAYBE  # ids of sections are targets of links to their headings
         node = Node(tag, here, names, hidden or tag in LEFT_OUT, named)
         here.children.append(node)
@@ -156,9 +167,19 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
         elif tag not in VOID and not found[3].rstrip().endswith("/"):
             here = node
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
+def _closed(here: Node, tag: str, opened: dict[str, int]) -> Node:
+    """Where the page goes on once the innermost open element of that tag is closed."""
+    while True:
+        opened[here.tag] -= 1
+        found, here = here.tag == tag, here.parent
+        if found:
+            return here
+
+
 def _named(names: str) -> int:
     """Whether class, id and role mark an element as no main text: not, perhaps (``MAYBE``), or ``SURE``."""
     most = 0

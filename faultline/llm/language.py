@@ -15,18 +15,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm import gru
-from faultline.llm.common import ship, slices
+from faultline.llm.common import bounded_choice, ship, slices
 
 LONGEST = 24
 RUN = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 UNKNOWN = "und"
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters of a text; numerals such as "½" or "Ⅷ" are none."""
+    runs = RUN.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [r for run in runs for r in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 class LanguageModel:
     def __init__(self, languages: list[str], hidden: int = 16, seed: int = 11, memory: int = 200_000):
         rng = np.random.default_rng(seed)
@@ -121,7 +129,7 @@ class LanguageModel:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         if len(self.place) > self.memory:
             self.forget()
-        found = [RUN.findall(t.lower()) for t in texts]
+        found = [letter_runs(t) for t in texts]
         counts = np.array([len(f) for f in found])
         flat = [r for f in found for r in f]
         new = [r for r in dict.fromkeys(flat) if r not in self.place]
@@ -157,14 +165,11 @@ def training_runs(docs: DataFrame, learn: Column, per_language: int, runs: int,
     """``lang`` and up to ``runs`` distinct runs, picked by hash from the whole text, of at most
     ``per_language`` documents of each language (the first by a hash of the id) and ``max_rows``
     documents in all."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", "lang", F.row_number().over(order).alias("n"))
-        .where(F.col("n") <= per_language)
-        .orderBy("n", "lang", "doc_id")
-        .limit(max_rows)
-        .select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
+    known = docs.where(
+        learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
+    ).select("doc_id", "lang")
+    chosen = bounded_choice(bounded_choice(known, per_language, "lang"), max_rows).select(
+        F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")
     )
     letters = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{1,%d})" % LONGEST))
     hashed = F.transform(F.array_distinct(letters), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r")))
@@ -191,7 +196,7 @@ def train(
     rows = training_runs(docs, learn, per_language, runs, max_rows)
     languages = sorted({r["lang"] for r in rows})
     number = {l: i for i, l in enumerate(languages)}
-    pairs = [(x, number[r["lang"]]) for r in rows for x in r["runs"] if RUN.fullmatch(x)]
+    pairs = [(x, number[r["lang"]]) for r in rows for x in r["runs"] if x.isalpha()]
     model = LanguageModel(languages, hidden)
     if pairs:
         model.fit([x for x, _ in pairs], np.array([y for _, y in pairs]), epochs)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import GAP, count_words, text_or_empty
+from faultline.llm.common import GAP, bounded_choice, count_words, text_or_empty
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -167,17 +167,17 @@ def fit_rules(
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int) -> DataFrame:
-    """``text`` and ``y`` of at most ``rows`` labelled documents, the first by a hash of the id.
+    """``text`` and ``y`` of at most ``rows`` labels of documents, the first by a hash of the id.
 
-    ``train`` selects the label rows to learn from.  The ids are chosen before the join, so the
-    side that is broadcast has at most ``rows`` rows.
+    ``train`` selects the label rows to learn from.  Labels of other documents do not count, equal
+    label rows count once, and an id with two labels has two rows.  The choice is made among ids,
+    before texts are read, so the side that is broadcast has at most ``rows`` rows.
     """
-    chosen = (
-        labels.where(train & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .select(F.col("doc_id").alias("__id"), F.col(label).cast("double").alias("y"))
-        .orderBy(F.xxhash64("__id"), "__id", "y")
-        .limit(rows)
+    known = labels.where(train & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(
+        "doc_id", F.col(label).cast("double").alias("y")
     )
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = bounded_choice(there, rows).withColumnRenamed("doc_id", "__id")
     return (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
@@ -196,12 +196,16 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: Column, max_rows: int
 
 
 def with_score(docs: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:
-    """``docs`` plus the score of each whole text; a null text counts as empty.
+    """``docs`` plus the score of each whole text, in place of a column of that name; a null text
+    counts as empty.
 
     The statistics are computed once per row into a struct that the rules read from.
     """
     columns = statistics(text_or_empty())
     stats = F.struct(*[c.cast("double").alias(n) for n, c in columns.items()])
-    rows = docs.drop(name).withColumn("__stats", stats)
-    read = {n: F.col("__stats")[n] for n in NAMES}
-    return rows.withColumn(name, model.score(read)).drop("__stats")
+    held = "__stats"
+    while held in docs.columns:
+        held += "_"
+    rows = docs.drop(name).withColumn(held, stats)
+    read = {n: F.col(held)[n] for n in NAMES}
+    return rows.withColumn(name, model.score(read)).drop(held)

@@ -93,7 +93,7 @@ def with_slots(rows: DataFrame, order: list[Column], blocks: int = 1024) -> Data
     Rows are numbered within blocks of a shard by a hash of the order; counts per block give
     where a block begins, so no task orders a whole shard.
     """
-    marked = rows.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
+    marked = rows.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
     counts = marked.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy("shard").orderBy("__block")
     begins = counts.select(
@@ -112,11 +112,26 @@ def byte_shards(docs: DataFrame, shards: int = 16, items: int = 16_384) -> DataF
     """Per row of ``docs``: ``doc_id``, ``size`` (UTF-8 bytes plus 1), ``text_crc32``, ``shard`` and ``slot``.
 
     A null text is empty and shares a group with other empty texts.  Rows with equal text always
-    share a shard, also repeated rows and rows without an id.  An empty table gives no rows.
+    share a shard, also repeated rows and rows without an id; those are told apart by where they
+    were read.  An empty table gives no rows.
     """
+    placed = _placed(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row")), shards, items)
+    return placed.drop("__row")
+
+
+def with_shards(docs: DataFrame, shards: int = 16, items: int = 16_384) -> DataFrame:
+    """``docs`` plus ``shard`` and ``slot`` as in :func:`byte_shards`; columns of these names are
+    replaced.  ``docs`` is read twice and must come in the same order both times, as files do."""
+    numbered = docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id())
+    placed = _placed(numbered.select("doc_id", "text", "__row"), shards, items)
+    return numbered.join(placed.select("__row", "shard", "slot"), "__row").drop("__row")
+
+
+def _placed(rows: DataFrame, shards: int, items: int) -> DataFrame:
     body = text_or_empty().cast("binary")
     narrow = cut(
-        docs.select(
+        rows.select(
+            "__row",
             "doc_id",
             (F.octet_length(body) + 1).cast("bigint").alias("size"),
             F.crc32(body).alias("text_crc32"),
@@ -125,4 +140,4 @@ def byte_shards(docs: DataFrame, shards: int = 16, items: int = 16_384) -> DataF
     )
     groups = cut(narrow.groupBy("grp").agg(F.sum("size").alias("bytes")))
     placed = narrow.join(group_shards(groups, shards, items), "grp")
-    return with_slots(placed, [F.col("doc_id"), F.col("grp")]).drop("grp")
+    return with_slots(placed, [F.col("doc_id"), F.col("grp"), F.col("__row")]).drop("grp")

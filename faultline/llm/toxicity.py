@@ -23,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm import gru
-from faultline.llm.common import cut, ship, slices
+from faultline.llm.common import bounded_choice, cut, ship, slices
 
 WORD = re.compile(r"\w+")
 WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 13, 1 << 14, (3, 4, 5)
@@ -393,17 +393,12 @@ def training_texts(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
     """``key``, ``text`` and ``y`` of at most ``per_class`` labelled documents of each class, the first
     by a hash of the id, as a checkpoint.  Of rows that share an id, one text is taken."""
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(
-        F.col("doc_id").alias("__id"), (F.col("toxic") > 0).cast("int").alias("y")
+        "doc_id", (F.col("toxic") > 0).cast("int").alias("y")
     )
     # ids are read before the choice, texts after it
     there = docs.where(F.col("text").isNotNull()).select("doc_id")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("__id"), "__id")
-    chosen = (
-        known.distinct()
-        .join(there, F.col("__id") == F.col("doc_id"), "left_semi")
-        .withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= per_class)
-        .drop("n")
+    chosen = bounded_choice(known.join(there, "doc_id", "left_semi"), per_class, "y").withColumnRenamed(
+        "doc_id", "__id"
     )
     texts = (
         docs.where(F.col("text").isNotNull())

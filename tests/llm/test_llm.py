@@ -545,7 +545,7 @@ def test_near_duplicates_of_hard_rows(spark, edge):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "conversations", "benchmark"):
         db.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     result = queries.QUERIES[name](spark, FOLDER)
     cursor = db.execute(queries.SQL[name])
