@@ -41,8 +41,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row; copies of a text share a shard."""
-    return sharding.byte_shards(docs, SHARDS)
+    """Every row as it is, with its shard and slot; copies of a text share a shard."""
+    return sharding.with_shards(docs, SHARDS)
 
 
 STAGES = [
