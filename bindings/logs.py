@@ -14,7 +14,7 @@ from bindings.common import Registry, fresh_folder, table
 from faultline import rules
 from faultline.functions.text import strip
 from faultline.operators import evidence, logs, report, sinks
-from faultline.plans.log_export import events_of
+from faultline.plans.log_export import file_events
 from faultline.sources import task_logs
 
 REGISTRY = Registry()
@@ -391,16 +391,43 @@ DAY_EVIDENCE_SQL = EVIDENCE_SQL.replace(*_PER_DAY)
 )
 def log_evidence(spark, folder):
     """Each day is triggered as a run with a log, as an SLA miss, and as a task without a log."""
-    lines = task_logs.read_task_logs(spark, written_logs(spark, folder))
+    triggers = day_triggers(spark, folder)
+    return evidence.tree_log_evidence(spark, triggers, written_logs(spark, folder)).drop("dag_id", "status")
+
+
+def day_triggers(spark, folder):
     day = F.date_format("day", "yyyy-MM-dd")
     run = F.concat(F.lit("manual__"), day, F.lit("T00:00:00+00:00"))
     asked = [("load", run), ("load", F.lit(rules.SLA_RUN_ID)), ("gone", run)]
-    triggers = event_lines(spark, folder).select("day").distinct().select(
+    return event_lines(spark, folder).select("day").distinct().select(
         F.lit("d").alias("dag_id"),
         day.alias("execution_date"),
         F.inline(F.array(*[F.struct(F.lit(t).alias("task_id"), r.alias("run_id")) for t, r in asked])),
     )
-    return evidence.log_evidence(triggers, lines).drop("dag_id", "status")
+
+
+@query(
+    "WIN-02 SRC-03",
+    f"""with {LINES_SQL}, days as (select day, count(*) as lines, sum(length(line))::bigint as characters from lines
+        where day in (select day from lines group by day order by day limit 3) group by day)
+    select 'manual__' || day || 'T00:00:00+00:00' as run_id, 'load' as task_id, 1::bigint as tier, lines,
+        characters from days
+    union all select 'manual__' || day || 'T00:00:00+00:00', 'gone', null, 0, 0 from days""",
+)
+def selected_logs(spark, folder):
+    """Three days are triggered, each with and without a log: the other days' files stay closed."""
+    triggers = day_triggers(spark, folder)
+    days = triggers.select("execution_date").distinct().orderBy("execution_date").limit(3)
+    chosen, lines = evidence.selected_logs(
+        spark, triggers.join(days, "execution_date"), written_logs(spark, folder)
+    )
+    found = lines.groupBy("path").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.length(strip(F.col("line")))).alias("characters")
+    )
+    counts = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("lines", "characters")}
+    return chosen.join(found, "path", "left").select("run_id", "task_id", "tier", "lines", "characters").withColumns(
+        counts
+    )
 
 
 DAY_EVENTS_SQL = CLASSIFIED_SQL.replace("user_id, cast(ts as date) as day", "cast(ts as date) as user_id, 0 as day")
@@ -413,7 +440,7 @@ DAY_EVENTS_SQL = CLASSIFIED_SQL.replace("user_id, cast(ts as date) as day", "cas
     "from classified",
 )
 def exported_log_events(spark, folder):
-    events = events_of(task_logs.read_task_logs(spark, written_logs(spark, folder)))
+    events = file_events(task_logs.read_task_logs(spark, written_logs(spark, folder)))
     path = fresh_folder(spark, "log-events")
     sinks.write_log_events(events, path, "parquet")
     return spark.read.parquet(path)

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline import rules
 from faultline.functions.ordered import first_rows, null_safe_join
 from faultline.functions.text import any_of, filled, strip
-from faultline.sources.task_logs import json_log_lines
+from faultline.operators import splits
+from faultline.sources.task_logs import json_log_lines, list_task_logs, read_log_files
 
 NO_LOG_MESSAGE = "No log content available"
 UNKNOWN = "Unknown"
@@ -79,16 +80,20 @@ def _starting_in(joined: Column, pattern: str, group: int) -> tuple[Column, Colu
 
 
 def error_evidence(
-    lines: DataFrame, key: list[str], block: str = "block", pos: str = "line_pos", line: str = "line"
+    lines: DataFrame, key: list[str], block: str = "block", pos: str = "line_pos", line: str = "line",
+    in_place: bool = False,
 ) -> DataFrame:
     """Per log: error type, message, product id, traceback and execution time.
 
-    ``lines`` are non-blank and hold no line feed, as ``json_log_lines`` leaves them.
+    ``lines`` are non-blank and hold no line feed, as ``json_log_lines`` leaves them.  With
+    ``in_place`` they come straight from files: what follows a line is then seen where it was
+    read, and only the ends of file splits are shuffled.
     """
     text, order = F.col(line), F.struct(block, pos)
     # columns of their own, so that they are computed once per line
     # a pattern has two gaps at most, so a match ends in the second line after its start
-    chained = with_next_lines(lines, key, block, pos, line).withColumns(
+    followed = splits.chained_lines(lines, line) if in_place else with_next_lines(lines, key, block, pos, line)
+    chained = followed.withColumns(
         {"__joined": F.concat_ws("\n", text, "next_line", "third_line"), "__low": F.lower(text)}
     )
     joined, low = F.col("__joined"), F.col("__low")
@@ -238,11 +243,38 @@ def log_evidence(triggers: DataFrame, logs: DataFrame) -> DataFrame:
     ``logs`` are lines as :func:`faultline.sources.task_logs.read_task_logs` gives them.
     """
     files = logs.select("path", "dag_id", "run_id", "task_id", "modified")
-    normal = triggers.where(~F.col("run_id").eqNullSafe(rules.SLA_RUN_ID))
+    normal = _with_runs(triggers)
     chosen = latest_log(files, normal)
     wanted = chosen.select("path").where(F.col("path").isNotNull()).distinct()
     content = logs.select("path", "block", "line_pos", "line").join(wanted, "path", "left_semi")
     found = error_evidence(json_log_lines(content), ["path"])
+    return _evidence(triggers, chosen, found)
+
+
+def selected_logs(spark: SparkSession, triggers: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """The log chosen for each trigger of a run, and the lines of the chosen logs.
+
+    The choice is made on the list of files, which opens none of them.  Then the chosen files
+    alone are read, so the rows read grow with the triggers and not with the tree.
+    """
+    chosen = latest_log(list_task_logs(spark, root), _with_runs(triggers))
+    paths = chosen.select("path").where(F.col("path").isNotNull()).distinct().collect()
+    return chosen, read_log_files(spark, [r["path"] for r in paths])
+
+
+def tree_log_evidence(spark: SparkSession, triggers: DataFrame, root: str) -> DataFrame:
+    """:func:`log_evidence` from a tree of logs, of which only the chosen files are read."""
+    chosen, content = selected_logs(spark, triggers, root)
+    lines = json_log_lines(content.select("path", "block", "line_pos", "line"))
+    return _evidence(triggers, chosen, error_evidence(lines, ["path"], in_place=True))
+
+
+def _with_runs(triggers: DataFrame) -> DataFrame:
+    return triggers.where(~F.col("run_id").eqNullSafe(rules.SLA_RUN_ID))
+
+
+def _evidence(triggers: DataFrame, chosen: DataFrame, found: DataFrame) -> DataFrame:
+    normal = _with_runs(triggers)
     located = null_safe_join(normal, chosen, ["dag_id", "task_id", "run_id"]).join(
         found, "path", "left"
     )

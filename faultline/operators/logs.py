@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from faultline import rules
 from faultline.functions.ordered import running_sums
 from faultline.functions.text import all_of, contains_any, strip
+from faultline.operators.splits import fold_lines
 
 
 def is_header(line: Column) -> Column:
@@ -117,6 +118,12 @@ def log_events(lines: DataFrame, key: list[str], block: str = "block", pos: str
     return classify_events(parse_records(folded))
 
 
+def file_events(lines: DataFrame, identity: list[str], staged: str | None = None) -> DataFrame:
+    """:func:`log_events` of lines as files give them, folded where they were read."""
+    folded = fold_lines(lines, identity, is_header(F.col("line")), staged=staged)
+    return classify_events(parse_records(folded))
+
+
 def oom_events(host_lines: DataFrame, by: list[str], line: str = "line") -> DataFrame:
     """Out-of-memory lines per host, and whether there were any."""
     hits = F.count_if(contains_any(F.col(line), rules.OOM_PHRASES))

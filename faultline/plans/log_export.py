@@ -12,9 +12,18 @@ IDENTITY = ["path", "dag_id", "run_id", "task_id", "attempt"]
 
 
 def events_of(lines: DataFrame) -> DataFrame:
+    """Events with the number of their record in the log; all text is shuffled for the numbers."""
     return logs.log_events(lines, IDENTITY)
 
 
-def export_log_events(spark: SparkSession, root: str, path: str, form: str = "csv") -> None:
-    events = events_of(read_task_logs(spark, root))
+def file_events(lines: DataFrame, staged: str | None = None) -> DataFrame:
+    """Events of lines as files give them, folded where they were read.  ``staged`` names a folder
+    for the folded splits; without it the files are read twice."""
+    return logs.file_events(lines, IDENTITY, staged)
+
+
+def export_log_events(
+    spark: SparkSession, root: str, path: str, form: str = "csv", staged: str | None = None
+) -> None:
+    events = file_events(read_task_logs(spark, root), staged)
     sinks.write_log_events(events.select(*rules.LOG_EVENT_COLUMNS), path, form)

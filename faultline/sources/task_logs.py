@@ -6,6 +6,8 @@ the file split a line comes from and ``line_pos`` orders the lines of a block.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,27 @@ def read_task_logs(spark: SparkSession, root: str, **wanted: str) -> DataFrame:
     return identified_lines(with_file_facts(rows))
 
 
+def list_task_logs(spark: SparkSession, root: str) -> DataFrame:
+    """One row per file below ``root`` with the identity of its log; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(
+        "path",
+        *[value.alias(name) for name, value in log_identity(F.col("path")).items()],
+        F.col("modificationTime").alias("modified"),
+        F.col("length").alias("bytes"),
+    )
+
+
+def read_log_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The lines of some files, named as :func:`list_task_logs` does."""
+    if not paths:
+        nothing = "line string, file_path string, modified timestamp, block bigint"
+        return identified_lines(spark.createDataFrame([], nothing))
+    # names may hold what a path pattern would take for its own
+    literal = [re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in sorted(paths)]
+    return identified_lines(with_file_facts(spark.read.text(literal)))
+
+
 def with_file_facts(rows: DataFrame) -> DataFrame:
     """Text rows of a file source, batch or stream, with what is known of the file."""
     return rows.select(

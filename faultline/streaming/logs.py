@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from faultline import rules
-from faultline.plans.log_export import events_of
+from faultline.plans.log_export import file_events
 from faultline.sources.task_logs import identified_lines, with_file_facts
 
 
@@ -23,7 +23,7 @@ def stream_log_events(
     ).format("text").load(root)
 
     def convert(batch: DataFrame, number: int) -> None:
-        events = events_of(identified_lines(batch)).select(*rules.LOG_EVENT_COLUMNS)
+        events = file_events(identified_lines(batch)).select(*rules.LOG_EVENT_COLUMNS)
         events.write.mode("overwrite").parquet(f"{target}/batch_id={number}")
 
     return (
