@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from faultline.operators.keys import ensure_table, near_loads
 from faultline.operators.sinks import absent_rows, first_per_key
 
 
@@ -16,16 +17,21 @@ def stream_load(
     """Runs insert-if-absent per micro-batch.
 
     A batch is written to a folder named by its number and compared with the folders
-    of earlier batches only.  A batch that is repeated after a failure overwrites its
-    own folder, which takes the place of commit and rollback.
+    of earlier batches only, and of these with the ones whose key summary (in
+    ``<target>-keys``) admits one of its keys.  A batch that is repeated after a failure
+    overwrites its own folder, which takes the place of commit and rollback.
     """
     kinds = source.schema
+    beside = f"{target.rstrip('/')}-keys"
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         keyed = batch.where(F.col(key).isNotNull())
-        if number > 0:
-            keyed = absent_rows(loaded(spark, target, kinds, number), keyed, key)
+        ensure_table(spark, _with_number(kinds), target, "batch_id")
+        earlier = spark.read.schema(_with_number(kinds)).parquet(target).where(F.col("batch_id") < number)
+        near = near_loads(keyed.select(key), beside, earlier, key, "batch_id", number)
+        if near:
+            keyed = absent_rows(earlier.where(F.col("batch_id").cast("string").isin(near)), keyed, key)
         fresh = first_per_key(keyed, key, [F.col(order)])
         fresh.write.mode("overwrite").parquet(f"{target}/batch_id={number}")
 
@@ -37,11 +43,14 @@ def stream_load(
     )
 
 
+def _with_number(schema: T.StructType) -> T.StructType:
+    numbered = [] if "batch_id" in schema.names else [T.StructField("batch_id", T.LongType())]
+    return T.StructType([*schema.fields, *numbered])
+
+
 def loaded(spark: SparkSession, target: str, schema, before: int | None = None) -> DataFrame:
     """The table as loaded so far, or by the batches before a number."""
-    numbered = [] if "batch_id" in schema.names else [T.StructField("batch_id", T.LongType())]
-    full = T.StructType([*schema.fields, *numbered])
-    rows = spark.read.schema(full).option("basePath", target).parquet(target)
+    rows = spark.read.schema(_with_number(schema)).option("basePath", target).parquet(target)
     if before is not None:
         rows = rows.where(F.col("batch_id") < before)
     return rows.drop("batch_id")
