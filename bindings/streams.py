@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bindings import health, loads, logs
 from bindings.common import Registry, fresh_folder, table
 from faultline import rules
+from faultline.streaming.in_order import stream_sla_in_order, stream_trend_in_order
 from faultline.streaming.load import loaded, stream_load
 from faultline.streaming.logs import stream_log_events
 from faultline.streaming.sla import stream_sla, stream_trend, stream_triggers
@@ -70,6 +71,53 @@ def streamed_trend(spark, folder):
     return run_out(stream_trend(samples, "ts", delay="60 days"), "trend")
 
 
+def dealt_at_random(rows: DataFrame, at: str, key: str, name: str) -> DataFrame:
+    """The rows as a stream of four micro-batches, each with rows of all times, and of one that
+    holds a single later row of another key, which moves the watermark past all others."""
+    spark, path = rows.sparkSession, fresh_folder(rows.sparkSession, name)
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64(*rows.columns), F.lit(4)).cast("int"))
+    dealt.repartition(4, "batch").write.partitionBy("batch").parquet(f"{path}/dealt")
+    # one file per batch, in the order in which they are written
+    for i in range(4):
+        part = spark.read.schema(rows.schema).parquet(f"{path}/dealt/batch={i}")
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    values = {at: F.to_timestamp(F.lit("2200-01-01")), key: F.lit(-1)}
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    last = spark.range(1).select(*[values.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in rows.columns])
+    last.write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+@query("STR-02", REGISTRY.sql["streamed_breaches"])
+def ordered_breaches(spark, folder):
+    """Chunks of a run arrive in any micro-batch, and still count in their order."""
+    elapsed = F.datediff("o_orderdate", F.lit("1995-01-01"))
+    chunks = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("run_id"),
+        (elapsed.cast("bigint") * 1_000_000_000 + F.col("o_orderkey")).alias("chunk_no"),
+        F.floor("o_totalprice").cast("bigint").alias("chunk_rows"),
+        elapsed.cast("double").alias("elapsed_seconds"),
+        F.lit(2_000_000).cast("bigint").alias("total_rows"),
+        F.lit(1500).cast("bigint").alias("sla_threshold"),
+        F.col("o_orderdate").cast("timestamp").alias("at"),
+    )
+    stream = dealt_at_random(chunks, "at", "run_id", "chunks")
+    return run_out(stream_sla_in_order(stream, "at", delay="3650 days"), "ordered-breaches")
+
+
+@query("STR-04", REGISTRY.sql["streamed_trend"])
+def ordered_trend(spark, folder):
+    """Samples of a host arrive in any micro-batch, and are compared in their order."""
+    samples = table(spark, folder, "events").select(
+        F.col("user_id").alias("host"),
+        F.col("event_id").alias("sample_no"),
+        (F.col("value") / 5).alias("ram_used_percent"),
+        F.timestamp_seconds(F.col("event_id") + 10**9).alias("at"),  # a stream takes the epoch itself for late
+    )
+    stream = dealt_at_random(samples, "at", "host", "samples")
+    return run_out(stream_trend_in_order(stream, "at", delay="3650 days"), "ordered-trend")
+
+
 @query("STR-05", "select distinct user_id from events where event_type = 'error'")
 def streamed_triggers(spark, folder):
     errors = source(spark, folder, "events").where(F.col("event_type") == "error")
