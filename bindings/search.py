@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindings.common import Registry, table
+from bindings.common import Registry, fresh_folder, table
 from faultline import rules
 from faultline.operators import benchmarks as b
-from faultline.operators import search
+from faultline.operators import pivot_search, search
 from faultline.plans.evidence import history_evidence as past_incidents
 from faultline.plans.retrieve import matched_chunks, retrieve
 
@@ -75,6 +75,44 @@ def nearest_chunks(spark, folder):
     )
 
 
+FIFTIETH_SQL = """asked as (select vec_id as query_id, embedding from embeddings where vec_id % 50 = 0),
+    distances as (select query_id, vec_id as chunk_id, list_sum(list_transform(list_zip(a.embedding, e.embedding),
+            lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) as distance
+        from asked a, embeddings e),
+    ranked as (select *, row_number() over (partition by query_id order by distance, chunk_id) as semantic_rank
+        from distances)"""
+FIFTIETH = (
+    f"with {FIFTIETH_SQL} select query_id, chunk_id, semantic_rank, round(distance, 6) as semantic_distance "
+    "from ranked where semantic_rank <= 10"
+)
+
+
+def fiftieth_queries(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return rows.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def ranked_hits(found: DataFrame) -> DataFrame:
+    return search.rank_hits(found, 10).select(
+        "query_id", "chunk_id", F.col("semantic_rank").cast("bigint").alias("semantic_rank"),
+        F.round("semantic_distance", 6).alias("semantic_distance"),
+    )
+
+
+@query("JON-08 SRT-01", FIFTIETH)
+def nearest_by_blocks(spark, folder):
+    """Every fiftieth vector asks all vectors, in blocks of four queries."""
+    chunks, asked = vector_chunks(spark, folder), fiftieth_queries(spark, folder)
+    return ranked_hits(search.nearest(asked, chunks, 10, block_queries=4))
+
+
+@query("JON-08 SRT-01", FIFTIETH)
+def nearest_by_pivots(spark, folder):
+    """Every fiftieth vector asks all vectors, through pivots."""
+    index = pivot_search.build_index(vector_chunks(spark, folder), fresh_folder(spark, "pivots"), 64)
+    return ranked_hits(pivot_search.nearest_by_pivots(fiftieth_queries(spark, folder), index, 10))
+
+
 @query(
     "WIN-05 SRT-02 WIN-10",
     f"with {HITS_SQL} select query_id, case_id, best_rank, case_rank, "

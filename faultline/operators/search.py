@@ -38,6 +38,8 @@ def _scan(queries: list, limit: int, metric: str):
         import pandas as pd
 
         names = [q for q, _ in queries]
+        if len({len(v) for _, v in queries}) > 1:
+            raise ValueError(f"queries of {sorted({len(v) for _, v in queries})} values")
         asked = np.stack([v for _, v in queries])
         asked_squares = np.square(asked).sum(axis=1)
 
@@ -68,6 +70,9 @@ def _scan(queries: list, limit: int, metric: str):
             if batch.empty:
                 continue
             ids, owners = batch["chunk_id"].to_numpy(), batch["case_id"].to_numpy()
+            lengths = {len(v) for v in batch["embedding"]}
+            if lengths != {asked.shape[1]}:
+                raise ValueError(f"vectors of {sorted(lengths)} values for queries of {asked.shape[1]}")
             matrix = np.stack(batch["embedding"].to_numpy()).astype("float64")
             about, slack = estimates(matrix)
             hits = []
