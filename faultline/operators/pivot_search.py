@@ -102,12 +102,16 @@ def build_index(chunks: DataFrame, path: str, pivots: int = 256, slice_rows: int
     else:
         placed = placed.withColumn("slice", F.lit(0))
     placed.repartition("pivot", "slice").write.mode("overwrite").partitionBy("pivot").parquet(f"{path}/index")
-    return open_index(spark, path, points)
+    numbered = spark.createDataFrame(list(enumerate(points)), "pivot int, point array<double>")
+    numbered.write.mode("overwrite").parquet(f"{path}/pivots")
+    return open_index(spark, path)
 
 
-def open_index(spark: SparkSession, path: str, pivots: list[list[float]]) -> PivotIndex:
-    chunks = spark.read.parquet(f"{path}/index").withColumn("pivot", F.col("pivot").cast("int"))
-    return PivotIndex(chunks, pivots)
+def open_index(spark: SparkSession, path: str) -> PivotIndex:
+    """An index that has been written."""
+    schema = spark.read.parquet(f"{path}/placed").schema.add("slice", "int")
+    pivots = spark.read.parquet(f"{path}/pivots").orderBy("pivot").collect()
+    return PivotIndex(spark.read.schema(schema).parquet(f"{path}/index"), [list(r["point"]) for r in pivots])
 
 
 def _bounds(pivots: list, cells: list, k: int):
