@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from bindings.common import Registry, fresh_folder, table
 from faultline import rules
 from faultline.operators import benchmarks as b
-from faultline.operators import pivot_search, search
+from faultline.operators import case_index, pivot_search, search
 from faultline.plans.evidence import history_evidence as past_incidents
 from faultline.plans.retrieve import matched_chunks, retrieve
 
@@ -196,16 +196,28 @@ def ticketed_documents(spark: SparkSession, folder: str) -> DataFrame:
         qualify row_number() over (partition by w.doc_id order by p.priority, p.incident_id) = 1""",
 )
 def looked_up_cases(spark, folder):
+    wanted = wanted_cases(spark, folder)
+    found = search.lookup_cases(ticketed_documents(spark, folder), wanted, F.xxhash64("doc_id"))
+    return found.select("doc_id", "case_id", "incident_id", "n_chars")
+
+
+def wanted_cases(spark, folder):
     labels = table(spark, folder, "labels")
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source")
-    wanted = labels.join(docs, "doc_id").select(
+    return labels.join(docs, "doc_id").select(
         "doc_id",
         F.when(F.col("quality") == 1, F.concat(F.lit("D"), F.col("doc_id").cast("string")))
         .when(F.col("toxic") == 1, F.col("lang"))
         .otherwise(F.col("source"))
         .alias("case_id"),
     )
-    found = search.lookup_cases(ticketed_documents(spark, folder), wanted, F.xxhash64("doc_id"))
+
+
+@query("JON-04", REGISTRY.sql["looked_up_cases"])
+def indexed_cases(spark, folder):
+    """The same lookup through an index of the ids, which is written first."""
+    index = case_index.write_case_index(ticketed_documents(spark, folder), fresh_folder(spark, "case-index"), 16)
+    found = index.lookup(wanted_cases(spark, folder), F.xxhash64("doc_id"))
     return found.select("doc_id", "case_id", "incident_id", "n_chars")
 
 

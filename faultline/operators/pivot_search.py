@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions.ordered import first_rows
 from faultline.session import checkpointed
@@ -109,7 +110,7 @@ def build_index(chunks: DataFrame, path: str, pivots: int = 256, slice_rows: int
 
 def open_index(spark: SparkSession, path: str) -> PivotIndex:
     """An index that has been written."""
-    schema = spark.read.parquet(f"{path}/placed").schema.add("slice", "int")
+    schema = spark.read.parquet(f"{path}/placed").schema.add("slice", T.IntegerType())
     pivots = spark.read.parquet(f"{path}/pivots").orderBy("pivot").collect()
     return PivotIndex(spark.read.schema(schema).parquet(f"{path}/index"), [list(r["point"]) for r in pivots])
 

@@ -227,6 +227,13 @@ def lookup_cases(
     columns are unpivoted, and each id value keeps one row, so a value shared by many
     cases does not multiply.
     """
+    sought = wanted.select("case_id").distinct()
+    match = first_places(case_places(cases).join(sought, "case_id", "left_semi"))
+    return with_cases(wanted, match, cases, spread, slice_rows)
+
+
+def case_places(cases: DataFrame) -> DataFrame:
+    """``case_id, priority, incident_id``: every id under which a case can be asked for."""
     names = [c for c in rules.CASE_LOOKUP_COLUMNS if c in cases.columns]
     options = F.array(
         *[
@@ -234,17 +241,24 @@ def lookup_cases(
             for i, c in enumerate(names)
         ]
     )
-    places = (
+    return (
         cases.select("incident_id", F.explode(options).alias("__option"))
         .select("__option.case_id", "__option.priority", "incident_id")
         .where(F.col("case_id") != "")
     )
-    sought = wanted.select("case_id").distinct()
-    match = (
-        places.join(sought, "case_id", "left_semi")
-        .groupBy("case_id")
-        .agg(F.min(F.struct("priority", "incident_id"))["incident_id"].alias("__found"))
+
+
+def first_places(places: DataFrame) -> DataFrame:
+    """``case_id`` and the case it stands for, ``__found``."""
+    return places.groupBy("case_id").agg(
+        F.min(F.struct("priority", "incident_id"))["incident_id"].alias("__found")
     )
+
+
+def with_cases(
+    wanted: DataFrame, match: DataFrame, cases: DataFrame, spread: Column, slice_rows: int = 2_000_000
+) -> DataFrame:
+    """``wanted`` with the case that ``match`` names for its ``case_id``."""
     rows = cases.withColumn("__found", F.col("incident_id"))
     rows = rows.select(*[F.col(c).alias(f"stored_{c}") if c in wanted.columns else F.col(c)
                          for c in rows.columns])

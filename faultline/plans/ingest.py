@@ -10,6 +10,7 @@ from faultline import rules
 from faultline.operators import cases as c
 from faultline.operators import chunks as ch
 from faultline.operators import sinks
+from faultline.operators.case_index import write_case_index
 from faultline.sources.incidents import read_incidents
 
 
@@ -62,15 +63,19 @@ def ingest(
     reset: bool = True,
     replace: bool = True,
     multi_line: bool = True,
+    index_path: str | None = None,
 ) -> DataFrame:
     """Runs the ingest and returns its one-row statistics.
 
-    The chunk step reads the case store just written, not the plan that made it.
+    The chunk step reads the case store just written, not the plan that made it.  With
+    ``index_path`` the ids of the new store are indexed there, in place of an earlier index.
     """
     raw = read_incidents(spark, csv_path, multi_line)
     stages = prepare(raw, source_dataset, id_override, stage_path)
     written = sinks.write_cases(c.case_store(stages.merged), case_path)
     stored = spark.read.parquet(written)
+    if index_path:
+        write_case_index(stored, index_path)
     fresh = ch.chunk_rows(stored, size, overlap, metadata_override)
     sinks.write_chunks(fresh, chunk_path, reset, replace)
     return c.ingest_stats(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import rules
 from faultline.operators import search
+from faultline.operators.case_index import CaseIndex
 from faultline.operators.cases import expand_case
 
 
@@ -17,15 +18,19 @@ def retrieve(
     k: int = rules.TOP_K_CASES,
     multiplier: int = rules.CANDIDATE_MULTIPLIER,
     metric: str = "l2",
+    index: CaseIndex | None = None,
 ) -> DataFrame:
     """Up to ``k`` whole cases per query, best first.
 
     ``chunks`` has ``chunk_id, incident_id, embedding``.  An empty store gives an
-    empty result of the same shape.
+    empty result of the same shape.  With ``index`` the cases come from it and only
+    the buckets of the asked ids are read; ``cases`` is then not used.
     """
     ranked = matched_chunks(queries, chunks, k, multiplier, metric)
     top = search.top_cases(search.unique_cases(ranked, "case_id"), k)
     spread = F.xxhash64("query_id", "case_id")
+    if index is not None:
+        return expand_case(index.lookup(top, spread))
     return expand_case(search.lookup_cases(cases, top, spread))
 
 
