@@ -5,25 +5,28 @@ gives one window per 13 consecutive words; a shorter item is one window as a who
 every word of a text and every window of words with NumPy, look the hashes up in the broadcast
 set and compare each find with the window's words, so a hash collision never counts.
 
-The set is broadcast in blocks of at most ``block_windows`` windows.  A benchmark with more is
-scanned block after block with a checkpoint in between; the finds add up.
+The set is broadcast in blocks of at most ``block_windows`` windows and ``block_bytes`` bytes: 16
+bytes a window, and the items' bytes once.  A larger benchmark is searched for block after block;
+the finds add up.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm.common import buffers, cut, ship, slices
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SIZE = 13
 
 _codes = np.arange(256)
@@ -100,46 +103,64 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 class WindowSet:
-    """Benchmark windows by size and hash, with their words and items."""
+    """Benchmark windows by size: their hashes, sorted, and the word each begins at.
+
+    The items stand once, as bytes; a window is compared with the words there.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], size: int = SIZE):
-        grams: dict[tuple[str, ...], set[str]] = {}
-        for item, text in items:
-            words = words_of(text)
-            width = min(size, len(words))
-            for i in range(len(words) - width + 1 if words else 0):
-                grams.setdefault(tuple(words[i : i + width]), set()).add(item)
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
-        for width in sorted({len(g) for g in grams}):
-            by_hash: dict[int, list] = {}
-            for gram, owners in grams.items():
-                if len(gram) == width:
-                    raw = " ".join(gram).encode()
-                    _, _, h = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                    by_hash.setdefault(int(window_hashes(h, width)[0]), []).append((raw, sorted(owners)))
-            keys = np.array(sorted(by_hash), np.uint64)
+        self.names = np.array([i for i, _ in items], object)
+        self.raw, offsets = buffers(pa.array([t or "" for _, t in items], pa.string()))
+        self.starts, self.ends, hashes = word_hashes(self.raw, offsets)
+        first = np.searchsorted(self.starts, offsets)
+        n_words = np.diff(first)
+        self.home = np.repeat(np.arange(len(items)), n_words)
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in sorted(set(np.minimum(n_words, size).tolist()) - {0}):
+            keys = window_hashes(hashes, width)
+            at = np.arange(len(keys))
+            # whole items where they are shorter than a window
+            right = n_words >= size if width == size else n_words == width
+            at = at[right[self.home[at]] & (self.home[at] == self.home[at + width - 1])]
+            at = at[np.lexsort((self.home[at], keys[at]))]
+            keys = keys[at]
             sieve = np.zeros(1 << 20, bool)
             sieve[keys >> np.uint64(44)] = True
-            self.sizes[width] = (keys, sieve, [by_hash[int(k)] for k in keys])
+            self.sizes[width] = (keys, sieve, at)
+
+    def _owners(self, places: np.ndarray, width: int, text: bytes) -> list[str]:
+        """Items whose window at one of the places reads so; a window of an item is compared once."""
+        found = set()
+        for place in places.tolist():
+            name = self.names[self.home[place]]
+            if name not in found and self._text(place, width) == text:
+                found.add(name)
+        return sorted(found)
+
+    def _text(self, place: int, width: int) -> bytes:
+        bounds = zip(self.starts[place : place + width].tolist(), self.ends[place : place + width].tolist())
+        return b" ".join([LOWER[self.raw[a:b]].tobytes() for a, b in bounds])
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray):
         """Word bounds, the text of each word, and verified finds as (first word, size, items)."""
         starts, ends, hashes = word_hashes(raw, offsets)
         home = np.searchsorted(offsets, starts, "right") - 1
         finds = []
-        for width, (keys, sieve, grams) in self.sizes.items():
+        known: dict[tuple[int, bytes], list[str]] = {}
+        for width, (keys, sieve, at_word) in self.sizes.items():
             h = window_hashes(hashes, width)
             at = np.flatnonzero(sieve[h >> np.uint64(44)])
             at = at[home[at] == home[at + width - 1]]
-            place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            sure = keys[place] == h[at]
-            for i, p in zip(at[sure].tolist(), place[sure].tolist()):
+            low, high = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], "right")
+            for i, a, b in zip(*(x[high > low].tolist() for x in (at, low, high))):
                 text = b" ".join(
-                    LOWER[raw[a:b]].tobytes() for a, b in zip(starts[i : i + width], ends[i : i + width])
+                    [LOWER[raw[x:y]].tobytes() for x, y in zip(starts[i : i + width], ends[i : i + width])]
                 )
-                for gram, owners in grams[p]:
-                    if gram == text:
-                        finds.append((i, width, owners))
+                owners = known.get((width, text))
+                if owners is None:
+                    owners = known[(width, text)] = self._owners(at_word[a:b], width, text)
+                if owners:
+                    finds.append((i, width, owners))
         return starts, ends, home, finds
 
 
@@ -197,6 +218,7 @@ FOUND = [
     ),
     T.StructField("items", T.ArrayType(T.StringType())),
 ]
+SPAN_TYPE = "array<struct<first:bigint,last:bigint>>"
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
@@ -222,10 +244,8 @@ def _pass(docs: DataFrame, items: list[tuple[str, str | None]], size: int, with_
     return docs.mapInArrow(run, schema)
 
 
-def _merged(old: str, new: str):
-    """Union of two sorted lists of spans, by the words they cover."""
-    both = F.array_sort(F.concat(F.col(old), F.col(new)))
-    empty = F.array().cast("array<struct<first:bigint,last:bigint>>")
+def _merged(spans: Column) -> Column:
+    """Union of spans, by the words they cover."""
 
     def add(done, span):
         top = F.try_element_at(done, F.lit(-1))
@@ -237,7 +257,32 @@ def _merged(old: str, new: str):
             touching, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))
         ).otherwise(F.concat(done, F.array(span)))
 
-    return F.aggregate(both, empty, add)
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPAN_TYPE), add)
+
+
+def item_pieces(benchmark: DataFrame, size: int = SIZE, piece_bytes: int = 1 << 20) -> DataFrame:
+    """``item`` and ``text`` of the items; a long text comes in pieces of about ``piece_bytes`` that
+    share ``size`` - 1 words, so each window lies whole in one of them."""
+    items = benchmark.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text")
+    ).where(F.col("text").isNotNull())
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = [], []
+            for name, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                starts, ends, _ = word_hashes(raw, np.array([0, len(raw)]))
+                first, last = 0, 0
+                while last < len(starts):
+                    last = int(np.searchsorted(ends, starts[first] + piece_bytes, "right"))
+                    last = min(max(last, first + size), len(starts))
+                    names.append(name)
+                    texts.append(raw[starts[first] : ends[last - 1]].tobytes().decode())
+                    first = last - size + 1
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["item", "text"])
+
+    return items.mapInArrow(pieces, "item string, text string")
 
 
 def find_contamination(
@@ -246,6 +291,7 @@ def find_contamination(
     size: int = SIZE,
     block_windows: int = 1_000_000,
     with_text: bool = False,
+    block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """``docs`` (any columns with ``text``) plus ``n_words``, ``spans`` (word ranges that are hit)
     and ``items`` (ids, as strings, of the benchmark items found); with ``with_text`` also
@@ -254,33 +300,43 @@ def find_contamination(
     Columns of ``docs`` that bear these names are replaced.  A null text has no words and is
     returned unhit (``clean_text`` empty); an empty benchmark hits nothing; items that share an id
     are one item, and a null id is written as an empty string.
+
+    A benchmark of more than ``block_windows`` windows or ``block_bytes`` bytes is searched for in
+    blocks.  ``docs`` is then read once a block, and must come in the same order each time, as files
+    do; what is kept of a block are the rows it hits, without their texts.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("n_words", "spans", "items", "clean_text")
-    items = benchmark.select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text")
+    items = item_pieces(benchmark, size, min(block_bytes, 1 << 20))
+    n_words = F.size(F.split("text", GAPS))
+    held = items.agg(F.sum(n_words).alias("windows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, -(-(held["windows"] or 0) // block_windows), -(-(held["bytes"] or 0) // block_bytes))
+
+    def block(number: int) -> list[tuple[str, str]]:
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number)
+        return [(r["item"], r["text"]) for r in part.toLocalIterator()]
+
+    if blocks == 1:
+        return _pass(docs, block(0), size, with_text)
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    narrow = numbered.select("__row", "text")
+    hits = [
+        cut(_pass(narrow, block(b), size, False).where(F.size("spans") > 0).select("__row", "spans", "items"))
+        for b in range(blocks)
+    ]
+    found = reduce(DataFrame.unionByName, hits).groupBy("__row").agg(
+        _merged(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    n_words = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    windows = items.agg(F.sum(n_words)).first()[0] or 0
-    blocks = max(1, -(-windows // block_windows))
-    result = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        rows = [(r["item"], r["text"]) for r in part.toLocalIterator()]
-        last = block == blocks - 1
-        source = docs if result is None else result.withColumnsRenamed(
-            {"n_words": "__n", "spans": "__s", "items": "__i"}
-        )
-        found = _pass(source, rows, size, with_text and blocks == 1)
-        if result is not None:
-            found = found.withColumns(
-                {"spans": _merged("__s", "spans"), "items": F.array_sort(F.array_union("__i", "items"))}
-            ).drop("__n", "__s", "__i")
-        result = found if last else cut(found)
-    if with_text and blocks > 1:
-        result = result.withColumn("clean_text", _cut_words("text", "spans"))
-    return result
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), TOKEN, "x")
+    result = numbered.join(found, "__row", "left").select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.length(F.regexp_replace(letters, "[^x]+", "")).cast("bigint").alias("n_words"),
+        F.coalesce("spans", F.array().cast(SPAN_TYPE)).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
+    return result.withColumn("clean_text", _cut_words("text", "spans")) if with_text else result
 
 
 def _cut_words(text: str, spans: str):
