@@ -120,11 +120,13 @@ def byte_shards(docs: DataFrame, shards: int = 16, items: int = 16_384) -> DataF
 
 
 def with_shards(docs: DataFrame, shards: int = 16, items: int = 16_384) -> DataFrame:
-    """``docs`` plus ``shard`` and ``slot`` as in :func:`byte_shards`; columns of these names are
-    replaced.  ``docs`` is read twice and must come in the same order both times, as files do."""
-    numbered = docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id())
+    """``docs`` plus ``size``, ``text_crc32``, ``shard`` and ``slot`` as in :func:`byte_shards`; columns
+    of these names are replaced.  ``docs`` is read twice and must come in the same order both
+    times, as files do."""
+    made = ["size", "text_crc32", "shard", "slot"]
+    numbered = docs.drop(*made).withColumn("__row", F.monotonically_increasing_id())
     placed = _placed(numbered.select("doc_id", "text", "__row"), shards, items)
-    return numbered.join(placed.select("__row", "shard", "slot"), "__row").drop("__row")
+    return numbered.join(placed.select("__row", *made), "__row").drop("__row")
 
 
 def _placed(rows: DataFrame, shards: int, items: int) -> DataFrame:

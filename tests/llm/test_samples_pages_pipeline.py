@@ -205,7 +205,7 @@ def test_pipeline_keeps_whole_rows(spark):
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     found = corpus_pipeline.run(spark, FOLDER)
-    assert found.columns == [*docs.columns, "shard", "slot"]
+    assert found.columns == [*docs.columns, "size", "text_crc32", "shard", "slot"]
     rows = found.collect()
     whole = {r["doc_id"]: r for r in docs.collect()}
     assert rows and all(tuple(r[c] for c in docs.columns) == tuple(whole[r["doc_id"]]) for r in rows)
@@ -258,7 +258,7 @@ def test_stages_with_hard_rows(spark, tmp_path):
             made.write.parquet(folder)
             out = stage(spark, spark.read.parquet(folder), str(tmp_path))
             last = i == len(corpus_pipeline.STAGES) - 1
-            assert out.columns == docs.columns + (["shard", "slot"] if last else []), name
+            assert out.columns == docs.columns + (["size", "text_crc32", "shard", "slot"] if last else []), name
             assert out.count() <= 3 * made.count()
 
 
