@@ -10,6 +10,7 @@ from faultline.functions.text import clean_text
 from faultline.operators import cases as c
 from faultline.operators import chunks as ch
 from faultline.operators import sinks
+from faultline.operators.chunk_store import bucket_number, read_store, write_chunks
 from faultline.plans.ingest import Prepared, ingest, prepare
 from faultline.sources import tables
 from faultline.sources.incidents import POSITION, read_incidents
@@ -385,11 +386,18 @@ def upserted_chunks(spark, folder):
     return _stored_chunks(spark, folder, replace=False)
 
 
-def _stored_chunks(spark: SparkSession, folder: str, replace: bool) -> DataFrame:
+def whole_store(spark: SparkSession, folder: str) -> str:
+    """A store of the chunks of all documents."""
     path = fresh_folder(spark, "chunks")
-    sinks.write_chunks(dataset_chunks(spark, folder), path)
-    found = sinks.write_chunks(relabelled_chunks(spark, folder), path, reset=False, replace=replace)
-    return spark.read.parquet(found).select("chunk_id", "chunk_text", "source_dataset")
+    buckets = bucket_number(table(spark, folder, "documents").count())
+    write_chunks(dataset_chunks(spark, folder), path, buckets=buckets)
+    return path
+
+
+def _stored_chunks(spark: SparkSession, folder: str, replace: bool) -> DataFrame:
+    path = whole_store(spark, folder)
+    write_chunks(relabelled_chunks(spark, folder), path, reset=False, replace=replace)
+    return read_store(spark, path).select("chunk_id", "chunk_text", "source_dataset")
 
 
 @query(
@@ -406,9 +414,7 @@ def replaced_datasets(spark, folder):
     f"select count(*) as chunk_count from ({OLD_SQL}) where source_dataset = 'src0'",
 )
 def chunk_store_count(spark, folder):
-    path = fresh_folder(spark, "chunks")
-    sinks.write_chunks(dataset_chunks(spark, folder), path)
-    return tables.chunk_count(tables.read_chunks(spark, path, "src0"))
+    return tables.chunk_count(tables.read_chunks(spark, whole_store(spark, folder), "src0"))
 
 
 @query(

@@ -1,16 +1,13 @@
-"""Writing: versioned stores, keyed replacement, insert-if-absent, exports.
+"""Writing: stores, keyed replacement, insert-if-absent, exports.
 
-Spark cannot overwrite a folder that the same plan reads, and a reader must never
-see half a store.  So every write of a whole store goes to a new version folder, and a
-one-row ``current`` table that names the version is appended last.  Chunks that replace
-or join others overwrite the partitions of their datasets in the current version.
+Stores are plain Parquet folders that a write replaces; ``chunk_store`` writes chunks by the
+partitions they touch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from faultline.functions.ordered import first_rows, null_safe_join, row_index
 from faultline import rules
@@ -18,48 +15,9 @@ from faultline import rules
 DATASET = "source_dataset"
 
 
-def _pointers(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema("version long").json(f"{path}/current")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
-def current_number(spark: SparkSession, path: str) -> int:
-    pointers = _pointers(spark, path)
-    if pointers is None:
-        return 0
-    return pointers.agg(F.max("version")).first()[0] or 0
-
-
-def current_version(spark: SparkSession, path: str) -> str:
-    """Folder of the newest complete version of a store."""
-    number = current_number(spark, path)
-    if not number:
-        raise FileNotFoundError(f"no store has been written to {path}")
-    return f"{path}/v{number}"
-
-
-def write_version(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Write a complete new version and make it the current one."""
-    spark = df.sparkSession
-    number = current_number(spark, path) + 1
-    target = f"{path}/v{number}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(target)
-    spark.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode(
-        "append"
-    ).json(f"{path}/current")
-    return target
-
-
-def write_cases(cases: DataFrame, path: str) -> str:
-    """Replace the parent store as a whole."""
-    return write_version(cases, path)
+def write_cases(cases: DataFrame, path: str) -> None:
+    """Replace the parent store as a whole; ``cases`` must not be read from it."""
+    cases.write.mode("overwrite").parquet(path)
 
 
 def absent_rows(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
@@ -96,32 +54,6 @@ def replace_source(
     return upsert_chunks(old, new)
 
 
-def write_chunks(new: DataFrame, path: str, reset: bool = True, replace: bool = True) -> str:
-    """Brings the chunk store to what :func:`replace_source` describes; returns its folder.
-
-    Only a reset writes the store as a whole.  Replacing overwrites the partitions of the
-    datasets that ``new`` holds.  Merging reads and overwrites those and the datasets from
-    which a chunk moves away; where it would leave one of these without a chunk, which an
-    overwrite cannot express, a new version is written.
-    """
-    spark = new.sparkSession
-    if reset or not current_number(spark, path):
-        return write_version(new, path, [DATASET])
-    target, content = current_version(spark, path), new
-    if not replace:
-        old = spark.read.parquet(target)
-        moved = old.join(new.select("chunk_id"), "chunk_id", "left_semi")
-        touched = moved.select(DATASET).union(new.select(DATASET)).distinct()
-        content = upsert_chunks(null_safe_join(old, touched, [DATASET], "left_semi"), new)
-        if not null_safe_join(touched, content, [DATASET], "left_anti").isEmpty():
-            return write_version(upsert_chunks(old, new), path, [DATASET])
-    # tasks write beside the store; partitions are exchanged when all have finished
-    content.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        DATASET
-    ).parquet(target)
-    return target
-
-
 def first_per_key(batch: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """First row of each key in input order."""
     return first_rows(batch, [key], order, 1, "__rank").drop("__rank")

@@ -11,6 +11,7 @@ from faultline.operators import cases as c
 from faultline.operators import chunks as ch
 from faultline.operators import sinks
 from faultline.operators.case_index import write_case_index
+from faultline.operators.chunk_store import bucket_number, write_chunks
 from faultline.sources.incidents import read_incidents
 
 
@@ -72,12 +73,12 @@ def ingest(
     """
     raw = read_incidents(spark, csv_path, multi_line)
     stages = prepare(raw, source_dataset, id_override, stage_path)
-    written = sinks.write_cases(c.case_store(stages.merged), case_path)
-    stored = spark.read.parquet(written)
+    sinks.write_cases(c.case_store(stages.merged), case_path)
+    stored = spark.read.parquet(case_path)
     if index_path:
         write_case_index(stored, index_path)
     fresh = ch.chunk_rows(stored, size, overlap, metadata_override)
-    sinks.write_chunks(fresh, chunk_path, reset, replace)
+    write_chunks(fresh, chunk_path, reset, replace, bucket_number(stored.count()))
     return c.ingest_stats(
         stages.raw, len(stages.columns), stages.distinct, stages.assigned, stored, fresh
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import rules
-from faultline.operators.sinks import current_version
+from faultline.operators.chunk_store import read_store
 
 BAD_ROW = "bad_row"
 
@@ -63,13 +63,12 @@ def read_products_table(spark: SparkSession, name: str) -> DataFrame:
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Parent case store; raises when it has not been written yet."""
-    return spark.read.parquet(current_version(spark, path))
+    return spark.read.parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, source_dataset: str) -> DataFrame:
     """Chunks of one source dataset; the store is partitioned by it."""
-    store = spark.read.parquet(current_version(spark, path))
-    return in_dataset(store, source_dataset)
+    return in_dataset(read_store(spark, path), source_dataset)
 
 
 def in_dataset(chunks: DataFrame, source_dataset: str) -> DataFrame:

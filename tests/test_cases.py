@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from faultline import rules
@@ -160,41 +161,6 @@ def test_upsert_is_idempotent(frame):
     assert rows == [("a", 1), ("b", 2), ("c", 2)] == sorted(tuple(r) for r in twice.collect())
 
 
-def test_chunk_store_overwrites_touched_datasets_only(frame, spark, tmp_path):
-    import os
-
-    schema = "chunk_id string, chunk_text string, source_dataset string"
-    first = [("a1", "x", "a"), ("a2", "x", "a"), ("b1", "x", "b"), ("c1", "x", "c"), ("n1", "x", None)]
-
-    def key(rows):
-        return sorted(rows, key=str)
-
-    cases = [
-        ([("a1", "y", "a")], {"reset": False}, "b"),
-        ([("a1", "y", "a"), ("d1", "y", "d")], {"reset": False, "replace": False}, "b"),
-        # a1 moves to b, so a is rewritten, too
-        ([("a1", "y", "b")], {"reset": False, "replace": False}, "c"),
-        # c and its only chunk: nothing is left of c
-        ([("c1", "y", "b")], {"reset": False, "replace": False}, None),
-        ([("n1", "y", None), ("n2", "y", None)], {"reset": False, "replace": False}, "a"),
-        ([("n2", "y", None)], {"reset": False}, "a"),
-        ([], {"reset": False}, "a"),
-        ([("z1", "y", "z")], {"reset": True}, None),
-    ]
-    for i, (new, modes, untouched) in enumerate(cases):
-        path = str(tmp_path / str(i))
-        folder = sinks.write_chunks(frame(first, schema), path, **modes)
-        before = sorted(os.listdir(f"{folder}/source_dataset={untouched}")) if untouched else None
-        rows = sinks.replace_source(frame(first, schema), frame(new, schema), **modes)
-        rows = rows.select("chunk_id", "chunk_text", "source_dataset").collect()
-        after = sinks.write_chunks(frame(new, schema), path, **modes)
-        got = spark.read.schema(schema).parquet(after).collect()
-        assert key(tuple(r) for r in got) == key(tuple(r) for r in rows), (new, modes)
-        if untouched:
-            assert after == folder
-            assert sorted(os.listdir(f"{folder}/source_dataset={untouched}")) == before
-
-
 def test_replace_source_modes(frame):
     schema = "chunk_id string, source_dataset string"
     old = frame([("1", "a"), ("2", "a"), ("3", "b")], schema)
@@ -218,14 +184,13 @@ def test_insert_if_absent(frame):
     assert sinks.insert_absent(full, batch, "k", [F.col("pos")]).count() == 0
 
 
-def test_store_versions(spark, frame, tmp_path):
+def test_case_store_is_replaced(spark, frame, tmp_path):
     path = str(tmp_path / "store")
-    with pytest.raises(FileNotFoundError):
-        sinks.current_version(spark, path)
-    sinks.write_cases(frame([(1,)], "a int"), path)
-    old = tables.read_cases(spark, path)
-    sinks.write_cases(old.unionByName(frame([(2,)], "a int")), path)
-    assert sorted(r.a for r in tables.read_cases(spark, path).collect()) == [1, 2]
+    with pytest.raises(AnalysisException):
+        tables.read_cases(spark, path)
+    for rows in ([(1,), (2,)], [(2,), (3,)]):
+        sinks.write_cases(frame(rows, "a int"), path)
+        assert sorted(r.a for r in tables.read_cases(spark, path).collect()) == [r[0] for r in rows]
 
 
 def test_append_rca_ids(frame):
