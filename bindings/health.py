@@ -362,6 +362,26 @@ def memory_trend(spark, folder):
     return trends(spark, folder).select("host", "sample_no", "trend", "delta_percent")
 
 
+@query(
+    "WIN-06",
+    """with frames as (select event_id as sample_no, event_type as host, value / 5 - first_value(value / 5) over w
+        as delta, count(*) over w as n from events window w as
+        (partition by event_type order by ts, event_id rows between 9 preceding and current row))
+    select host, sample_no, case when n < 2 then 'INSUFFICIENT_DATA' when delta > 5 then 'RISING'
+        when delta < -5 then 'FALLING' else 'STABLE' end as trend,
+        case when n < 2 then 0 else delta end as delta_percent from frames""",
+)
+def trend_of_few_hosts(spark, folder):
+    """Few hosts with very many samples each and no coarse time: blocks are cut at quantiles."""
+    rows = table(spark, folder, "events").select(
+        F.col("event_type").alias("host"), "ts", F.col("event_id").alias("sample_no"),
+        (F.col("value") / 5).alias("ram_used_percent"),
+    )
+    order = [F.col("ts"), F.col("sample_no")]
+    found = host.trend(rows, ["host"], None, order, digits=None, block_rows=1_000)
+    return found.select("host", "sample_no", "trend", "delta_percent")
+
+
 MEMORY_SQL = f"""{TREND_SQL}, memory as (select *, case when ram_used_percent > 90 or
         (event_type = 'click' and ram_used_percent > 40) or event_type = 'error' and ram_used_percent > 60 then 'CRITICAL'
     when ram_used_percent > 85 or (event_type = 'click' and ram_used_percent > 10) then 'WARNING'

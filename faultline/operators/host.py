@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import rules
+from faultline.functions.blocks import cut_blocks
 from faultline.functions.numeric import rounded
 from faultline.functions.ordered import trailing_frame
 
@@ -22,7 +23,7 @@ def trend_label(delta: Column, samples: Column, band: float = rules.TREND_BAND)
 def trend(
     samples: DataFrame,
     key: list[str],
-    block: str,
+    block: str | None,
     order: list[Column],
     value: str = "ram_used_percent",
     n: int = rules.TREND_SAMPLES,
@@ -32,9 +33,14 @@ def trend(
 ) -> DataFrame:
     """Memory trend at each sample: last minus first of the last ``n`` samples.
 
-    ``block`` is a coarse time (the day).  A host with very many samples is cut into
+    ``block`` is a coarse time (the day); without one, hosts of more than ``block_rows``
+    samples are cut at quantiles of ``order``.  A host with very many samples is cut into
     even slices with an overlap of ``n - 1`` rows.
     """
+    columns = samples.columns
+    if block is None:
+        samples = cut_blocks(samples, key, order, "__block", block_rows)
+        block = "__block"
     framed = trailing_frame(
         samples,
         key,
@@ -54,7 +60,7 @@ def trend(
             "trend": trend_label(delta, F.col("__samples"), band),
             "delta_percent": F.when(enough, rounded(delta, digits)).otherwise(F.lit(0.0)),
         }
-    ).drop("__first", "__samples")
+    ).drop("__first", "__samples", *{block} - set(columns))
 
 
 def cpu_health(percent: Column, load: Column, cores: Column, iowait: Column) -> Column:

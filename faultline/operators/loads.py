@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline import rules
+from faultline.functions.blocks import cut_blocks
 from faultline.functions.numeric import rounded
 from faultline.functions.ordered import first_rows, running_sums, sliced_join
 
@@ -17,7 +18,7 @@ RUN_KEY = ["dag_id", "task_id", "run_id"]
 def progress(
     chunks: DataFrame,
     key: list[str],
-    block: str,
+    block: str | None,
     order: list[Column],
     rows: str = "chunk_rows",
     digits: int | None = 1,
@@ -26,9 +27,13 @@ def progress(
     """State of a load just before each chunk: rows so far, share, speed, ETA.
 
     ``chunks`` has ``elapsed_seconds`` and ``total_rows``.  ``block`` is a coarse
-    non-decreasing function of ``order`` (chunk number / 1000).  With ``final_row``
+    non-decreasing function of ``order`` (chunk number / 1000); without one, large loads are
+    cut at quantiles.  With ``final_row``
     the chunk itself counts as loaded, which also shows a breach in the last chunk.
     """
+    columns = chunks.columns
+    if block is None:
+        chunks, block = cut_blocks(chunks, key, order, "__block"), "__block"
     summed = running_sums(
         chunks, key, block, order, {"rows_inserted": F.col(rows)}, inclusive=final_row
     )
@@ -48,7 +53,7 @@ def progress(
                 F.coalesce(F.when(F.col("__speed") > 0, left), F.lit(0.0)), digits
             ),
         }
-    ).drop("__speed")
+    ).drop("__speed", *{block} - set(columns))
 
 
 def first_breach(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.blocks import cut_blocks
 from faultline.functions.ordered import first_rows, null_safe_join, row_index
 from faultline import rules
 
@@ -110,13 +111,16 @@ def stored_confidence(text: Column) -> Column:
 
 
 def append_rca(
-    repository: DataFrame, reports: DataFrame, block: str, order: list[Column]
+    repository: DataFrame, reports: DataFrame, block: str | None, order: list[Column]
 ) -> DataFrame:
     """Rows to append to the report repository, numbered after its highest id.
 
     ``block`` is a coarse non-decreasing function of ``order`` (a created day): it
-    lets the ids be dense without sorting all rows in one task.
+    lets the ids be dense without sorting all rows in one task.  Without one, the reports
+    are cut at quantiles of ``order``.
     """
+    if block is None:
+        reports, block = cut_blocks(reports, [], order, "__block"), "__block"
     highest = repository.agg(F.coalesce(F.max("incident_id"), F.lit(0))).scalar()
     numbered = row_index(reports, [], block, order, "__index")
     return numbered.select(
