@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from faultline import rules
+from faultline.streaming.buckets import (
+    BREACH, BUCKET, BUCKETS, KEY, LAST, TIME, check_times, dealt, keyed, packed, sla_step, trend_step, unpacked, worked,
+)
 
 DAY_MS = 86_400_000
 
@@ -14,13 +17,43 @@ DAY_MS = 86_400_000
 def _timed(rows: DataFrame, event_time: str, delay: str) -> DataFrame:
     """Watermark, and the event time in milliseconds."""
     timed = rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withColumn("__ms", F.unix_millis(event_time)).withWatermark(event_time, delay)
+    return timed.withColumn(TIME, F.unix_millis(event_time)).withWatermark(event_time, delay)
 
 
-BREACH = (
-    "total_rows long, rows_inserted long, pct_complete double, elapsed_seconds double, "
-    "rows_per_second double, eta_seconds double, sla_threshold long, sla_breached_at double"
-)
+def _watched(
+    rows: DataFrame, event_time: str, key: str, order: str, columns: list[str], delay: str, idle_ms: int,
+    output: str, step, buckets: int,
+) -> DataFrame:
+    """``step`` over the rows of each bucket and micro-batch, with the state of its keys, each
+    dropped ``idle_ms`` after its last row has passed the watermark."""
+    timed = dealt(_timed(rows, event_time, delay), key, [event_time, TIME, order, *columns], buckets)
+
+    def watch(group, batches, state):
+        import pandas as pd
+
+        water = state.getCurrentWatermarkMs()
+        kept = unpacked(state.get[0]) if state.exists else None
+        result = None
+        if state.hasTimedOut:
+            arrived = pd.Series(dtype=object)
+        else:
+            arrived = pd.concat(list(batches))
+            check_times(arrived)
+            result, kept = worked(step, arrived, kept, [order], water)
+            arrived = arrived[KEY]
+        kept = kept[(kept[LAST] + idle_ms >= water) | kept[KEY].isin(arrived)]
+        if len(kept):
+            state.update((packed(kept),))
+            state.setTimeoutTimestamp(int(kept[LAST].min()) + idle_ms)
+        else:
+            state.remove()
+        if result is not None and len(result):
+            yield result
+
+    found = timed.groupBy(BUCKET).applyInPandasWithState(
+        watch, f"{KEY} string, {output}", "kept binary", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return keyed(found, key, dict(rows.dtypes)[key])
 
 
 def stream_sla(
@@ -29,6 +62,7 @@ def stream_sla(
     key: str = "run_id",
     delay: str = "1 hour",
     idle_ms: int = DAY_MS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """One row per run, at the first chunk that starts after the SLA has passed.
 
@@ -36,53 +70,12 @@ def stream_sla(
     sla_threshold``, in chunk order within a run.  The state of a run is the rows
     loaded and whether it has been reported; it is dropped once the watermark, ``delay``
     behind the newest ``event_time``, is ``idle_ms`` past the last chunk of the run.  Rows
-    behind the watermark are late and left out.  What a group holds at once is its part of
-    one micro-batch, which ``maxFilesPerTrigger`` of the source bounds.
+    behind the watermark are late and left out.  What a bucket of keys holds at once is its part
+    of one micro-batch, which ``maxFilesPerTrigger`` of the source bounds.
     """
-    kind = dict(progress.dtypes)[key]
-    timed = _timed(progress, event_time, delay)
-
-    def watch(group, batches, state):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        inserted, reported = state.get if state.exists else (0, False)
-        chunks = pd.concat(list(batches)).sort_values("chunk_no")
-        before = inserted + chunks["chunk_rows"].cumsum() - chunks["chunk_rows"]
-        late = chunks["elapsed_seconds"] > chunks["sla_threshold"]
-        if not reported and late.any():
-            place = late.to_numpy().argmax()
-            row, done = chunks.iloc[place], int(before.iloc[place])
-            elapsed, total = float(row["elapsed_seconds"]), int(row["total_rows"])
-            speed = done / elapsed if elapsed > 0 else 0.0
-            eta = (total - done) / speed if speed > 0 else 0.0
-            share = 100.0 * done / total if total else 0.0
-            yield pd.DataFrame(
-                {
-                    key: [group[0]],
-                    "total_rows": [total],
-                    "rows_inserted": [done],
-                    "pct_complete": [share],
-                    "elapsed_seconds": [elapsed],
-                    "rows_per_second": [speed],
-                    "eta_seconds": [eta],
-                    "sla_threshold": [int(row["sla_threshold"])],
-                    "sla_breached_at": [elapsed],
-                }
-            )
-            reported = True
-        state.update((inserted + int(chunks["chunk_rows"].sum()), reported))
-        latest = max(int(chunks["__ms"].max()), state.getCurrentWatermarkMs())
-        state.setTimeoutTimestamp(latest + idle_ms)
-
-    return timed.groupBy(key).applyInPandasWithState(
-        watch,
-        f"{key} {kind}, {BREACH}",
-        "rows_inserted long, reported boolean",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    columns = ["chunk_rows", "elapsed_seconds", "total_rows", "sla_threshold"]
+    return _watched(
+        progress, event_time, key, "chunk_no", columns, delay, idle_ms, BREACH, sla_step, buckets
     )
 
 
@@ -96,46 +89,13 @@ def stream_trend(
     band: float = rules.TREND_BAND,
     delay: str = "1 hour",
     idle_ms: int = DAY_MS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Memory trend at each sample; the state of a host is its last ``n - 1`` values, and is
     dropped like that of :func:`stream_sla`."""
-    kinds = dict(samples.dtypes)
-    timed = _timed(samples, event_time, delay)
-
-    def follow(group, batches, state):
-        import numpy as np
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(order)
-        series = np.array(kept + rows[value].tolist(), dtype="float64")
-        place = np.arange(len(kept), len(series))
-        start = np.maximum(place - (n - 1), 0)
-        delta = series[place] - series[start]
-        names = np.select([delta > band, delta < -band], ["RISING", "FALLING"], "STABLE")
-        enough = place >= 1
-        yield pd.DataFrame(
-            {
-                key: group[0],
-                order: rows[order].to_numpy(),
-                "trend": np.where(enough, names, "INSUFFICIENT_DATA"),
-                "delta_percent": np.where(enough, delta, 0.0),
-            }
-        )
-        state.update((series[-(n - 1):].tolist(),))
-        latest = max(int(rows["__ms"].max()), state.getCurrentWatermarkMs())
-        state.setTimeoutTimestamp(latest + idle_ms)
-
-    return timed.groupBy(key).applyInPandasWithState(
-        follow,
-        f"{key} {kinds[key]}, {order} {kinds[order]}, trend string, delta_percent double",
-        "recent array<double>",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    output = f"{order} {dict(samples.dtypes)[order]}, trend string, delta_percent double"
+    step = trend_step(order, value, n, band)
+    return _watched(samples, event_time, key, order, [value], delay, idle_ms, output, step, buckets)
 
 
 def stream_triggers(
