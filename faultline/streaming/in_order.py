@@ -1,6 +1,6 @@
 """Streaming monitors that work by event time, whatever order the rows arrive in.
 
-Rows wait in the state of their key until the watermark has passed them, and are then worked off in
+Rows wait in the state of the bucket of their key until the watermark has passed them, and are then worked off in
 order of event time.  So a chunk that arrives some micro-batches late, but before the watermark,
 counts where it belongs, and the result is that of the batch operator.  A row is reported once the
 watermark is past it, ``delay`` behind the newest event.  Rows behind the watermark are left out.
@@ -10,150 +10,115 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from faultline import rules
-from faultline.streaming.sla import BREACH, DAY_MS
+from faultline.streaming.buckets import (
+    BREACH, BUCKET, BUCKETS, KEY, LAST, TIME, check_times, dealt, keyed, packed, sla_step, trend_step, unpacked, worked,
+)
+from faultline.streaming.sla import DAY_MS
 
 #: State with timers needs the store that keeps it on disk.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _worked_in_order(
-    rows: DataFrame, event_time: str, key: str, columns: list[str], delay: str, idle_ms: int,
-    output: str, kept: str, work,
+    rows: DataFrame, event_time: str, key: str, order: str, columns: list[str], delay: str, idle_ms: int,
+    output: str, step, buckets: int,
 ) -> DataFrame:
-    """``work(key, kept or None, rows)`` sees rows in order and gives (result or None, kept).
+    """``step`` sees the rows of a bucket in order, with the state of its keys.
 
-    A key waits with one timer for its earliest row; when it is due, all rows up to the watermark
-    are worked off.  A key without waiting rows is dropped ``idle_ms`` after its last row.
+    A bucket waits with a timer for its earliest row; when it is due, all rows up to the watermark
+    are worked off.  The state of a key without waiting rows is dropped ``idle_ms`` after its last one.
     """
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    names = [KEY, TIME, order, *columns]
     timed = (
         rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
-        .withColumn("event_ms", F.unix_millis(event_time))
+        .withColumn(TIME, F.unix_millis(event_time))
         .withWatermark(event_time, delay)
-        .select(key, event_time, "event_ms", *columns)
     )
-    held = T.StructType([timed.schema[c] for c in ("event_ms", *columns)])
-    names = held.names
+    timed = dealt(timed, key, [event_time, *names[1:]], buckets)
 
     class InOrder(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            self.waiting = handle.getListState("waiting", held)
-            self.kept = handle.getValueState("kept", f"{kept}, last long")
+            self.waiting = handle.getListState("waiting", "rows binary")
+            self.kept = handle.getValueState("kept", "rows binary")
 
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
 
             arrived = pd.concat(list(rows))[names]
-            self.waiting.appendList([tuple(r) for r in arrived.astype(object).itertuples(index=False)])
-            self.handle.registerTimer(int(arrived["event_ms"].min()))
+            check_times(arrived)
+            self.waiting.appendValue((packed(arrived),))
+            self.handle.registerTimer(int(arrived[TIME].min()))
             return iter([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import pandas as pd
 
             water = timerValues.getCurrentWatermarkInMs()
-            waiting = pd.DataFrame(list(self.waiting.get()), columns=names)
-            due = waiting[waiting["event_ms"] <= water].sort_values(["event_ms", *names[1:2]], kind="stable")
-            rest = waiting[waiting["event_ms"] > water]
-            state = self.kept.get() if self.kept.exists() else None
+            parts = [unpacked(bytes(r[0])) for r in self.waiting.get()]
+            waiting = pd.concat(parts) if parts else pd.DataFrame(columns=names)
+            due, rest = waiting[waiting[TIME] <= water], waiting[waiting[TIME] > water]
+            kept = unpacked(bytes(self.kept.get()[0])) if self.kept.exists() else None
+            result = None
             if len(due):
-                result, after = work(key, None if state is None else tuple(state)[:-1], due)
-                last = int(due["event_ms"].iloc[-1])
-                self.kept.update((*after, last))
+                result, kept = worked(step, due, kept, [TIME, order])
                 if len(rest):
-                    self.waiting.put([tuple(r) for r in rest.astype(object).itertuples(index=False)])
+                    self.waiting.put([(packed(rest),)])
                 else:
                     self.waiting.clear()
-                if result is not None:
-                    yield result
-            elif state is not None:
-                last = tuple(state)[-1]
-            if len(rest):
-                self.handle.registerTimer(int(rest["event_ms"].min()))
-            elif len(due) or (state is not None and last + idle_ms > water):
-                self.handle.registerTimer(max(last + idle_ms, water + 1))
-            elif state is not None:
-                self.kept.clear()
+            wakes = [int(rest[TIME].min())] if len(rest) else []
+            if kept is not None:
+                busy = kept[KEY].isin(waiting[KEY])
+                stays = kept[(kept[LAST] + idle_ms > water) | busy]
+                # keys with waiting rows are looked at again when those are due
+                idle = stays[~stays[KEY].isin(rest[KEY])]
+                if len(idle):
+                    wakes.append(max(int(idle[LAST].min()) + idle_ms, water + 1))
+                if len(stays) == 0:
+                    self.kept.clear()
+                elif len(due) or len(stays) < len(kept):
+                    self.kept.update((packed(stays),))
+            if wakes:
+                self.handle.registerTimer(min(wakes))
+            if result is not None and len(result):
+                yield result
 
         def close(self):
             pass
 
-    kind = timed.schema[key].dataType.simpleString()
-    return timed.groupBy(key).transformWithStateInPandas(
-        InOrder(), f"{key} {kind}, {output}", "Append", "EventTime"
+    found = timed.groupBy(BUCKET).transformWithStateInPandas(
+        InOrder(), f"{KEY} string, {output}", "Append", "EventTime"
     )
+    return keyed(found, key, dict(rows.dtypes)[key])
 
 
 def stream_sla_in_order(
-    progress: DataFrame, event_time: str, key: str = "run_id", delay: str = "1 hour", idle_ms: int = DAY_MS
+    progress: DataFrame, event_time: str, key: str = "run_id", delay: str = "1 hour", idle_ms: int = DAY_MS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """One row per run, at the first chunk, by event time, that starts after the SLA has passed.
 
     ``progress`` has ``chunk_no, chunk_rows, elapsed_seconds, total_rows, sla_threshold``; chunks of
     one time follow by ``chunk_no``.
     """
-
-    def watch(group, kept, chunks):
-        import pandas as pd
-
-        inserted, reported = kept or (0, False)
-        before = inserted + chunks["chunk_rows"].cumsum() - chunks["chunk_rows"]
-        late = chunks["elapsed_seconds"] > chunks["sla_threshold"]
-        result = None
-        if not reported and late.any():
-            place = late.to_numpy().argmax()
-            row, done = chunks.iloc[place], int(before.iloc[place])
-            elapsed, total = float(row["elapsed_seconds"]), int(row["total_rows"])
-            speed = done / elapsed if elapsed > 0 else 0.0
-            found = [
-                total, done, 100.0 * done / total if total else 0.0, elapsed, speed,
-                (total - done) / speed if speed > 0 else 0.0, int(row["sla_threshold"]), elapsed,
-            ]
-            result, reported = pd.DataFrame([[group[0], *found]], columns=[key, *fields]), True
-        return result, (inserted + int(chunks["chunk_rows"].sum()), reported)
-
-    fields = [part.split()[0] for part in BREACH.split(", ")]
-    columns = ["chunk_no", "chunk_rows", "elapsed_seconds", "total_rows", "sla_threshold"]
+    columns = ["chunk_rows", "elapsed_seconds", "total_rows", "sla_threshold"]
     return _worked_in_order(
-        progress, event_time, key, columns, delay, idle_ms, BREACH, "rows_inserted long, reported boolean", watch
+        progress, event_time, key, "chunk_no", columns, delay, idle_ms, BREACH, sla_step, buckets
     )
 
 
 def stream_trend_in_order(
     samples: DataFrame, event_time: str, key: str = "host", order: str = "sample_no",
     value: str = "ram_used_percent", n: int = rules.TREND_SAMPLES, band: float = rules.TREND_BAND,
-    delay: str = "1 hour", idle_ms: int = DAY_MS,
+    delay: str = "1 hour", idle_ms: int = DAY_MS, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Memory trend at each sample, against the samples before it by event time; samples of one
     time follow by ``order``."""
-
-    def follow(group, kept, rows):
-        import numpy as np
-        import pandas as pd
-
-        before = list(kept[0]) if kept else []
-        series = np.array(before + rows[value].tolist(), dtype="float64")
-        place = np.arange(len(before), len(series))
-        delta = series[place] - series[np.maximum(place - (n - 1), 0)]
-        names = np.select([delta > band, delta < -band], ["RISING", "FALLING"], "STABLE")
-        enough = place >= 1
-        result = pd.DataFrame(
-            {
-                key: group[0],
-                order: rows[order].to_numpy(),
-                "trend": np.where(enough, names, "INSUFFICIENT_DATA"),
-                "delta_percent": np.where(enough, delta, 0.0),
-            }
-        )
-        return result, (series[-(n - 1):].tolist(),)
-
     output = f"{order} {dict(samples.dtypes)[order]}, trend string, delta_percent double"
-    return _worked_in_order(
-        samples, event_time, key, [order, value], delay, idle_ms, output, "recent array<double>", follow
-    )
+    step = trend_step(order, value, n, band)
+    return _worked_in_order(samples, event_time, key, order, [value], delay, idle_ms, output, step, buckets)
