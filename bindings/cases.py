@@ -437,8 +437,8 @@ def incident_csv(spark, folder):
 def ingested_dataset(spark, folder):
     """The whole ingest over a CSV export of the shared documents."""
     path = fresh_folder(spark, "ingest")
-    incident_rows(spark, folder).drop(POSITION).coalesce(1).write.option("escape", '"').csv(
-        f"{path}/csv", header=True
-    )
+    # a file is one task of the reader, so files are kept small
+    rows = incident_rows(spark, folder).drop(POSITION).write.option("maxRecordsPerFile", 20_000)
+    rows.option("escape", '"').csv(f"{path}/csv", header=True)
     return ingest(spark, f"{path}/csv", f"{path}/cases", f"{path}/chunks", f"{path}/stage")
 
