@@ -26,23 +26,19 @@ def embed(df: DataFrame, text: str, function, name: str = "embedding") -> DataFr
     return df.withColumn(name, wrapped(F.col(text)))
 
 
-def _scan(queries: list, limit: int, metric: str):
-    """A function that keeps the best hits of a partition of chunks, batch after batch.
+def _scan(blocks: list, limit: int, metric: str):
+    """A function that keeps the best hits of a partition of chunks, batch after batch, for each
+    query of ``blocks``, a list of (number, queries).
 
-    One matrix product per batch tells which chunks can be among the nearest of a query; their
-    distances are then computed one by one, so rounding in the product decides nothing.
+    One matrix product per block and batch tells which chunks can be among the nearest of a query,
+    those kept from earlier batches included; their distances are then computed one by one, so
+    rounding in the product decides nothing.
     """
 
     def scan(batches):
         import numpy as np
         import pandas as pd
 
-        names = [q for q, _ in queries]
-        if len({len(v) for _, v in queries}) > 1:
-            raise ValueError(f"queries of {sorted({len(v) for _, v in queries})} values")
-        asked = np.stack([v for _, v in queries])
-        asked_squares = np.square(asked).sum(axis=1)
-
         def distances(rows, vector):
             if metric == "l2":
                 return np.square(rows - vector).sum(axis=1)
@@ -52,9 +48,8 @@ def _scan(queries: list, limit: int, metric: str):
             norms = np.linalg.norm(rows, axis=1) * np.linalg.norm(vector)
             return 1.0 - products / np.where(norms == 0, 1.0, norms)
 
-        def estimates(rows):
+        def estimates(asked, asked_squares, rows, squares):
             """Distances of all queries by all rows, and how far each may be off."""
-            squares = np.square(rows).sum(axis=1)
             products = asked @ rows.T
             scale = asked_squares[:, None] + squares[None, :]
             if metric == "l2":
@@ -65,40 +60,52 @@ def _scan(queries: list, limit: int, metric: str):
             cosines = np.divide(products, norms, out=np.zeros_like(products), where=norms != 0)
             return 1.0 - cosines, np.full_like(products, 1e-9)
 
-        kept = None
+        asking = []
+        for _, queries in blocks:
+            if len({len(v) for _, v in queries}) > 1:
+                raise ValueError(f"queries of {sorted({len(v) for _, v in queries})} values")
+            asked = np.stack([v for _, v in queries])
+            # the distance that a further hit of each query may not pass, and its hits so far
+            asking.append((asked, np.square(asked).sum(axis=1), np.full(len(queries), np.inf), [None] * len(queries)))
         for batch in batches:
             if batch.empty:
                 continue
             ids, owners = batch["chunk_id"].to_numpy(), batch["case_id"].to_numpy()
             lengths = {len(v) for v in batch["embedding"]}
-            if lengths != {asked.shape[1]}:
-                raise ValueError(f"vectors of {sorted(lengths)} values for queries of {asked.shape[1]}")
+            for asked, *_ in asking:
+                if lengths != {asked.shape[1]}:
+                    raise ValueError(f"vectors of {sorted(lengths)} values for queries of {asked.shape[1]}")
             matrix = np.stack(batch["embedding"].to_numpy()).astype("float64")
-            about, slack = estimates(matrix)
-            hits = []
-            for place, name in enumerate(names):
-                near = np.arange(len(ids))
-                if len(ids) > limit:
-                    edge = np.partition(about[place] + slack[place], limit - 1)[limit - 1]
-                    # written so that a distance that is no number is looked at, too
-                    near = np.flatnonzero(~(about[place] - slack[place] > edge))
-                found = distances(matrix[near], asked[place])
-                order = np.lexsort((ids[near], found))[:limit]
-                hits.append(
-                    pd.DataFrame(
-                        {
-                            "query_id": name,
-                            "chunk_id": ids[near[order]],
-                            "case_id": owners[near[order]],
-                            "distance": found[order],
-                        }
-                    )
+            squares = np.square(matrix).sum(axis=1)
+            for asked, asked_squares, edges, kept in asking:
+                about, slack = estimates(asked, asked_squares, matrix, squares)
+                bound = edges
+                if len(ids) > limit and np.isinf(edges).any():
+                    here = np.partition(about + slack, limit - 1, axis=1)[:, limit - 1]
+                    bound = np.where(np.isinf(edges), here, edges)
+                # written so that a distance that is no number is looked at, too
+                near = ~(about - slack > bound[:, None])
+                for place in np.flatnonzero(near.any(axis=1)):
+                    rows = np.flatnonzero(near[place])
+                    hits = distances(matrix[rows], asked[place]), ids[rows], owners[rows]
+                    if kept[place] is not None:
+                        hits = tuple(np.concatenate(pair) for pair in zip(kept[place], hits))
+                    order = np.lexsort((hits[1], hits[0]))[:limit]
+                    kept[place] = tuple(values[order] for values in hits)
+                    if len(order) == limit:
+                        edges[place] = kept[place][0][-1]
+        for (number, queries), (*_, kept) in zip(blocks, asking):
+            found = [(name, hits) for (name, _), hits in zip(queries, kept) if hits is not None]
+            if found:
+                yield pd.DataFrame(
+                    {
+                        "block": number,
+                        "query_id": [name for name, hits in found for _ in hits[0]],
+                        "chunk_id": np.concatenate([hits[1] for _, hits in found]),
+                        "case_id": np.concatenate([hits[2] for _, hits in found]),
+                        "distance": np.concatenate([hits[0] for _, hits in found]),
+                    }
                 )
-            pool = pd.concat(hits if kept is None else [kept, *hits])
-            pool = pool.sort_values(["query_id", "distance", "chunk_id"])
-            kept = pool.groupby("query_id", sort=False).head(limit)
-        if kept is not None:
-            yield kept
 
     return scan
 
@@ -120,6 +127,21 @@ def _blocks(queries: DataFrame, rows: int, values: int):
         yield block
 
 
+def _rounds(blocks):
+    """Numbered blocks that one scan of the chunks serves: as many as have the rows and values of
+    the largest block, or one that is larger."""
+    held, rows, values = [], 0, 0
+    for number, block in enumerate(blocks):
+        size = sum(len(vector) for _, vector in block)
+        if held and (rows + len(block) > BLOCK_QUERIES or values + size > BLOCK_VALUES):
+            yield held
+            held, rows, values = [], 0, 0
+        held.append((number, block))
+        rows, values = rows + len(block), values + size
+    if held:
+        yield held
+
+
 def nearest(
     queries: DataFrame,
     chunks: DataFrame,
@@ -135,8 +157,10 @@ def nearest(
     hits need not be joined with the chunk table again.  Exact search; a query or a chunk
     without a vector has no hits.  The queries go block by block to the tasks, which scan
     the chunks where they lie and give back ``k`` hits per query and partition; neither the
-    chunks nor the queries are copied through a shuffle.  The hits of a block are
-    checkpointed before the next block is read, so driver and tasks hold one block.
+    chunks nor the queries are copied through a shuffle.  A scan serves as many blocks as have
+    ``BLOCK_QUERIES`` rows and ``BLOCK_VALUES`` values in all, one after the other for each batch
+    of chunks; their hits are checkpointed before further blocks are read, so driver and tasks
+    hold no more queries than that, or one larger block.
     """
     spark = queries.sparkSession
     kinds = dict(queries.dtypes), dict(chunks.dtypes)
@@ -150,11 +174,11 @@ def nearest(
         "chunk_id", owner.cast("string").alias("case_id"), "embedding"
     )
     result = spark.createDataFrame([], schema)
-    for block in _blocks(wanted, block_queries, block_values):
-        partial = stored.mapInPandas(_scan(block, k, metric), schema)
+    for blocks in _rounds(_blocks(wanted, block_queries, block_values)):
+        partial = stored.mapInPandas(_scan(blocks, k, metric), f"block long, {schema}")
         best = first_rows(
-            partial, ["query_id"], [F.col("distance"), F.col("chunk_id")], k, "__rank"
-        ).drop("__rank")
+            partial, ["block", "query_id"], [F.col("distance"), F.col("chunk_id")], k, "__rank"
+        ).drop("__rank", "block")
         result = result.unionByName(checkpointed(best))
     return result
 

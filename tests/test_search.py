@@ -160,3 +160,17 @@ def test_missing_columns_become_empty(frame):
 def test_embed_hook(frame):
     df = search.embed(frame([("ab",)], "t string"), "t", lambda s: s.map(lambda v: [float(len(v))]))
     assert df.first().embedding == [2.0]
+
+
+def test_small_blocks_share_a_scan(frame, monkeypatch):
+    scans = []
+    monkeypatch.setattr(search, "checkpointed", lambda df: scans.append(1) or df)
+    chunks = list(enumerate(vectors(60)))
+    queries = [(f"q{i // 2}", v) for i, v in enumerate(vectors(30, seed=9))]
+    got = search.nearest(
+        frame(queries, "query_id string, embedding array<double>"),
+        frame(chunks, "chunk_id long, embedding array<double>"), 5, block_queries=3,
+    )
+    # an id that comes twice has 5 hits per block that holds it
+    assert got.groupBy("query_id").count().agg(F.sum("count")).first()[0] == 5 * (15 + 5)
+    assert len(scans) == 1
