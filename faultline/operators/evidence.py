@@ -16,6 +16,7 @@ from faultline import rules
 from faultline.functions.ordered import first_rows, null_safe_join
 from faultline.functions.text import any_of, filled, strip
 from faultline.operators import splits
+from faultline.session import checkpointed
 from faultline.sources.task_logs import json_log_lines, list_task_logs, read_log_files
 
 NO_LOG_MESSAGE = "No log content available"
@@ -87,8 +88,11 @@ def error_evidence(
 
     ``lines`` are non-blank and hold no line feed, as ``json_log_lines`` leaves them.  With
     ``in_place`` they come straight from files: what follows a line is then seen where it was
-    read, and only the ends of file splits are shuffled.
+    read, and only the ends of file splits are shuffled.  Otherwise they are read four times, so what
+    makes them (JSON events parsed, for one) is done once and they are checkpointed.
     """
+    if not in_place:
+        lines = checkpointed(lines.select(*key, block, pos, line))
     text, order = F.col(line), F.struct(block, pos)
     # columns of their own, so that they are computed once per line
     # a pattern has two gaps at most, so a match ends in the second line after its start
